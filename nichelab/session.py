@@ -28,6 +28,7 @@ def build_session(
     parts = shuffle_partitions or os.environ.get("NICHELAB_SHUFFLE_PARTITIONS")
     conf = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
