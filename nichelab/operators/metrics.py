@@ -81,7 +81,8 @@ def standard_metrics(
     counts = score_counts(df, score, label, by)
     cum = running_totals(counts, score, ["pos", "neg"], by=by, ascending=False, inclusive=True)
     cum, thr = _with_threshold(cum, threshold, by)
-    s = F.col(score)
+    # compare in a projection: a scalar subquery may not sit inside an aggregate
+    cum = cum.withColumn("_hit", F.col(score) >= thr)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     tp_cum, fp_cum = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
     agg = cum.groupBy(*by).agg(
@@ -89,8 +90,8 @@ def standard_metrics(
         F.sum("neg").alias("_N"),
         F.sum(pos * (fp_cum - F.lit(0.5) * neg)).alias("_auc_loss"),
         F.sum(pos * tp_cum / (tp_cum + fp_cum)).alias("_ap_sum"),
-        F.coalesce(F.sum(F.when(s >= thr, F.col("pos"))), F.lit(0).cast("long")).alias("tp"),
-        F.coalesce(F.sum(F.when(s >= thr, F.col("neg"))), F.lit(0).cast("long")).alias("fp"),
+        F.coalesce(F.sum(F.when(F.col("_hit"), F.col("pos"))), F.lit(0).cast("long")).alias("tp"),
+        F.coalesce(F.sum(F.when(F.col("_hit"), F.col("neg"))), F.lit(0).cast("long")).alias("fp"),
     )
     P, N = F.col("_P"), F.col("_N")
     both = (P > 0) & (N > 0)

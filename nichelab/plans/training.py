@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nichelab.operators import filters, metrics, sampling
+from nichelab.session import ensure_checkpoint_dir
 from nichelab.schemas import (
     BACKGROUND_GLOBAL,
     BACKGROUND_LOCAL,
@@ -79,6 +80,7 @@ def gbt_pipeline(max_depth: int = GBT_MAX_DEPTH_GRID[0], max_iter: int = GBT_MAX
         subsamplingRate=GBT_SUBSAMPLE,
         featureSubsetStrategy=GBT_FEATURE_SUBSET,
         seed=SEED,
+        checkpointInterval=10,  # effective when the cluster names spark.checkpoint.dir
     )
     return Pipeline(stages=[_assembler(), gbt]), gbt
 
@@ -100,11 +102,12 @@ def tune_gbt(
     depths: list[int] = GBT_MAX_DEPTH_GRID,
     folds: int = CV_FOLDS,
     max_iter: int = GBT_MAX_ITER,
-    parallelism: int = 2,
+    parallelism: int | None = None,
 ) -> CrossValidatorModel:
     """Grid search over tree depth with k-fold ROC AUC; the best setting is
     refit on all training rows.  Folds come from a key hash per class, so
     they are fixed whatever the partitioning."""
+    ensure_checkpoint_dir(train.sparkSession)
     pipe, gbt = gbt_pipeline(max_iter=max_iter)
     grid = ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).build()
     evaluator = BinaryClassificationEvaluator(labelCol="presence", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
@@ -115,7 +118,8 @@ def tune_gbt(
         numFolds=folds,
         foldCol="fold",
         seed=SEED,
-        parallelism=parallelism,
+        # all (setting, fold) fits run as concurrent Spark jobs
+        parallelism=parallelism or len(depths) * folds,
     )
     data = features(train).withColumn("fold", sampling.fold_id("key", folds, label="presence"))
     return cv.fit(data)

@@ -379,9 +379,16 @@ def enhanced_features(spark, sf):
 # ---------------------------------------------------------------- trained models (rows-only checks)
 
 
+_FITS: dict[tuple[str, str], tuple] = {}
+
+
 def _fit(spark, sf):
-    train, val = _training_sets(spark, sf)
-    return training.tune_gbt(train, max_iter=ML_MAX_ITER), train, val
+    """One cross-validated fit per (application, input), shared by the model queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITS:
+        train, val = _training_sets(spark, sf)
+        _FITS[key] = (training.tune_gbt(train, max_iter=ML_MAX_ITER), train, val)
+    return _FITS[key]
 
 
 def gbt_train_score(spark, sf):
