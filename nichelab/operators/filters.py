@@ -95,15 +95,30 @@ def resolve_taxon(matches: DataFrame) -> DataFrame:
     )
 
 
+# a name lookup answers with a handful of keys; more than this is not a lookup
+MAX_RESOLVED_KEYS = 10000
+
+
 def occurrences_of_taxa(occ: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Records whose ``taxonKey`` equals a resolved species key (equi-join).
+    """Records whose ``taxonKey`` equals a resolved species key, with its match type.
 
-    The resolved side is the answer of a name lookup (a handful of rows);
-    the planner broadcasts it from its size estimate, so the record side is
-    never shuffled.
+    The resolved side is the answer of name lookups (a few rows, checked
+    below) and is broadcast, so the record side -- where every row may carry
+    the same key -- is never shuffled on that key.
     """
     keys = resolved.select(F.col("species_key"), F.col("match_type"))
-    return occ.join(keys, occ["taxonKey"] == keys["species_key"], "inner")
+    if keys.limit(MAX_RESOLVED_KEYS + 1).count() > MAX_RESOLVED_KEYS:
+        raise ValueError("taxon lookup returned more keys than a name lookup can")
+    return occ.join(F.broadcast(keys), occ["taxonKey"] == keys["species_key"], "inner")
+
+
+def filter_taxa(occ: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Records of the resolved species keys as a plain ``IN`` predicate, which
+    Parquet evaluates in the scan (row groups without the key are skipped)."""
+    found = [r["species_key"] for r in resolved.select("species_key").limit(MAX_RESOLVED_KEYS + 1).collect()]
+    if len(found) > MAX_RESOLVED_KEYS:
+        return occurrences_of_taxa(occ, resolved).drop("species_key", "match_type")
+    return occ.filter(F.col("taxonKey").isin(found))
 
 
 def add_temporal_features(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nichelab.functions.numeric import round6
+from nichelab.operators.joins import hot_keys, skew_split_left_join
 from nichelab.schemas import ALL_LAYERS, CLIMATE_NUMBERS, SCALED_BY_TEN
 from nichelab.sources.tables import RasterMeta
 
@@ -71,9 +72,27 @@ def widen_cells(cells: DataFrame, meta: RasterMeta, variables: list[int] = CLIMA
     )
 
 
+def cell_table_bytes(meta: RasterMeta, n_values: int) -> int:
+    """Upper bound of a cell table's size, from the raster geometry alone."""
+    return meta.n_cells * (_BYTES_PER_CELL_ROW + n_values * _BYTES_PER_VALUE)
+
+
 def _maybe_broadcast(cells: DataFrame, meta: RasterMeta, n_values: int, limit: int) -> DataFrame:
-    size = meta.n_cells * (_BYTES_PER_CELL_ROW + n_values * _BYTES_PER_VALUE)
-    return F.broadcast(cells) if size <= limit else cells
+    return F.broadcast(cells) if cell_table_bytes(meta, n_values) <= limit else cells
+
+
+def join_cells(points: DataFrame, cells: DataFrame, meta: RasterMeta, n_values: int, limit: int, keys: list[str] | None = None) -> DataFrame:
+    """Left join points to a cell table on the cell keys.
+
+    Below ``limit`` bytes (a bound from the geometry, not an estimate) the cell
+    table is broadcast and the points never move.  Above it the join
+    shuffles, with the cells that hold more than a partition's share of the
+    points split off and joined through a broadcast of just those cells.
+    """
+    keys = keys or ["row_id", "col_id"]
+    if cell_table_bytes(meta, n_values) <= limit:
+        return points.join(F.broadcast(cells), keys, "left")
+    return skew_split_left_join(points, cells, keys, hot_keys(points, keys))
 
 
 def sample_long(
@@ -89,9 +108,8 @@ def sample_long(
     join); the long cell table is then joined on (var, row, col).
     """
     clean = clean_cells(cells, meta, variables)
-    clean = _maybe_broadcast(clean, meta, len(variables), broadcast_limit)
     pts = with_cell(points, meta).withColumn("var", F.explode(F.array(*[F.lit(v) for v in variables])))
-    out = pts.join(clean, ["var", "row_id", "col_id"], "left")
+    out = join_cells(pts, clean, meta, len(variables), broadcast_limit, ["var", "row_id", "col_id"])
     return out.withColumn("var", F.concat(F.lit("bio"), F.col("var").cast("string")))
 
 
@@ -104,8 +122,8 @@ def sample_wide(
     keep_cell: bool = False,
 ) -> DataFrame:
     """Points with one column per layer: a single left join on (row, col)."""
-    wide = _maybe_broadcast(widen_cells(cells, meta, variables), meta, len(variables), broadcast_limit)
-    out = with_cell(points, meta).join(wide, ["row_id", "col_id"], "left")
+    wide = widen_cells(cells, meta, variables)
+    out = join_cells(with_cell(points, meta), wide, meta, len(variables), broadcast_limit)
     return out if keep_cell else out.drop("row_id", "col_id")
 
 
@@ -126,8 +144,7 @@ def sample_wide_dedup(
     needed = pts.select("row_id", "col_id").dropna().distinct()
     wide = widen_cells(cells, meta, variables)
     looked_up = needed.join(wide, ["row_id", "col_id"], "left")
-    looked_up = _maybe_broadcast(looked_up, meta, len(variables), broadcast_limit)
-    return pts.join(looked_up, ["row_id", "col_id"], "left").drop("row_id", "col_id")
+    return join_cells(pts, looked_up, meta, len(variables), broadcast_limit).drop("row_id", "col_id")
 
 
 def lookup_elevation(
@@ -139,10 +156,10 @@ def lookup_elevation(
     """Points with ``elevation`` of their cell and a ``status`` column:
     ``Invalid coordinates`` outside +-90/+-180, ``missing_result`` when no
     cell answers, else ``ok``."""
-    cells = _maybe_broadcast(elev.select("row_id", "col_id", "elevation"), meta, 1, broadcast_limit)
+    cells = elev.select("row_id", "col_id", "elevation").withColumn("_hit", F.lit(True))
     pts = with_cell(points, meta)
     valid = F.col("latitude").between(-90.0, 90.0) & F.col("longitude").between(-180.0, 180.0)
-    out = pts.join(cells.withColumn("_hit", F.lit(True)), ["row_id", "col_id"], "left")
+    out = join_cells(pts, cells, meta, 1, broadcast_limit)
     status = (
         F.when(~valid, F.lit("Invalid coordinates"))
         .when(F.col("_hit").isNull(), F.lit("missing_result"))

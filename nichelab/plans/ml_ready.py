@@ -30,7 +30,7 @@ def species_records(
 ) -> DataFrame:
     """Filtered records of one species (taxon lookup, quality, country, uncertainty, dates)."""
     resolved = filters.resolve_taxon(taxa.filter(F.col("taxonKey") == F.lit(taxon_key)))
-    recs = filters.occurrences_of_taxa(occ, resolved)
+    recs = filters.filter_taxa(occ, resolved)
     recs = filters.occurrence_filters(recs, True, date_from, date_to, country, uncertainty_max)
     if max_records:
         recs = sampling.page(recs, "key", 0, max_records)

@@ -120,3 +120,23 @@ def test_distribution_tiers_sum(spark):
     assert d["very_low"] + d["low"] + d["moderate"] + d["high"] + d["very_high"] == d["total_points"]
     s = grid.risk_summary(df, 3).first()
     assert s["high_risk_points"] + s["medium_risk_points"] + s["low_risk_points"] == 98 and s["month_name"] == "March"
+
+
+def test_skew_split_join_equals_broadcast(spark):
+    from nichelab.operators.joins import hot_keys
+
+    # a third of the points (and more) sit in one cell
+    rows = [(k, 10.1 if k % 5 < 2 else (k % 170) - 85.0, 20.2 if k % 5 < 2 else (k % 350) - 175.0) for k in range(3000)]
+    pts = spark.createDataFrame(rows, "key long, latitude double, longitude double")
+    cells = tables.raster_cells(spark)
+    hot = hot_keys(raster.with_cell(pts, META), ["row_id", "col_id"])
+    assert (15, 40) in hot
+    split = raster.sample_wide(pts, cells, META, broadcast_limit=0)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan
+    direct = raster.sample_wide(pts, cells, META)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, direct.collect()))
+    elev = tables.elevation_cells(spark)
+    a = raster.lookup_elevation(pts, elev, META, broadcast_limit=0)
+    b = raster.lookup_elevation(pts, elev, META)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
