@@ -147,7 +147,7 @@ def test_model_score_formula(spark):
     # AUC, F1, accuracy, specificity, sensitivity, AP -> documented composite score
     rows = [
         ("Random Forest", 0.8284, 0.8553, 0.7548, 0.1100, 1.0000, 0.9306, 0.743705),
-        ("XGBoost", 0.7921, 0.8836, 0.8127, 0.3700, 0.9810, 0.8817, 0.782600),
+        ("Boosted trees", 0.7921, 0.8836, 0.8127, 0.3700, 0.9810, 0.8817, 0.782600),
         ("Enhanced", 0.6928, 0.7835, 0.6970, 0.5400, 0.7567, 0.8422, 0.714515),
     ]
     df = spark.createDataFrame(
@@ -156,7 +156,7 @@ def test_model_score_formula(spark):
     got = {r["model"]: r for r in metrics.model_scores(df).collect()}
     for r in rows:
         assert got[r[0]]["score"] == pytest.approx(r[7], abs=1e-6)
-    assert got["XGBoost"]["is_best"] and got["XGBoost"]["rank"] == 1
+    assert got["Boosted trees"]["is_best"] and got["Boosted trees"]["rank"] == 1
     assert set(SCORE_WEIGHTS) == {"auc", "f1_score", "accuracy", "specificity", "sensitivity", "average_precision"}
 
 
