@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nichelab.schemas import (
     HOTSPOT_LEVELS,
+    LEGEND_STOPS,
     RISK_CATEGORIES,
     RISK_COLOR_BINS,
     RISK_COLOR_FLOOR,
@@ -88,3 +89,23 @@ def threshold_bin(score: Column | str) -> Column:
         .when((k < n) & (threshold_value(k) <= p), k + 1)
         .otherwise(k)
     )
+
+
+def _channels(index: int) -> list[int]:
+    return [int(stop[1 + 2 * index : 3 + 2 * index], 16) for stop in LEGEND_STOPS]
+
+
+def legend_color(risk: Column | str) -> Column:
+    """Colour of the continuous legend: linear per RGB channel between the
+    11 stops at 0.0, 0.1, ..., 1.0 (risk clamped to [0, 1]), rounded to the
+    nearest integer channel value."""
+    r = _c(risk)
+    seg = F.least(F.greatest(F.floor(r * F.lit(10.0)), F.lit(0)), F.lit(9)).cast("int")
+    frac = F.least(F.greatest(r * F.lit(10.0) - seg.cast("double"), F.lit(0.0)), F.lit(1.0))
+    parts = []
+    for ch in range(3):
+        vals = F.array(*[F.lit(v) for v in _channels(ch)])
+        lo = F.element_at(vals, seg + 1)
+        hi = F.element_at(vals, seg + 2)
+        parts.append(F.round(lo.cast("double") + (hi - lo).cast("double") * frac).cast("int"))
+    return F.format_string("#%02X%02X%02X", *parts)

@@ -24,9 +24,18 @@ def coordinate_key(lat: Column | str, lon: Column | str) -> Column:
     return F.format_string("%.3f,%.3f", _c(lat), _c(lon))
 
 
-def location_list(lat: Column | str, lon: Column | str) -> Column:
-    """Aggregate: ``lat,lon|lat,lon|...`` for the rows of a group (a request batch)."""
-    return F.listagg(F.concat_ws(",", _c(lat).cast("string"), _c(lon).cast("string")), "|")
+def location_list(pos: Column | str, lat: Column | str, lon: Column | str) -> Column:
+    """Aggregate: ``lat,lon|lat,lon|...`` of a group (a request batch) in ``pos`` order.
+
+    The group is a fixed-size batch, so the list it gathers is bounded.
+    """
+    item = F.struct(_c(pos).alias("pos"), F.concat_ws(",", _c(lat).cast("string"), _c(lon).cast("string")).alias("loc"))
+    return F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["loc"]), "|")
+
+
+def batch_id(pos: Column | str, size: int) -> Column:
+    """Fixed-size batch number ``pos div size``."""
+    return F.floor(_c(pos) / F.lit(size)).cast("long")
 
 
 def polygon_ring(corners: list[tuple[Column, Column]]) -> Column:

@@ -348,6 +348,21 @@ def color_case() -> str:
     return f"CASE {parts} ELSE '{RISK_COLOR_FLOOR}' END"
 
 
+def legend_case() -> str:
+    """Per-channel linear interpolation between the 11 legend stops."""
+    from nichelab.schemas import LEGEND_STOPS
+
+    seg = "LEAST(GREATEST(CAST(floor(risk * CAST(10 AS DOUBLE)) AS INTEGER), 0), 9)"
+    frac = f"LEAST(GREATEST(risk * CAST(10 AS DOUBLE) - CAST({seg} AS DOUBLE), CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE))"
+    chans = []
+    for ch in range(3):
+        vals = [int(s[1 + 2 * ch : 3 + 2 * ch], 16) for s in LEGEND_STOPS]
+        lo = "[" + ", ".join(map(str, vals)) + f"][{seg} + 1]"
+        hi = "[" + ", ".join(map(str, vals)) + f"][{seg} + 2]"
+        chans.append(f"CAST(ROUND(CAST({lo} AS DOUBLE) + CAST({hi} - {lo} AS DOUBLE) * {frac}) AS INTEGER)")
+    return f"printf('#%02X%02X%02X', {', '.join(chans)})"
+
+
 def lin(lo: str, hi: str, k: str) -> str:
     return f"CASE WHEN {k} = {GRID_N - 1} THEN {hi} ELSE CAST({k} AS DOUBLE) * (({hi} - {lo}) / CAST({GRID_N - 1} AS DOUBLE)) + {lo} END"
 
@@ -425,6 +440,12 @@ FROM pc p LEFT JOIN elev_cell e ON p.row_id = e.row_id AND p.col_id = e.col_id""
   CASE WHEN r.error IS NOT NULL THEN 'Invalid coordinates' WHEN e.elevation IS NULL THEN 'missing_result' ELSE 'ok' END AS elevation_status
 FROM rc r LEFT JOIN wide w ON r.row_id = w.row_id AND r.col_id = w.col_id
 LEFT JOIN elev_cell e ON r.row_id = e.row_id AND r.col_id = e.col_id""",
+    )
+    q["elevation_request_batches"] = with_(
+        [REQUESTS],
+        """SELECT CAST(floor(pos / 50) AS BIGINT) AS batch, COUNT(*) AS n_points,
+  string_agg(CAST(latitude AS VARCHAR) || ',' || CAST(longitude AS VARCHAR), '|' ORDER BY pos) AS locations
+FROM requests GROUP BY CAST(floor(pos / 50) AS BIGINT)""",
     )
     ml_out = ["key", *ML_COLS]
     q["ml_ready_global"] = with_([*BASE, *ML_GLOBAL], select_rounded("mlg", ml_out, ML_DOUBLES))
@@ -557,7 +578,7 @@ FROM (SELECT AVG(risk) AS mean, MAX(risk) AS max, MIN(risk) AS min, STDDEV_POP(r
     q["risk_category"] = with_(
         GRID, f"SELECT idx, {R('risk')} AS risk, {CATEGORY} AS risk_category, {DESCRIPTION} AS risk_description FROM gs"
     )
-    q["risk_color"] = with_(GRID, f"SELECT idx, {R('risk')} AS risk, {color_case()} AS risk_color FROM gs")
+    q["risk_color"] = with_(GRID, f"SELECT idx, {R('risk')} AS risk, {color_case()} AS risk_color, {legend_case()} AS legend_color FROM gs")
     q["hotspots_top5"] = with_(
         GRID,
         f"""SELECT CAST(ROW_NUMBER() OVER (ORDER BY risk DESC, idx DESC) AS INTEGER) AS rank, idx, {R('latitude')} AS latitude,

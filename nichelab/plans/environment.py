@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichelab.functions.formats import normalize_variable
+from nichelab.functions.formats import batch_id, location_list, normalize_variable
 from nichelab.functions.temporal import iso_utc_now
 from nichelab.operators import filters, raster
-from nichelab.schemas import CLIMATE_VARIABLES, DEFAULT_ELEVATION_DATASET
+from nichelab.schemas import CLIMATE_VARIABLES, DEFAULT_ELEVATION_DATASET, ELEVATION_BATCH_SIZE
 from nichelab.sources.tables import RasterMeta
 
 
@@ -49,3 +49,13 @@ def extract_elevation(
     pts = filters.validate_coordinates(requests, strict).drop("error")
     out = raster.lookup_elevation(pts, elev, meta)
     return out.withColumn("dataset", F.lit(DEFAULT_ELEVATION_DATASET))
+
+
+def request_batches(requests: DataFrame, size: int = ELEVATION_BATCH_SIZE) -> DataFrame:
+    """Request points grouped into fixed-size batches by position, each with
+    its point count and the ``lat,lon|...`` location text a batch request sends."""
+    b = requests.withColumn("batch", batch_id("pos", size))
+    return b.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("n_points"),
+        location_list("pos", "latitude", "longitude").alias("locations"),
+    )

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nichelab.functions.numeric import hash_order, round6
+from nichelab.functions import bins
+from nichelab.functions.numeric import round6
 from nichelab.operators import filters, grid, metrics, raster, sampling
 from nichelab.operators.windows import exact_median
 from nichelab.plans import environment, ml_ready, risk_map, training
@@ -192,6 +193,10 @@ def env_extract_batch(spark, sf):
     return finish(out)
 
 
+def elevation_request_batches(spark, sf):
+    return environment.request_batches(tables.coordinate_requests(spark, sf))
+
+
 # ---------------------------------------------------------------- model-ready tables
 
 
@@ -333,7 +338,7 @@ def risk_category(spark, sf):
 
 def risk_color(spark, sf):
     out = grid.categorize(_risk_map(spark, sf).scored)
-    return finish(out.select("idx", "risk", "risk_color"))
+    return finish(out.select("idx", "risk", "risk_color", bins.legend_color("risk").alias("legend_color")))
 
 
 def hotspots_top5(spark, sf):
@@ -428,6 +433,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "elevation_lookup": elevation_lookup,
     "coord_validation": coord_validation,
     "env_extract_batch": env_extract_batch,
+    "elevation_request_batches": elevation_request_batches,
     "ml_ready_global": ml_ready_global,
     "ml_ready_local": ml_ready_local,
     "holdout_global": holdout_global,

@@ -217,6 +217,15 @@ RISK_COLOR_BINS = [
 ]
 RISK_COLOR_FLOOR = "#00E6FF"
 
+# legend colour scale: 11 stops at 0.0, 0.1, ..., 1.0, linear per channel in between
+LEGEND_STOPS = [
+    "#00E6FF", "#00FF99", "#1AFF1A", "#99FF00", "#D8FF00", "#FFFF00",
+    "#FFD700", "#FFA500", "#FF7500", "#FF0000", "#660000",
+]
+
+# elevation requests carry at most this many points
+ELEVATION_BATCH_SIZE = 50
+
 # hotspot marker: darkred >= 0.9, red >= 0.8, else orange; level text likewise
 HOTSPOT_COUNT = 5
 HOTSPOT_LEVELS = [(0.9, "darkred", "CRITICAL"), (0.8, "red", "VERY HIGH"), (None, "orange", "HIGH")]
