@@ -97,6 +97,24 @@ def rf_pipeline(num_trees: int = RF_NUM_TREES) -> Pipeline:
     return Pipeline(stages=[_assembler(), rf])
 
 
+def wide_param_grid(gbt: GBTClassifier) -> list:
+    """The wider grid declared next to the default one (not used by default):
+    depth {3,5,7} x step {0.01,0.1,0.2} x trees {50,100,200} x row sampling
+    {0.8,1.0} x feature sampling {0.8,1.0} x minimum split gain {0,0.1}
+    (216 settings).  The booster's L1/L2 leaf penalties have no counterpart
+    in Spark's GBT and are left out."""
+    return (
+        ParamGridBuilder()
+        .addGrid(gbt.maxDepth, [3, 5, 7])
+        .addGrid(gbt.stepSize, [0.01, 0.1, 0.2])
+        .addGrid(gbt.maxIter, [50, 100, 200])
+        .addGrid(gbt.subsamplingRate, [0.8, 1.0])
+        .addGrid(gbt.featureSubsetStrategy, ["0.8", "all"])
+        .addGrid(gbt.minInfoGain, [0.0, 0.1])
+        .build()
+    )
+
+
 def tune_gbt(
     train: DataFrame,
     depths: list[int] = GBT_MAX_DEPTH_GRID,

@@ -107,3 +107,10 @@ def test_model_risk_map(spark):
     assert out["summary"].first()["month_name"] == "February"
     assert out["cells"].count() == 81 and out["hotspots"].count() == 5
     assert rm.scored.filter((F.col("risk") < 0) | (F.col("risk") > 1)).count() == 0
+
+
+def test_wide_grid_size():
+    from nichelab.plans import training
+
+    _, gbt = training.gbt_pipeline()
+    assert len(training.wide_param_grid(gbt)) == 216
