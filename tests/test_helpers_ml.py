@@ -109,7 +109,7 @@ def test_model_risk_map(spark):
     assert rm.scored.filter((F.col("risk") < 0) | (F.col("risk") > 1)).count() == 0
 
 
-def test_wide_grid_size():
+def test_wide_grid_size(spark):
     from nichelab.plans import training
 
     _, gbt = training.gbt_pipeline()
