@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +66,28 @@ def features(df: DataFrame) -> DataFrame:
     return filters.fill_defaults(df, GRID_FILL_VALUES)
 
 
+# bytes a training row takes in the tree learner (13 doubles, label, weight, overhead)
+TRAINING_ROW_BYTES = 160
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def size_partitions(df: DataFrame, row_bytes: int = TRAINING_ROW_BYTES, target: int = TARGET_PARTITION_BYTES) -> DataFrame:
+    """Give the learner about ``target`` bytes per partition.
+
+    Tree learners run a job per tree level over every partition; a few rows
+    spread over many partitions only add task overhead, and a huge input in
+    few partitions does not fit.  One count fixes the number.
+    """
+    rows = df.count()
+    want = max(1, -(-rows * row_bytes // target))
+    have = df.rdd.getNumPartitions()
+    if want < have:
+        return df.coalesce(want)
+    if want > have:
+        return df.repartition(want)
+    return df
+
+
 def _assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features", handleInvalid="keep")
 
@@ -115,41 +137,59 @@ def wide_param_grid(gbt: GBTClassifier) -> list:
     )
 
 
+@dataclass
+class TunedModel:
+    """Outcome of a grid search: the refit best pipeline and the mean fold AUC per setting."""
+
+    bestModel: PipelineModel
+    depths: list[int]
+    avgMetrics: list[float]
+
+
 def tune_gbt(
     train: DataFrame,
     depths: list[int] = GBT_MAX_DEPTH_GRID,
     folds: int = CV_FOLDS,
     max_iter: int = GBT_MAX_ITER,
     parallelism: int | None = None,
-) -> CrossValidatorModel:
+) -> TunedModel:
     """Grid search over tree depth with k-fold ROC AUC; the best setting is
-    refit on all training rows.  Folds come from a key hash per class, so
-    they are fixed whatever the partitioning."""
-    ensure_checkpoint_dir(train.sparkSession)
-    pipe, gbt = gbt_pipeline(max_iter=max_iter)
-    grid = ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).build()
-    evaluator = BinaryClassificationEvaluator(labelCol="presence", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    cv = CrossValidator(
-        estimator=pipe,
-        estimatorParamMaps=grid,
-        evaluator=evaluator,
-        numFolds=folds,
-        foldCol="fold",
-        seed=SEED,
-        # all (setting, fold) fits run as concurrent Spark jobs
-        parallelism=parallelism or len(depths) * folds,
-    )
-    data = features(train).withColumn("fold", sampling.fold_id("key", folds, label="presence"))
-    return cv.fit(data)
+    refit on all training rows.
 
+    Folds come from a key hash per class, so they are fixed whatever the
+    partitioning.  Every (setting, fold) fit is submitted at once from a
+    thread pool -- concurrent Spark jobs -- instead of fold after fold; the
+    input is persisted for the duration of the search and released after.
+    """
+    from concurrent.futures import ThreadPoolExecutor
 
-def cv_results(model: CrossValidatorModel) -> list[tuple[int, float]]:
+    ensure_checkpoint_dir(train.sparkSession)
+    evaluator = BinaryClassificationEvaluator(labelCol="presence", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
+    data = size_partitions(features(train).withColumn("fold", sampling.fold_id("key", folds, label="presence")))
+    data = data.persist()
+    try:
+
+        def fold_auc(task: tuple[int, int]) -> tuple[int, float]:
+            depth, k = task
+            pipe, _ = gbt_pipeline(max_depth=depth, max_iter=max_iter)
+            model = pipe.fit(data.filter(F.col("fold") != k))
+            return depth, float(evaluator.evaluate(model.transform(data.filter(F.col("fold") == k))))
+
+        tasks = [(d, k) for d in depths for k in range(folds)]
+        with ThreadPoolExecutor(max_workers=parallelism or len(tasks)) as pool:
+            results = list(pool.map(fold_auc, tasks))
+        means = [sum(a for d, a in results if d == depth) / folds for depth in depths]
+        best = depths[max(range(len(depths)), key=lambda i: means[i])]
+        pipe, _ = gbt_pipeline(max_depth=best, max_iter=max_iter)
+        model = pipe.fit(data)
+    finally:
+        data.unpersist()
+    return TunedModel(model, list(depths), means)
+
+
+def cv_results(model: TunedModel) -> list[tuple[int, float]]:
     """(max_depth, mean fold AUC) per grid setting."""
-    out = []
-    for params, auc in zip(model.getEstimatorParamMaps(), model.avgMetrics):
-        depth = [v for p, v in params.items() if p.name == "maxDepth"][0]
-        out.append((int(depth), float(auc)))
-    return out
+    return list(zip(model.depths, model.avgMetrics))
 
 
 def score(model, df: DataFrame, out_col: str = "risk") -> DataFrame:
@@ -160,7 +200,7 @@ def score(model, df: DataFrame, out_col: str = "risk") -> DataFrame:
 
 def importances(model, spark) -> DataFrame:
     """(feature, importance) of the fitted tree ensemble, highest first."""
-    stage = model.bestModel.stages[-1] if isinstance(model, CrossValidatorModel) else model.stages[-1]
+    stage = model.bestModel.stages[-1] if isinstance(model, (CrossValidatorModel, TunedModel)) else model.stages[-1]
     vec = stage.featureImportances.toArray().tolist()
     rows = [(name, float(v)) for name, v in zip(FEATURE_COLUMNS, vec)]
     return spark.createDataFrame(rows, "feature string, importance double")
@@ -172,7 +212,7 @@ def top_importances(imp: DataFrame, k: int = 10) -> DataFrame:
 
 @dataclass
 class TrainingResult:
-    model: CrossValidatorModel
+    model: TunedModel
     scored: DataFrame
     threshold: float
     metrics: DataFrame
@@ -204,7 +244,7 @@ def train_and_evaluate(
 
 
 def save_model(model, path: str) -> None:
-    target = model.bestModel if isinstance(model, CrossValidatorModel) else model
+    target = model.bestModel if isinstance(model, (CrossValidatorModel, TunedModel)) else model
     target.write().overwrite().save(path)
 
 

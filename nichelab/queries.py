@@ -413,7 +413,7 @@ def feature_importance(spark, sf):
 
 def rf_baseline(spark, sf):
     train, val = _training_sets(spark, sf)
-    model = training.rf_pipeline().fit(training.features(train))
+    model = training.rf_pipeline().fit(training.size_partitions(training.features(train)))
     scored = training.score(model, val).select("key", "presence", "risk")
     return finish(metrics.optimal_threshold(scored, score="risk", label="presence"))
 
