@@ -12,7 +12,8 @@ from nichelab.operators.windows import exact_median
 from nichelab.schemas import CLIMATE_VARIABLES, DEFAULT_REGION, GRID_FILL_VALUES, HOTSPOT_COUNT, REGIONS, RISK_HIGH, RISK_MEDIUM
 from nichelab.sources.tables import RasterMeta
 
-Bounds = tuple[float, float, float, float]  # lat_min, lat_max, lon_min, lon_max
+# lat_min, lat_max, lon_min, lon_max: numbers, or columns (scalar subqueries over data)
+Bounds = tuple[float | Column, float | Column, float | Column, float | Column]
 
 
 def region_bounds(
@@ -41,15 +42,28 @@ def check_grid_params(n: int, month: int, max_n: int | None = None) -> None:
 
 
 def data_extent(points: DataFrame, lat: str = "latitude", lon: str = "longitude") -> Bounds:
-    """Bounds of the points: one aggregate row to the driver."""
-    r = points.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
-    return float(r[0]), float(r[1]), float(r[2]), float(r[3])
+    """Bounds of the points as four scalar subqueries over one aggregate.
+
+    They stay in the plan (the optimizer merges them into a single
+    aggregate), so the extent costs no separate driver round trip.
+    """
+    ext = points.agg(
+        F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"), F.min(lon).alias("lon_min"), F.max(lon).alias("lon_max")
+    )
+    return tuple(ext.select(c).scalar() for c in ("lat_min", "lat_max", "lon_min", "lon_max"))
+
+
+def _num(v: float | Column) -> Column:
+    return v if isinstance(v, Column) else F.lit(float(v))
 
 
-def linspace_value(lo: float, hi: float, n: int, k: Column) -> Column:
+def linspace_value(lo: float | Column, hi: float | Column, n: int, k: Column) -> Column:
     """k-th of n evenly spaced values from lo to hi (the last is hi exactly)."""
-    step = (hi - lo) / (n - 1)
-    return F.when(k == F.lit(n - 1), F.lit(float(hi))).otherwise(k.cast("double") * F.lit(step) + F.lit(float(lo)))
+    if isinstance(lo, Column) or isinstance(hi, Column):
+        step = (_num(hi) - _num(lo)) / F.lit(float(n - 1))
+    else:
+        step = F.lit((hi - lo) / (n - 1))
+    return F.when(k == F.lit(n - 1), _num(hi)).otherwise(k.cast("double") * step + _num(lo))
 
 
 def grid_points(spark: SparkSession, bounds: Bounds, n: int, month: int) -> DataFrame:
@@ -153,14 +167,24 @@ def risk_distribution(scored: DataFrame, risk: str = "risk") -> DataFrame:
     return agg.select("total_points", *bands.keys(), *pct)
 
 
-def risk_stats(scored: DataFrame, risk: str = "risk") -> DataFrame:
-    """mean, max, min, population std and exact median, raw and as % at one decimal."""
+# up to this many rows an in-aggregate exact median is cheap and bounded
+IN_AGGREGATE_MEDIAN_ROWS = 1_000_000
+
+
+def risk_stats(scored: DataFrame, risk: str = "risk", max_rows: int | None = None) -> DataFrame:
+    """mean, max, min, population std and exact median, raw and as % at one decimal.
+
+    ``max_rows`` is a bound on the input known in advance (a grid has n x n
+    points); below ``IN_AGGREGATE_MEDIAN_ROWS`` the median is Spark's exact
+    ``median`` in the same aggregate, otherwise the distributed exact median.
+    """
     r = F.col(risk)
-    agg = scored.agg(
-        F.avg(r).alias("mean"), F.max(r).alias("max"), F.min(r).alias("min"), F.stddev_pop(r).alias("std")
-    )
-    med = exact_median(scored, risk, alias="median").select("median").scalar()
-    agg = agg.withColumn("median", med)
+    small = max_rows is not None and max_rows <= IN_AGGREGATE_MEDIAN_ROWS
+    aggs = [F.avg(r).alias("mean"), F.max(r).alias("max"), F.min(r).alias("min"), F.stddev_pop(r).alias("std")]
+    if small:
+        agg = scored.agg(*aggs, F.median(r).alias("median"))
+    else:
+        agg = scored.agg(*aggs).withColumn("median", exact_median(scored, risk, alias="median").select("median").scalar())
     names = ["mean", "max", "min", "std", "median"]
     return agg.select(
         *[round6(c).alias(c) for c in names],

@@ -60,13 +60,16 @@ def with_background(
     lat_bounds: tuple[float, float] = WORLD_LAT_BOUNDS,
     lon_bounds: tuple[float, float] = WORLD_LON_BOUNDS,
     label: str = "presence",
+    known: tuple[bool, bool] | None = None,
 ) -> DataFrame:
     """Add background rows only when a class is missing (UNION ALL by name).
 
-    Only presence rows can be jittered into absences: a frame holding
-    nothing but absences is rejected.
+    ``known`` = (has class 1, has class 0) when the caller knows it (e.g. it
+    just set every label to 1), which saves the checking aggregate.  Only
+    presence rows can be jittered into absences: a frame holding nothing but
+    absences is rejected.
     """
-    has_pos, has_neg = class_presence(data, label)
+    has_pos, has_neg = known if known is not None else class_presence(data, label)
     if has_pos and has_neg:
         return data
     if not has_pos:

@@ -79,7 +79,7 @@ def outputs(rm: RiskMap) -> dict[str, DataFrame]:
     return {
         "summary": G.risk_summary(scored, rm.month),
         "distribution": G.risk_distribution(scored),
-        "stats": G.risk_stats(scored),
+        "stats": G.risk_stats(scored, max_rows=rm.n * rm.n),
         "categories": G.categorize(scored),
         "hotspots": G.hotspots(scored),
         "extent": G.grid_extent(rm.points),

@@ -41,10 +41,16 @@ def prepare_training(global_df: DataFrame, local_df: DataFrame) -> tuple[DataFra
     """Label both tables (presence = 1 when absent) and add background rows
     where a class is missing: 500 worldwide for training, 100 inside the
     local bounds for validation."""
-    g = filters.add_presence_default(global_df)
-    loc = filters.add_presence_default(local_df)
-    train = sampling.with_background(g, BACKGROUND_GLOBAL, WORLD_LAT_BOUNDS, WORLD_LON_BOUNDS)
-    val = sampling.with_background(loc, BACKGROUND_LOCAL, LOCAL_LAT_BOUNDS, LOCAL_LON_BOUNDS)
+    def labelled(df: DataFrame) -> tuple[DataFrame, tuple[bool, bool] | None]:
+        # a label added here is 1 everywhere: the class check is known without a pass
+        if "presence" in df.columns:
+            return df, None
+        return filters.add_presence_default(df), (True, False)
+
+    g, g_known = labelled(global_df)
+    loc, loc_known = labelled(local_df)
+    train = sampling.with_background(g, BACKGROUND_GLOBAL, WORLD_LAT_BOUNDS, WORLD_LON_BOUNDS, known=g_known)
+    val = sampling.with_background(loc, BACKGROUND_LOCAL, LOCAL_LAT_BOUNDS, LOCAL_LON_BOUNDS, known=loc_known)
     return train, val
 
 

@@ -328,7 +328,8 @@ def risk_distribution(spark, sf):
 
 
 def risk_stats(spark, sf):
-    return finish(grid.risk_stats(_risk_map(spark, sf).scored))
+    rm = _risk_map(spark, sf)
+    return finish(grid.risk_stats(rm.scored, max_rows=rm.n * rm.n))
 
 
 def risk_category(spark, sf):
