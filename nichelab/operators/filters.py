@@ -124,12 +124,10 @@ def filter_taxa(occ: DataFrame, resolved: DataFrame) -> DataFrame:
 def add_temporal_features(df: DataFrame) -> DataFrame:
     """month, day_of_year, sin_month, cos_month (I1-I4)."""
     month = temporal.month_feature("month", "event_date")
-    return (
-        df.withColumn("day_of_year", temporal.day_of_year("year", "month", "day", "event_date"))
-        .withColumn("month", month.cast("int"))
-        .withColumn("sin_month", temporal.sin_month("month"))
-        .withColumn("cos_month", temporal.cos_month("month"))
+    out = df.withColumns(
+        {"day_of_year": temporal.day_of_year("year", "month", "day", "event_date"), "month": month.cast("int")}
     )
+    return out.withColumns({"sin_month": temporal.sin_month("month"), "cos_month": temporal.cos_month("month")})
 
 
 def conform(df: DataFrame, schema: T.StructType, keep: list[str] | None = None) -> DataFrame:

@@ -42,15 +42,14 @@ def check_grid_params(n: int, month: int, max_n: int | None = None) -> None:
 
 
 def data_extent(points: DataFrame, lat: str = "latitude", lon: str = "longitude") -> Bounds:
-    """Bounds of the points as four scalar subqueries over one aggregate.
+    """Bounds of the points: four numbers from one aggregate.
 
-    They stay in the plan (the optimizer merges them into a single
-    aggregate), so the extent costs no separate driver round trip.
+    Fetched once so that every grid coordinate and cell corner is built
+    from literals; as scalar subqueries each use would be a subquery of
+    its own.
     """
-    ext = points.agg(
-        F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"), F.min(lon).alias("lon_min"), F.max(lon).alias("lon_max")
-    )
-    return tuple(ext.select(c).scalar() for c in ("lat_min", "lat_max", "lon_min", "lon_max"))
+    r = points.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
+    return float(r[0]), float(r[1]), float(r[2]), float(r[3])
 
 
 def _num(v: float | Column) -> Column:
@@ -94,10 +93,8 @@ def enrich_grid(grid: DataFrame, cells: DataFrame, elev: DataFrame, meta: Raster
     matched = F.lit(False)
     for c in ENV_COLUMNS:
         matched = matched | F.col(c).isNotNull()
-    return (
-        with_elev.withColumn("matched", matched)
-        .withColumn("sin_month", temporal.sin_month("month"))
-        .withColumn("cos_month", temporal.cos_month("month"))
+    return with_elev.withColumns(
+        {"matched": matched, "sin_month": temporal.sin_month("month"), "cos_month": temporal.cos_month("month")}
     )
 
 
@@ -193,9 +190,13 @@ def risk_stats(scored: DataFrame, risk: str = "risk", max_rows: int | None = Non
 
 
 def categorize(scored: DataFrame, risk: str = "risk") -> DataFrame:
-    return scored.withColumn("risk_category", bins.risk_category(risk)).withColumn(
-        "risk_description", bins.risk_description(risk)
-    ).withColumn("risk_color", bins.risk_color(risk))
+    return scored.withColumns(
+        {
+            "risk_category": bins.risk_category(risk),
+            "risk_description": bins.risk_description(risk),
+            "risk_color": bins.risk_color(risk),
+        }
+    )
 
 
 def hotspots(scored: DataFrame, k: int = HOTSPOT_COUNT, risk: str = "risk", idx: str = "idx") -> DataFrame:

@@ -67,6 +67,7 @@ def standard_metrics(
     score: str = "risk",
     label: str = "label",
     by: list[str] | tuple = (),
+    with_threshold: bool = False,
 ) -> DataFrame:
     """accuracy, auc, f1_score, sensitivity, specificity, precision,
     average_precision and the confusion counts tn, fp, fn, tp per group.
@@ -82,7 +83,7 @@ def standard_metrics(
     cum = running_totals(counts, score, ["pos", "neg"], by=by, ascending=False, inclusive=True)
     cum, thr = _with_threshold(cum, threshold, by)
     # compare in a projection: a scalar subquery may not sit inside an aggregate
-    cum = cum.withColumn("_hit", F.col(score) >= thr)
+    cum = cum.withColumn("_thr", thr).withColumn("_hit", F.col(score) >= F.col("_thr"))
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     tp_cum, fp_cum = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
     agg = cum.groupBy(*by).agg(
@@ -92,6 +93,7 @@ def standard_metrics(
         F.sum(pos * tp_cum / (tp_cum + fp_cum)).alias("_ap_sum"),
         F.coalesce(F.sum(F.when(F.col("_hit"), F.col("pos"))), F.lit(0).cast("long")).alias("tp"),
         F.coalesce(F.sum(F.when(F.col("_hit"), F.col("neg"))), F.lit(0).cast("long")).alias("fp"),
+        F.max("_thr").alias("_threshold"),
     )
     P, N = F.col("_P"), F.col("_N")
     both = (P > 0) & (N > 0)
@@ -100,6 +102,7 @@ def standard_metrics(
     m = _metric_columns(tn, fp, fn, tp)
     return agg.select(
         *by,
+        *([F.col("_threshold").cast("double").alias("threshold")] if with_threshold else []),
         m[0],
         F.when(both, F.lit(1.0) - F.col("_auc_loss") / (P.cast("double") * N.cast("double"))).alias("auc"),
         m[1],
@@ -145,8 +148,9 @@ def roc_points(df: DataFrame, score: str = "risk", label: str = "label", by: lis
     if by:
         cum = cum.join(totals, by, "inner")
         P, N = F.col("_P"), F.col("_N")
-    else:
-        P, N = totals.select("_P").scalar(), totals.select("_N").scalar()
+    else:  # two numbers
+        t = totals.first()
+        P, N = F.lit(t["_P"] or 0), F.lit(t["_N"] or 0)
     return cum.select(
         *by,
         F.col(score).alias("threshold"),
@@ -230,10 +234,7 @@ def optimal_threshold(df: DataFrame, score: str = "risk", label: str = "label",
     """Best threshold of the search and the standard metrics at it."""
     by = list(by)
     best = best_threshold(threshold_sweep(df, score, label, by), by)
-    metrics = standard_metrics(df, best, score, label, by)
-    if by:
-        return best.join(metrics, by, "inner")
-    return metrics.select(best.select("threshold").scalar().alias("threshold"), "*")
+    return standard_metrics(df, best, score, label, by, with_threshold=True)
 
 
 def classification_report(

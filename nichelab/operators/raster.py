@@ -40,7 +40,7 @@ def cell_index(meta: RasterMeta, lat: str = "latitude", lon: str = "longitude")
 
 def with_cell(points: DataFrame, meta: RasterMeta, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     row, col = cell_index(meta, lat, lon)
-    return points.withColumn("row_id", row).withColumn("col_id", col)
+    return points.withColumns({"row_id": row, "col_id": col})
 
 
 def clean_value(value: Column, var: Column, nodata: float | None, scale_vars: list[int] = SCALED_BY_TEN) -> Column:
@@ -165,9 +165,8 @@ def lookup_elevation(
         .when(F.col("_hit").isNull(), F.lit("missing_result"))
         .otherwise(F.lit("ok"))
     )
-    return out.withColumn("elevation", F.when(valid, F.col("elevation"))).withColumn("status", status).drop(
-        "_hit", "row_id", "col_id"
-    )
+    keep = [c for c in out.columns if c not in ("_hit", "row_id", "col_id", "elevation")]
+    return out.select(*keep, F.when(valid, F.col("elevation")).alias("elevation"), status.alias("status"))
 
 
 def layer_check(cells: DataFrame, expected: list[str] = ALL_LAYERS) -> DataFrame:

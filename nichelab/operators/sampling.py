@@ -40,10 +40,13 @@ def background_points(
     sample = hash_sample(presence, n, key, seed)
     d_lat = hash_unit(key, LAT_MULT, seed) - F.lit(0.5)
     d_lon = hash_unit(key, LON_MULT, seed) - F.lit(0.5)
-    out = sample.withColumn("latitude", clip(F.col("latitude") + d_lat, *lat_bounds)).withColumn(
-        "longitude", clip(F.col("longitude") + d_lon, *lon_bounds)
+    return sample.withColumns(
+        {
+            "latitude": clip(F.col("latitude") + d_lat, *lat_bounds),
+            "longitude": clip(F.col("longitude") + d_lon, *lon_bounds),
+            "presence": F.lit(0).cast("int"),
+        }
     )
-    return out.withColumn("presence", F.lit(0).cast("int"))
 
 
 def class_presence(df: DataFrame, label: str = "presence") -> tuple[bool, bool]:

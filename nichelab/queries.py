@@ -366,8 +366,13 @@ def grid_cells_geojson_text(spark, sf):
 
 def enhanced_features(spark, sf):
     df = _ml_ready(spark, sf, None)
-    med_lat = exact_median(df, "latitude", alias="m").select("m").scalar()
-    med_lon = exact_median(df, "longitude", alias="m").select("m").scalar()
+    # both medians in one distributed pass over a (column, value) stack; two numbers come back
+    stacked = df.select(F.explode(F.array(
+        F.struct(F.lit("latitude").alias("name"), F.col("latitude").alias("value")),
+        F.struct(F.lit("longitude").alias("name"), F.col("longitude").alias("value")),
+    )).alias("s")).select("s.*")
+    med = {r["name"]: r["m"] for r in exact_median(stacked, "value", by=["name"], alias="m").collect()}
+    med_lat, med_lon = F.lit(med.get("latitude")).cast("double"), F.lit(med.get("longitude")).cast("double")
     c = F.col
     pairs = [("bio1", "bio12"), ("bio1", "bio13"), ("bio6", "bio14"), ("bio5", "bio6"), ("bio13", "bio15"), ("bio14", "bio15")]
     out = df.select(
