@@ -29,6 +29,10 @@ def skew_split_left_join(left: DataFrame, right: DataFrame, keys: list[str], hot
     Rows of hot keys meet a broadcast copy of the (at most ``len(hot)``)
     matching right rows, so no task receives a hot key's rows; the rest is
     an ordinary shuffle join.  Null keys take the ordinary path.
+
+    ``right`` must hold at most one row per key (a cell table): then the
+    broadcast side has at most ``len(hot)`` rows, a bound known before the
+    join runs.
     """
     if not hot:
         return left.join(right, keys, "left")

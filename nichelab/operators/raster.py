@@ -185,6 +185,37 @@ def layer_check(cells: DataFrame, expected: list[str] = ALL_LAYERS) -> DataFrame
     )
 
 
+def layer_coverage(
+    points: DataFrame,
+    cells: DataFrame,
+    meta: RasterMeta,
+    expected: list[str] = ALL_LAYERS,
+    broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
+) -> DataFrame:
+    """``layer_check`` plus, per layer, how many points fall in a cell with a value.
+
+    Points are first counted per cell (map-side partial counts, at most one
+    row per raster cell), so the layer totals never move the points
+    themselves; a missing layer shows 0 covered points.
+    """
+    per_cell = with_cell(points, meta).dropna(subset=["row_id", "col_id"]).groupBy("row_id", "col_id").agg(
+        F.count(F.lit(1)).alias("_pts")
+    )
+    valued = cells.select("var", "row_id", "col_id", clean_value(F.col("value"), F.col("var"), meta.nodata).alias("value"))
+    valued = valued.filter(F.col("value").isNotNull()).select("var", "row_id", "col_id")
+    n_layers = len(expected)
+    # the valued cells are unique per (var, row, col); one point-count row per cell meets them
+    hit = per_cell.join(_maybe_broadcast(valued, meta, n_layers, broadcast_limit), ["row_id", "col_id"], "inner")
+    covered = hit.groupBy("var").agg(F.sum("_pts").alias("points_with_value"))
+    check = layer_check(cells, expected)
+    spark = cells.sparkSession
+    names = spark.createDataFrame([(name, int(name[3:])) for name in expected], "layer string, var int")
+    cov = names.join(covered, "var", "left").select(
+        "layer", F.coalesce(F.col("points_with_value"), F.lit(0).cast("long")).alias("points_with_value")
+    )
+    return check.join(cov, "layer", "inner")
+
+
 def missing_layers(cells: DataFrame, expected: list[str] = ALL_LAYERS) -> DataFrame:
     spark = cells.sparkSession
     exp = spark.createDataFrame([(name, int(name[3:])) for name in expected], "layer string, var int")

@@ -417,9 +417,13 @@ FROM pc p LEFT JOIN wide w ON p.row_id = w.row_id AND p.col_id = w.col_id"""
     q["raster_sample_wide"] = with_([OCCURRENCE, POINTS, RASTER, pc], wide_sel)
     q["raster_dedup_sample"] = q["raster_sample_wide"]
     q["layer_check"] = with_(
-        [RASTER],
-        f"""SELECT 'bio' || CAST(e.range AS VARCHAR) AS layer, COALESCE(c.n, 0) AS n_cells, c.n IS NOT NULL AS present
-FROM range(1, 20) e LEFT JOIN (SELECT var, COUNT(*) AS n FROM raster_cell GROUP BY var) c ON c.var = e.range""",
+        [OCCURRENCE, POINTS, RASTER, pc],
+        f"""SELECT 'bio' || CAST(e.range AS VARCHAR) AS layer, COALESCE(c.n, 0) AS n_cells, c.n IS NOT NULL AS present,
+  COALESCE(v.pts, 0) AS points_with_value
+FROM range(1, 20) e
+LEFT JOIN (SELECT var, COUNT(*) AS n FROM raster_cell GROUP BY var) c ON c.var = e.range
+LEFT JOIN (SELECT cc.var, COUNT(*) AS pts FROM pc p JOIN cell_clean cc ON cc.row_id = p.row_id AND cc.col_id = p.col_id
+           WHERE cc.value IS NOT NULL GROUP BY cc.var) v ON v.var = e.range""",
     )
     q["elevation_lookup"] = with_(
         [OCCURRENCE, POINTS, ELEV, pc],

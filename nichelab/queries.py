@@ -172,7 +172,8 @@ def raster_dedup_sample(spark, sf):
 
 
 def layer_check(spark, sf):
-    return raster.layer_check(tables.raster_cells(spark, sf))
+    pts = _points(spark, sf).select("latitude", "longitude")
+    return raster.layer_coverage(pts, tables.raster_cells(spark, sf), META)
 
 
 def elevation_lookup(spark, sf):
