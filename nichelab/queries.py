@@ -24,7 +24,6 @@ from nichelab.schemas import (
     ML_READY_COLUMNS,
     OCCURRENCE_PAGE,
     PIPELINE_UNCERTAINTY_MAX,
-    SEED,
 )
 from nichelab.sources import readers, sinks, tables
 from nichelab.sources.tables import FIXTURE_RASTER as META

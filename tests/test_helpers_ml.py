@@ -92,7 +92,6 @@ def test_train_evaluate_save_load_score(spark, tmp_dir):
 
 
 def test_model_risk_map(spark):
-    from pyspark.sql import Row
 
     from nichelab.plans import risk_map, training
     from nichelab import queries as Q
