@@ -88,3 +88,15 @@ def save_threshold(spark: SparkSession, threshold: float, path: str) -> None:
 
 def load_threshold(spark: SparkSession, path: str) -> float:
     return float(spark.read.parquet(path).first()["threshold"])
+
+
+def write_raster_cells(cells: DataFrame, path: str) -> None:
+    """Store a long cell table partitioned by layer, each layer's cells sorted by (row, col),
+    so that reading a few layers lists only their folders."""
+    (
+        cells.repartition("var")
+        .sortWithinPartitions("row_id", "col_id")
+        .write.mode("overwrite")
+        .partitionBy("var")
+        .parquet(path)
+    )

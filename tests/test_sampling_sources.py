@@ -145,3 +145,27 @@ def test_streaming_matches_batch(spark, tmp_dir):
     cols = ["key", "latitude", "elevation", *CLIMATE_VARIABLES, "month", "day_of_year"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
     assert got.count() > 0
+
+
+def test_raster_partition_pruning(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "cells")
+    sinks.write_raster_cells(tables.raster_cells(spark), path)
+    df = readers.read_raster_cells(spark, path, [1, 12])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [var#" in plan and "IN (1,12)]" in plan
+    assert sorted(r["var"] for r in df.select("var").distinct().collect()) == [1, 12]
+    assert df.count() == 2 * 36 * 72
+
+
+@pytest.mark.parametrize("fmt", ["json", "tsv", "parquet"])
+def test_occurrence_file_formats(spark, tmp_dir, fmt):
+    occ = tables.occurrences(spark, SF001).limit(50)
+    path = os.path.join(tmp_dir, fmt)
+    if fmt == "json":
+        occ.write.json(path)
+    elif fmt == "tsv":
+        occ.write.option("header", True).option("sep", "\t").csv(path)
+    else:
+        occ.write.parquet(path)
+    back = readers.read_occurrences(spark, path, fmt)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, occ.collect()))
