@@ -466,6 +466,12 @@ FROM requests GROUP BY CAST(floor(pos / 50) AS BIGINT)""",
   COUNT(*) - CAST(COALESCE(SUM(presence), 0) AS BIGINT) AS n_background,
   COALESCE(BOOL_OR(presence = 1), FALSE) AS has_presence, COALESCE(BOOL_OR(presence = 0), FALSE) AS has_background FROM {src}"""
     q["class_balance"] = with_(TRAINING, bal("train", "train_set") + "\nUNION ALL\n" + bal("validation", "val_set"))
+    q["label_class_balance"] = "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS label_name, COUNT(*) AS n_rows, CAST(COALESCE(SUM({c}), 0) AS BIGINT) AS n_presence,
+  COUNT(*) - CAST(COALESCE(SUM({c}), 0) AS BIGINT) AS n_background,
+  COALESCE(BOOL_OR({c} = 1), FALSE) AS has_presence, COALESCE(BOOL_OR({c} = 0), FALSE) AS has_background FROM labels"""
+        for c in ("quality", "toxic")
+    )
     q["background_points"] = with_(TRAINING, select_rounded("train_set", ["key", "presence", *ML_COLS], ML_DOUBLES))
     q["split_80_20"] = with_(
         [*BASE, *ML_GLOBAL],

@@ -212,6 +212,26 @@ def holdout_global(spark, sf):
     return finish(ml_ready.holdout(_ml_ready(spark, sf, None), _ml_ready(spark, sf, LOCAL_COUNTRY)))
 
 
+def label_class_balance(spark, sf):
+    """Class balance of the two binary columns of ``labels`` (one aggregate pass)."""
+    lab = tables.read_table(spark, sf, "labels").select("quality", "toxic")
+    stacked = lab.select(F.explode(F.array(
+        F.struct(F.lit("quality").alias("label_name"), F.col("quality").alias("presence")),
+        F.struct(F.lit("toxic").alias("label_name"), F.col("toxic").alias("presence")),
+    )).alias("s")).select("s.*")
+    y = F.col("presence")
+    agg = stacked.groupBy("label_name").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.coalesce(F.sum(y), F.lit(0)).cast("long").alias("n_presence"),
+        F.coalesce(F.max((y == 1).cast("int")), F.lit(0)).cast("boolean").alias("has_presence"),
+        F.coalesce(F.max((y == 0).cast("int")), F.lit(0)).cast("boolean").alias("has_background"),
+    )
+    return agg.select(
+        "label_name", "n_rows", "n_presence", (F.col("n_rows") - F.col("n_presence")).alias("n_background"),
+        "has_presence", "has_background",
+    )
+
+
 def presence_default(spark, sf):
     return finish(filters.add_presence_default(_ml_ready(spark, sf, LOCAL_COUNTRY)))
 
@@ -445,6 +465,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "holdout_global": holdout_global,
     "class_balance": class_balance,
     "presence_default": presence_default,
+    "label_class_balance": label_class_balance,
     "background_points": background_points,
     "split_80_20": split_80_20,
     "folds": folds,
