@@ -232,20 +232,23 @@ def train_and_evaluate(
     limit_rows: int = 0,
     max_iter: int = GBT_MAX_ITER,
     depths: list[int] = GBT_MAX_DEPTH_GRID,
+    tuned: TunedModel | None = None,
 ) -> TrainingResult:
-    """Subsample (optional), tune + refit, score validation (or the training
-    rows when there is none), search the threshold, report metrics."""
+    """Subsample (optional), tune + refit (unless ``tuned`` is given), score
+    validation (or the training rows when there is none), search the
+    threshold, report metrics."""
     train, validation = sampling.subsample(train, validation, limit_rows)
-    cvm = tune_gbt(train, depths=depths, max_iter=max_iter)
+    cvm = tuned or tune_gbt(train, depths=depths, max_iter=max_iter)
     target = validation if validation is not None else train
     scored = score(cvm.bestModel, target).select("key", "presence", "risk")
     best = metrics.optimal_threshold(scored, score="risk", label="presence")
     row = best.first()
     spark = train.sparkSession
-    summary = spark.createDataFrame(
-        [(train.count(), target.count(), bool(limit_rows and limit_rows > 0), float(row["threshold"]))],
-        "training_rows long, validation_rows long, subsampled boolean, threshold double",
-    )
+    # one summary row (J8): sizes, subsample flag, the searched threshold and its metrics
+    fields = ["training_rows long", "validation_rows long", "subsampled boolean"]
+    fields += [f"{f.name} {f.dataType.simpleString()}" for f in best.schema.fields]
+    values = (train.count(), target.count(), bool(limit_rows and limit_rows > 0), *[row[c] for c in best.columns])
+    summary = spark.createDataFrame([values], ", ".join(fields))
     return TrainingResult(cvm, scored, float(row["threshold"]), best, cv_results(cvm), summary)
 
 

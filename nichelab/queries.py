@@ -437,6 +437,20 @@ def feature_importance(spark, sf):
     return training.top_importances(training.importances(cvm, spark), 10)
 
 
+def training_summary(spark, sf):
+    cvm, train, val = _fit(spark, sf)
+    return finish(training.train_and_evaluate(train, val, tuned=cvm).summary)
+
+
+def model_risk_summary(spark, sf):
+    """The default region's grid scored by the trained model, summarised."""
+    cvm, _, _ = _fit(spark, sf)
+    rm = risk_map.model_risk_map(
+        spark, cvm.bestModel, tables.raster_cells(spark, sf), tables.elevation_cells(spark, sf), META, n=GRID_N, month=GRID_MONTH
+    )
+    return finish(grid.risk_summary(rm.scored, rm.month))
+
+
 def rf_baseline(spark, sf):
     train, val = _training_sets(spark, sf)
     model = training.rf_pipeline().fit(training.size_partitions(training.features(train)))
@@ -498,4 +512,6 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cv_grid": cv_grid,
     "feature_importance": feature_importance,
     "rf_baseline": rf_baseline,
+    "training_summary": training_summary,
+    "model_risk_summary": model_risk_summary,
 }

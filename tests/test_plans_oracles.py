@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from conftest import SF001
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ML = {"gbt_train_score", "cv_grid", "feature_importance", "rf_baseline"}
+ML = {"gbt_train_score", "cv_grid", "feature_importance", "rf_baseline", "training_summary", "model_risk_summary"}
 SQL = E.oracle_sql()
 
 
