@@ -32,9 +32,14 @@ def predict(score: Column | str, threshold: float | Column) -> Column:
     return (s >= t).cast("int")
 
 
+def valid_scores(df: DataFrame, score: str = "risk") -> DataFrame:
+    """Rows with a usable score (not null, not NaN)."""
+    return df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score)))
+
+
 def score_counts(df: DataFrame, score: str = "risk", label: str = "label", by: list[str] | tuple = ()) -> DataFrame:
-    """(by..., score, pos, neg): one row per distinct score; label 1 is positive."""
-    return df.groupBy(*by, score).agg(
+    """(by..., score, pos, neg): one row per distinct usable score; label 1 is positive."""
+    return valid_scores(df, score).groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.col(label) != 1).alias("neg"),
     )
@@ -123,7 +128,7 @@ def confusion(
     """tn, fp, fn, tp at a threshold (one pass, conditional counts)."""
     pred = F.col(score) >= F.lit(float(threshold))
     y = F.col(label) == 1
-    return df.groupBy(*by).agg(
+    return valid_scores(df, score).groupBy(*by).agg(
         F.count_if(~pred & ~y).alias("tn"),
         F.count_if(pred & ~y).alias("fp"),
         F.count_if(~pred & y).alias("fn"),
@@ -168,7 +173,7 @@ def threshold_sweep(df: DataFrame, score: str = "risk", label: str = "label", by
     group.  No row is repeated per threshold.
     """
     by = list(by)
-    bins = df.groupBy(*by, threshold_bin(F.col(score)).alias("bin")).agg(
+    bins = valid_scores(df, score).groupBy(*by, threshold_bin(F.col(score)).alias("bin")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
     per_group = bins.groupBy(*by).agg(
@@ -296,7 +301,7 @@ def transfer_gap(
     """Accuracy on the training share minus accuracy on the held-out share, per model."""
     is_train = hash_order(key, 7919, SEED) % 100 < train_percent
     correct = predict(score, threshold) == F.col(label)
-    agg = df.groupBy(model_col).agg(
+    agg = valid_scores(df, score).groupBy(model_col).agg(
         F.count_if(is_train & correct).alias("_tc"),
         F.count_if(is_train).alias("_tn"),
         F.count_if(~is_train & correct).alias("_vc"),

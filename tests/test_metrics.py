@@ -168,3 +168,12 @@ def test_transfer_gap_shape(spark):
     assert len(rows) == 5
     for r in rows:
         assert r["gap"] == pytest.approx(r["train_accuracy"] - r["validation_accuracy"])
+
+
+def test_unusable_scores_are_ignored(spark):
+    rows = _random_scored(9, n=200)
+    clean = metrics.optimal_threshold(_frame(spark, rows)).first()
+    dirty = rows + [(1000, None, 1), (1001, float("nan"), 0)]
+    got = metrics.optimal_threshold(_frame(spark, dirty)).first()
+    assert got["auc"] == clean["auc"] and got["threshold"] == clean["threshold"]
+    assert got["average_precision"] == clean["average_precision"]
