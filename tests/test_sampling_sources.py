@@ -169,3 +169,20 @@ def test_occurrence_file_formats(spark, tmp_dir, fmt):
         occ.write.parquet(path)
     back = readers.read_occurrences(spark, path, fmt)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, occ.collect()))
+
+
+def test_filter_chain_counts_match_survey_probe(spark):
+    """M1 without the taxon step at sf0.01: 7,750 of 15,000 records pass the
+    record filters and 5,136 survive the completeness filter."""
+    from conftest import SF01
+    from nichelab.operators import raster as R
+    from nichelab.schemas import ML_READY, PIPELINE_UNCERTAINTY_MAX, REQUIRED_NON_NULL
+
+    occ = tables.occurrences(spark, SF01)
+    assert occ.count() == 15000
+    recs = filters.occurrence_filters(occ, quality=True, uncertainty_max=PIPELINE_UNCERTAINTY_MAX)
+    assert recs.count() == 7750
+    pts = filters.add_temporal_features(filters.drop_missing_coordinates(filters.project_occurrences(recs)))
+    env = R.lookup_elevation(R.sample_wide(pts, tables.raster_cells(spark), META), tables.elevation_cells(spark), META)
+    out = filters.drop_incomplete(filters.conform(env, ML_READY), REQUIRED_NON_NULL)
+    assert out.count() == 5136
