@@ -37,21 +37,30 @@ from nichelab.schemas import (
 )
 
 
+def _labelled(df: DataFrame) -> tuple[DataFrame, tuple[bool, bool] | None]:
+    # a label added here is 1 everywhere: the class check is known without a pass
+    if "presence" in df.columns:
+        return df, None
+    return filters.add_presence_default(df), (True, False)
+
+
+def training_set(global_df: DataFrame) -> DataFrame:
+    """Global table labelled (presence = 1 when absent), plus 500 worldwide
+    background rows when a class is missing."""
+    g, known = _labelled(global_df)
+    return sampling.with_background(g, BACKGROUND_GLOBAL, WORLD_LAT_BOUNDS, WORLD_LON_BOUNDS, known=known)
+
+
+def validation_set(local_df: DataFrame) -> DataFrame:
+    """Local table labelled, plus 100 background rows inside the local bounds
+    when a class is missing."""
+    loc, known = _labelled(local_df)
+    return sampling.with_background(loc, BACKGROUND_LOCAL, LOCAL_LAT_BOUNDS, LOCAL_LON_BOUNDS, known=known)
+
+
 def prepare_training(global_df: DataFrame, local_df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Label both tables (presence = 1 when absent) and add background rows
-    where a class is missing: 500 worldwide for training, 100 inside the
-    local bounds for validation."""
-    def labelled(df: DataFrame) -> tuple[DataFrame, tuple[bool, bool] | None]:
-        # a label added here is 1 everywhere: the class check is known without a pass
-        if "presence" in df.columns:
-            return df, None
-        return filters.add_presence_default(df), (True, False)
-
-    g, g_known = labelled(global_df)
-    loc, loc_known = labelled(local_df)
-    train = sampling.with_background(g, BACKGROUND_GLOBAL, WORLD_LAT_BOUNDS, WORLD_LON_BOUNDS, known=g_known)
-    val = sampling.with_background(loc, BACKGROUND_LOCAL, LOCAL_LAT_BOUNDS, LOCAL_LON_BOUNDS, known=loc_known)
-    return train, val
+    """Both labelled tables with background rows where a class is missing."""
+    return training_set(global_df), validation_set(local_df)
 
 
 def class_balance(df: DataFrame, label: str = "presence") -> DataFrame:

@@ -244,7 +244,7 @@ def class_balance(spark, sf):
 
 
 def background_points(spark, sf):
-    train, _ = _training_sets(spark, sf)
+    train = training.training_set(_ml_ready(spark, sf, None))
     return finish(train.select("key", "presence", *ML_READY_COLUMNS))
 
 
@@ -254,7 +254,7 @@ def split_80_20(spark, sf):
 
 
 def folds(spark, sf):
-    train, _ = _training_sets(spark, sf)
+    train = training.training_set(_ml_ready(spark, sf, None))
     return train.select("key", "presence", sampling.fold_id("key", 3, label="presence").alias("fold"))
 
 
