@@ -120,9 +120,17 @@ def sample_wide(
     variables: list[int] = CLIMATE_NUMBERS,
     broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
     keep_cell: bool = False,
+    wide: DataFrame | None = None,
 ) -> DataFrame:
-    """Points with one column per layer: a single left join on (row, col)."""
-    wide = widen_cells(cells, meta, variables)
+    """Points with one column per layer: a single left join on (row, col).
+
+    ``wide`` is a stored wide cell table (see ``sinks.write_wide_cells``);
+    without it the long cells are pivoted in the job.
+    """
+    if wide is None:
+        wide = widen_cells(cells, meta, variables)
+    else:
+        wide = wide.select("row_id", "col_id", *[f"bio{v}" for v in variables])
     out = join_cells(with_cell(points, meta), wide, meta, len(variables), broadcast_limit)
     return out if keep_cell else out.drop("row_id", "col_id")
 

@@ -92,3 +92,8 @@ def lat_lon_struct(lat: Column | str, lon: Column | str) -> Column:
     lat_c = F.col(lat) if isinstance(lat, str) else lat
     lon_c = F.col(lon) if isinstance(lon, str) else lon
     return F.struct(lat_c.alias("latitude"), lon_c.alias("longitude"))
+
+
+def read_wide_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The stored wide cell table ``(row_id, col_id, bioN...)``."""
+    return spark.read.parquet(path)

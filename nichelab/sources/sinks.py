@@ -100,3 +100,9 @@ def write_raster_cells(cells: DataFrame, path: str) -> None:
         .partitionBy("var")
         .parquet(path)
     )
+
+
+def write_wide_cells(wide: DataFrame, path: str) -> None:
+    """Store the one-row-per-cell layer table once per raster, clustered by
+    (row, col) so joins read it sequentially; jobs then skip the pivot."""
+    wide.repartitionByRange("row_id", "col_id").sortWithinPartitions("row_id", "col_id").write.mode("overwrite").parquet(path)

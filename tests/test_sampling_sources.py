@@ -186,3 +186,15 @@ def test_filter_chain_counts_match_survey_probe(spark):
     env = R.lookup_elevation(R.sample_wide(pts, tables.raster_cells(spark), META), tables.elevation_cells(spark), META)
     out = filters.drop_incomplete(filters.conform(env, ML_READY), REQUIRED_NON_NULL)
     assert out.count() == 5136
+
+
+def test_stored_wide_cells_give_same_samples(spark, tmp_dir):
+    from nichelab.operators import raster as R
+
+    path = os.path.join(tmp_dir, "wide")
+    cells = tables.raster_cells(spark)
+    sinks.write_wide_cells(R.widen_cells(cells, META), path)
+    pts = filters.drop_missing_coordinates(filters.project_occurrences(tables.occurrences(spark, SF001))).select("key", "latitude", "longitude")
+    a = R.sample_wide(pts, cells, META)
+    b = R.sample_wide(pts, None, META, wide=readers.read_wide_cells(spark, path))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
