@@ -41,44 +41,52 @@ def check_grid_params(n: int, month: int, max_n: int | None = None) -> None:
         raise ValueError(f"month {month} out of range")
 
 
-def data_extent(points: DataFrame, lat: str = "latitude", lon: str = "longitude") -> Bounds:
-    """Bounds of the points: four numbers from one aggregate.
-
-    Fetched once so that every grid coordinate and cell corner is built
-    from literals; as scalar subqueries each use would be a subquery of
-    its own.
-    """
-    r = points.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
-    return float(r[0]), float(r[1]), float(r[2]), float(r[3])
+def data_extent(points: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """One-row frame ``(lat_min, lat_max, lon_min, lon_max)`` of the points, kept lazy:
+    a grid built on it reads the bounds as one merged scalar subquery."""
+    return points.agg(
+        F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"), F.min(lon).alias("lon_min"), F.max(lon).alias("lon_max")
+    )
 
 
-def _num(v: float | Column) -> Column:
-    return v if isinstance(v, Column) else F.lit(float(v))
+def _bound_columns(bounds: Bounds | DataFrame) -> dict[str, Column]:
+    names = ["lat_min", "lat_max", "lon_min", "lon_max"]
+    if isinstance(bounds, DataFrame):
+        return {f"_{c}": bounds.select(c).scalar() for c in names}
+    return {f"_{c}": F.lit(float(v)) for c, v in zip(names, bounds)}
 
 
-def linspace_value(lo: float | Column, hi: float | Column, n: int, k: Column) -> Column:
+def linspace_value(lo: Column, hi: Column, n: int, k: Column) -> Column:
     """k-th of n evenly spaced values from lo to hi (the last is hi exactly)."""
-    if isinstance(lo, Column) or isinstance(hi, Column):
-        step = (_num(hi) - _num(lo)) / F.lit(float(n - 1))
-    else:
-        step = F.lit((hi - lo) / (n - 1))
-    return F.when(k == F.lit(n - 1), _num(hi)).otherwise(k.cast("double") * step + _num(lo))
+    step = (hi - lo) / F.lit(float(n - 1))
+    return F.when(k == F.lit(n - 1), hi).otherwise(k.cast("double") * step + lo)
 
 
-def grid_points(spark: SparkSession, bounds: Bounds, n: int, month: int) -> DataFrame:
-    """n x n points, ``idx = i * n + j`` with latitude ``lats[j]`` and longitude ``lons[i]``."""
+GRID_COLUMNS = ["idx", "i", "j", "latitude", "longitude", "month"]
+
+
+def grid_points(spark: SparkSession, bounds: Bounds | DataFrame, n: int, month: int) -> DataFrame:
+    """n x n points, ``idx = i * n + j`` with latitude ``lats[j]`` and longitude ``lons[i]``.
+
+    ``bounds`` are numbers or a one-row extent frame; the bounds are projected
+    once and every coordinate refers to those columns.  ``lat_next`` /
+    ``lon_next`` (``lats[j+1]``, ``lons[i+1]``) carry what a cell polygon
+    needs, so cells never look up their neighbours with a join.
+    """
     check_grid_params(n, month)
-    lat_min, lat_max, lon_min, lon_max = bounds
-    ids = spark.range(n * n)
+    ids = spark.range(n * n).withColumns(_bound_columns(bounds))
     i = (F.col("id") / n).cast("int")
     j = (F.col("id") % n).cast("int")
+    lat0, lat1, lon0, lon1 = (F.col(c) for c in ("_lat_min", "_lat_max", "_lon_min", "_lon_max"))
     return ids.select(
         F.col("id").alias("idx"),
         i.alias("i"),
         j.alias("j"),
-        linspace_value(lat_min, lat_max, n, j).alias("latitude"),
-        linspace_value(lon_min, lon_max, n, i).alias("longitude"),
+        linspace_value(lat0, lat1, n, j).alias("latitude"),
+        linspace_value(lon0, lon1, n, i).alias("longitude"),
         F.lit(month).cast("int").alias("month"),
+        linspace_value(lat0, lat1, n, j + 1).alias("lat_next"),
+        linspace_value(lon0, lon1, n, i + 1).alias("lon_next"),
     )
 
 
@@ -224,19 +232,15 @@ def grid_extent(points: DataFrame) -> DataFrame:
     )
 
 
-def grid_cells(scored: DataFrame, bounds: Bounds, n: int, risk: str = "risk") -> DataFrame:
+def grid_cells(scored: DataFrame, n: int, risk: str = "risk") -> DataFrame:
     """One polygon per grid cell (i, j), i, j < n - 1, scored by its corner (i, j).
 
     Corners follow the grid's own geometry: (i, j), (i, j+1), (i+1, j+1),
-    (i+1, j) in (lat, lon) = (lats[j], lons[i]).  Because every corner is a
-    function of the indices, the neighbour lookup needs no self-join.
+    (i+1, j) in (lat, lon) = (lats[j], lons[i]); the next latitude and
+    longitude travel with each point, so no self-join is needed.
     """
-    lat_min, lat_max, lon_min, lon_max = bounds
     i, j = F.col("i"), F.col("j")
-    lat_j = linspace_value(lat_min, lat_max, n, j)
-    lat_j1 = linspace_value(lat_min, lat_max, n, j + 1)
-    lon_i = linspace_value(lon_min, lon_max, n, i)
-    lon_i1 = linspace_value(lon_min, lon_max, n, i + 1)
+    lat_j, lat_j1, lon_i, lon_i1 = F.col("latitude"), F.col("lat_next"), F.col("longitude"), F.col("lon_next")
     corners = [(lat_j, lon_i), (lat_j1, lon_i), (lat_j1, lon_i1), (lat_j, lon_i1)]
     cells = scored.filter((i < n - 1) & (j < n - 1))
     out = cells.select(

@@ -13,7 +13,7 @@ from nichelab.sources.tables import RasterMeta
 
 @dataclass
 class RiskMap:
-    bounds: G.Bounds
+    bounds: G.Bounds | DataFrame  # numbers, or the lazy extent frame
     n: int
     month: int
     points: DataFrame  # idx, i, j, latitude, longitude, month
@@ -44,10 +44,11 @@ def density_risk_map(
     meta: RasterMeta,
     n: int = 50,
     month: int = 1,
-    bounds: G.Bounds | None = None,
+    bounds: G.Bounds | DataFrame | None = None,
 ) -> RiskMap:
     """Risk map over the occurrences' extent (or given bounds) scored by occurrence density."""
-    bounds = bounds or G.data_extent(occurrence_points)
+    if bounds is None:
+        bounds = G.data_extent(occurrence_points)
     points, enriched, filled = build_grid(spark, cells, elev, meta, bounds, n, month)
     scored = G.density_score(filled, occurrence_points, meta)
     return RiskMap(bounds, n, month, points, enriched, filled, scored)
@@ -83,7 +84,7 @@ def outputs(rm: RiskMap) -> dict[str, DataFrame]:
         "categories": G.categorize(scored),
         "hotspots": G.hotspots(scored),
         "extent": G.grid_extent(rm.points),
-        "cells": G.grid_cells(scored, rm.bounds, rm.n),
+        "cells": G.grid_cells(scored, rm.n),
         "null_profile": G.null_profile(rm.enriched),
         "coverage": G.match_coverage(rm.enriched),
     }

@@ -322,7 +322,7 @@ def transfer_gap(spark, sf):
 
 def grid_points(spark, sf):
     rm = _risk_map(spark, sf)
-    return finish(rm.points)
+    return finish(rm.points.select(*grid.GRID_COLUMNS))
 
 
 def grid_enriched(spark, sf):
@@ -372,13 +372,13 @@ def grid_extent(spark, sf):
 
 def grid_cells_geojson(spark, sf):
     rm = _risk_map(spark, sf)
-    cells = grid.grid_cells(rm.scored, rm.bounds, rm.n)
+    cells = grid.grid_cells(rm.scored, rm.n)
     return finish(cells.drop("ring", "navigation_url", "risk_description"))
 
 
 def grid_cells_geojson_text(spark, sf):
     rm = _risk_map(spark, sf)
-    return sinks.geojson_feature_lines(grid.grid_cells(rm.scored, rm.bounds, rm.n))
+    return sinks.geojson_feature_lines(grid.grid_cells(rm.scored, rm.n))
 
 
 # ---------------------------------------------------------------- documented feature set

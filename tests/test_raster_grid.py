@@ -55,6 +55,9 @@ def test_grid_matches_meshgrid(spark, n):
     lats, lons = np.linspace(b[0], b[1], n), np.linspace(b[2], b[3], n)
     lat_grid, lon_grid = np.meshgrid(lats, lons)
     got = grid.grid_points(spark, b, n, 3).orderBy("idx").collect()
+    ext = spark.createDataFrame([b], "lat_min double, lat_max double, lon_min double, lon_max double")
+    lazy = grid.grid_points(spark, ext, n, 3).orderBy("idx").collect()
+    assert [tuple(r) for r in lazy] == [tuple(r) for r in got]
     assert [r["idx"] for r in got] == list(range(n * n))
     assert [r["latitude"] for r in got] == lat_grid.flatten().tolist()
     assert [r["longitude"] for r in got] == lon_grid.flatten().tolist()
@@ -65,7 +68,7 @@ def test_grid_cells_corners(spark):
     lats, lons = np.linspace(b[0], b[1], n), np.linspace(b[2], b[3], n)
     lat_grid, lon_grid = np.meshgrid(lats, lons)
     scored = grid.grid_points(spark, b, n, 1).withColumn("risk", F.col("idx") / 100.0)
-    cells = {(r["i"], r["j"]): r for r in grid.grid_cells(scored, b, n).collect()}
+    cells = {(r["i"], r["j"]): r for r in grid.grid_cells(scored, n).collect()}
     assert len(cells) == (n - 1) ** 2
     for (i, j), r in cells.items():
         ring = [[lon_grid[i, j], lat_grid[i, j]], [lon_grid[i, j + 1], lat_grid[i, j + 1]],
