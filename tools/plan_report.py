@@ -43,7 +43,7 @@ def summarize(plan: str) -> dict:
         "joins": ", ".join(f"{j}×{plan.count(j)}" for j in JOINS if plan.count(j)) or "-",
         "windows": plan.count("Window ["),
         "topk": plan.count("TakeOrderedAndProject"),
-        "subqueries": len(re.findall(r"\+- (?:Reused)?Subquery subquery", plan)),
+        "subqueries": len(re.findall(r"[:+]- (?:Reused)?Subquery subquery", plan)),
     }
     scans = re.findall(r"FileScan parquet [^\n]*?Location: InMemoryFileIndex\(1 paths\)\[file:[^\]]*/(\w+)\.parquet\][^\n]*?ReadSchema: struct<([^>]*)>", plan)
     out["scans"] = "; ".join(sorted({f"{t}({len(cols.split(','))} cols)" for t, cols in scans})) or "-"
