@@ -95,7 +95,7 @@ def main() -> None:
         "- **`threshold_sweep`** is two small aggregates. There is no 80-way join or row repetition.",
         "- **Grid queries:**",
         "  - the occurrences are pre-aggregated per raster cell before meeting the grid;",
-        "  - the busiest-cell count is the one scalar subquery;",
+        "  - the two scalar subqueries are the extent (four bounds merged into one aggregate) and the busiest-cell count;",
         "  - `hotspots_top5` is a `TakeOrderedAndProject` of 5 rows, and its window runs on those 5 rows.",
         "- **`holdout_global`'s anti-join on key** is planned as a sort-merge join and turned into a broadcast join by AQE, because",
         "  the local table is small here. At scale it stays a single shuffle of the two key sets.",
