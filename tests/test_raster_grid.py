@@ -143,3 +143,14 @@ def test_skew_split_join_equals_broadcast(spark):
     a = raster.lookup_elevation(pts, elev, META, broadcast_limit=0)
     b = raster.lookup_elevation(pts, elev, META)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_skew_split_long_join_equals_broadcast(spark):
+    rows = [(k, 10.1 if k % 3 == 0 else (k % 170) - 85.0, 20.2 if k % 3 == 0 else (k % 350) - 175.0) for k in range(2000)]
+    pts = spark.createDataFrame(rows, "key long, latitude double, longitude double")
+    cells = tables.raster_cells(spark)
+    split = raster.sample_long(pts, cells, META, broadcast_limit=0)
+    direct = raster.sample_long(pts, cells, META)
+    cols = ["key", "var", "value"]
+    assert sorted(map(tuple, split.select(cols).collect())) == sorted(map(tuple, direct.select(cols).collect()))
+    assert split.count() == 2000 * 8
