@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nichelab.functions.numeric import round6
 from nichelab.operators.joins import hot_keys, skew_split_left_join
 from nichelab.schemas import ALL_LAYERS, CLIMATE_NUMBERS, SCALED_BY_TEN
 from nichelab.sources.tables import RasterMeta
@@ -235,7 +234,3 @@ def require_layers(cells: DataFrame, expected: list[str] = ALL_LAYERS) -> None:
     missing = [r["layer"] for r in missing_layers(cells, expected).collect()]
     if missing:
         raise FileNotFoundError(f"raster layers missing: {', '.join(sorted(missing))}")
-
-
-def round_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*[round6(c).alias(c) if c in cols else F.col(c) for c in df.columns])
