@@ -7,10 +7,12 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
+from nichelab import oracles
+from nichelab import queries as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ML = {"gbt_train_score", "cv_grid", "feature_importance", "rf_baseline", "training_summary", "model_risk_summary"}
-SQL = E.oracle_sql()
+SQL = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +33,7 @@ def _canon(rows, cols):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF001)
+    df = Q.REGISTRY[name](spark, SF001)
     srows, scols = [tuple(r) for r in df.collect()], df.columns
     res = duck.execute(SQL[name])
     dcols = [d[0] for d in res.description]
@@ -40,20 +42,18 @@ def test_oracle(spark, duck, name):
 
 
 def test_every_query_has_oracle_or_is_model():
-    assert set(E.queries()) - set(SQL) <= ML | {"grid_cells_geojson_text"}
+    assert set(Q.REGISTRY) - set(SQL) <= ML | {"grid_cells_geojson_text"}
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - ML))
+@pytest.mark.parametrize("name", sorted(set(Q.REGISTRY) - ML))
 def test_plan_has_no_cartesian_or_python(spark, name):
-    df = E.queries()[name](spark, SF001)
+    df = Q.REGISTRY[name](spark, SF001)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "PythonUDF"):
         assert bad not in plan, f"{name}: {bad}"
 
 
 def test_pushdown_and_pruning(spark):
-    from nichelab import queries as Q
-
     plan = Q.occ_quality_filter(spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in plan
     ev = Q.standard_metrics(spark, SF001)._jdf.queryExecution().executedPlan().toString()
