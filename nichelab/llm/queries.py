@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from nichelab.llm import mixing
+from nichelab.llm import exact, mixing
 
 REGISTRY = {
+    "op3_exact_dedup": exact.op3_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
 }
 
 #: Only queries that SQL can express over whole tables.
 ORACLES = {
+    "op3_exact_dedup": exact.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
