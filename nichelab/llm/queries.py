@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from nichelab.llm import exact, mixing
+from nichelab.llm import exact, mixing, urls
 
 REGISTRY = {
     "op3_exact_dedup": exact.op3_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
+    "op10_url_filter": urls.op10_url_filter,
 }
 
 #: Only queries that SQL can express over whole tables.
