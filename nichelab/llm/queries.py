@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from nichelab.llm import exact, mixing, urls
+from nichelab.llm import exact, mixing, secrets, urls
 
 REGISTRY = {
     "op3_exact_dedup": exact.op3_exact_dedup,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filter": urls.op10_url_filter,
 }
