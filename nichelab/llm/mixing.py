@@ -157,7 +157,7 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", F.round("position", 6).alias("position")).orderBy(
-        F.col("position").asc_nulls_last()
+        F.col("position").asc_nulls_last(), "doc_id"
     )
 
 
