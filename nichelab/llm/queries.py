@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from nichelab.llm import exact, mixing, secrets, urls
+from nichelab.llm import decontaminate, exact, mixing, secrets, urls
 
 REGISTRY = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op3_exact_dedup": exact.op3_exact_dedup,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op9_mixing": mixing.op9_mixing,
@@ -13,6 +14,7 @@ REGISTRY = {
 
 #: Only queries that SQL can express over whole tables.
 ORACLES = {
+    "op1_decontamination": decontaminate.ORACLE,
     "op3_exact_dedup": exact.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
