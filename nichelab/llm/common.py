@@ -68,3 +68,8 @@ def words_of(c: Column) -> Column:
     Splitting at the gaps is linear; extracting every match would copy the text per match.
     """
     return F.array_remove(F.split(ascii_lower(F.coalesce(c, F.lit(""))), WORD_GAP), "")
+
+
+def hash_limit(df: DataFrame, key: str, n: int) -> int | None:
+    """The ``n``-th smallest hash of ``key``: rows up to it are a sample of about ``n`` rows (null for an empty table)."""
+    return df.select(F.xxhash64(key).alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]

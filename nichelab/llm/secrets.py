@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nichelab.llm.common import stage, table
+from nichelab.llm.common import hash_limit, stage, table
 
 #: The patterns of the three base kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -92,16 +92,10 @@ def token_ratio(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(codes, start, step, lambda acc: acc["sum"])
 
 
-def sample_limit(docs: DataFrame, n: int) -> int | None:
-    """The ``n``-th smallest id hash; rows up to it are the sample."""
-    row = docs.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()
-    return row[0]
-
-
 def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row per input row: doc_id and spans, an array of (start, kind, end, value) sorted by start, then kind as in ``KINDS``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    limit = sample_limit(docs, sample_docs)
+    limit = hash_limit(docs, "doc_id", sample_docs)
     in_sample = F.xxhash64("doc_id") <= F.lit(limit)
     words = F.filter(F.split(text, r"[^A-Za-z0-9+/_=-]+"), lambda w: (F.length(w) >= MIN_WORD) & ~w.rlike(f"{HEX}|{ACCESS}"))
     found = stage(
