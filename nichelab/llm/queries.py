@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from nichelab.llm import decontaminate, exact, langid, mixing, quality, secrets, urls
+from nichelab.llm import decontaminate, exact, langid, license, mixing, quality, secrets, urls
 
 REGISTRY = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op3_exact_dedup": exact.op3_exact_dedup,
     "op4_quality": quality.op4_quality,
+    "op5_license_scan": license.op5_license_scan,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op8_language_id": langid.op8_language_id,
     "op9_mixing": mixing.op9_mixing,
