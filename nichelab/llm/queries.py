@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nichelab.llm import decontaminate, exact, langid, license, mixing, quality, secrets, urls
+from nichelab.llm import decontaminate, exact, jaccard, langid, license, mixing, quality, secrets, urls
 
 REGISTRY = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -10,6 +10,7 @@ REGISTRY = {
     "op4_quality": quality.op4_quality,
     "op5_license_scan": license.op5_license_scan,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_language_id": langid.op8_language_id,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filter": urls.op10_url_filter,
