@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from nichelab.llm import decontaminate, exact, jaccard, langid, license, mixing, quality, secrets, urls
+from nichelab.llm import decontaminate, exact, jaccard, langid, license, mixing, quality, secrets, substring, urls
 
 REGISTRY = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_exact_dedup": exact.op3_exact_dedup,
     "op4_quality": quality.op4_quality,
     "op5_license_scan": license.op5_license_scan,
