@@ -115,7 +115,7 @@ def candidates(docs: DataFrame, windows: DataFrame, span: int, set_limit: int, d
 def decontaminate(
     docs: DataFrame, items: DataFrame, span: int = SPAN, doc_id: str = "doc_id", text: str = "text", set_limit: int = SET_LIMIT
 ) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_hit (words inside any window of an item) and items (sorted ids)."""
+    """One row per input row: doc_id, tag (hash of the text), n_words, n_hit (words inside any window of an item) and items (sorted ids)."""
     windows = item_windows(items, span)
     rows = candidates(docs, windows, span, set_limit, doc_id, text)
     key = ["doc_id", "tag"]
@@ -131,7 +131,7 @@ def decontaminate(
     return (
         rows.alias("r")
         .join(per_doc.alias("h"), _same("r", "h"), "left")
-        .select("r.doc_id", "r.n_words", F.coalesce("h.n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("h.items", none).alias("items"))
+        .select("r.doc_id", "r.tag", "r.n_words", F.coalesce("h.n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("h.items", none).alias("items"))
     )
 
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nichelab.llm.arrays import mix64
 from nichelab.llm.common import table
@@ -147,8 +148,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
             more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*cols, *more], [*keep, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema.fields[:-1])
-    return data.mapInArrow(score, f"{fields}, lang_pred string, score double")
+    fields = [*data.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return data.mapInArrow(score, T.StructType(fields))
 
 
 def fit(docs: DataFrame) -> Model:

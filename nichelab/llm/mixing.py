@@ -34,13 +34,14 @@ PIECE_DIGITS = 3
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source key, number of white-space words and the order hash of every row."""
+    """doc_id, source key, number of white-space words, order hash and text hash of every row."""
     return docs.select(
         "doc_id",
         F.col("source").isNull().alias("no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(TOKEN)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order_hash"),
+        F.xxhash64("text").alias("tag"),
     )
 
 
@@ -120,7 +121,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, share
     pieces = sizes.groupBy(*key, piece.alias("piece")).agg(F.sum("size").alias("words"))
     start = F.coalesce(F.sum("words").over(W.partitionBy(*key).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = pieces.join(targets, key).select(*key, "piece", start.alias("start"), "source_size", "target", "rank")
-    inside = W.partitionBy(*key, "piece").orderBy("order_hash", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*key, "piece").orderBy("order_hash", "size", "tag").rowsBetween(W.unboundedPreceding, -1)
     placed = (
         sizes.withColumn("piece", piece)
         .join(offsets, [*key, "piece"])
@@ -135,7 +136,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, share
         placed.withColumn("passes", passes)
         .withColumn("taken", F.col("passes") * size + F.least(F.greatest(rest - F.col("before"), F.lit(0)), size))
         .withColumn("position", F.round(first, 9))
-        .select("doc_id", "source", "no_source", "rank", "size", "source_size", "target", "before", "passes", "taken", "position")
+        .select("doc_id", "tag", "source", "no_source", "rank", "size", "source_size", "target", "before", "passes", "taken", "position")
     )
 
 
