@@ -97,7 +97,9 @@ def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, sample_docs: int = SAMPL
     text = F.coalesce(F.col("text"), F.lit(""))
     limit = hash_limit(docs, "doc_id", sample_docs)
     in_sample = F.xxhash64("doc_id") <= F.lit(limit)
-    words = F.filter(F.split(text, r"[^A-Za-z0-9+/_=-]+"), lambda w: (F.length(w) >= MIN_WORD) & ~w.rlike(f"{HEX}|{ACCESS}"))
+    # tokens that the models will have to judge have no label
+    open_ = lambda w: (F.length(w) >= MIN_TOKEN) & w.rlike("[0-9]") & w.rlike("[A-Za-z]")
+    words = F.filter(F.split(text, r"[^A-Za-z0-9+/_=-]+"), lambda w: (F.length(w) >= MIN_WORD) & ~open_(w))
     found = stage(
         docs.select(
             "doc_id",
