@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nichelab.functions.numeric import half_even
 from nichelab.schemas import NAVIGATION_URL_PREFIX
 
 
@@ -15,13 +16,15 @@ def _c(col: Column | str) -> Column:
 
 
 def percent_text(risk: Column | str) -> Column:
-    """``0.1234`` -> ``12.34%``."""
-    return F.format_string("%.2f%%", _c(risk) * F.lit(100.0))
+    """``0.1234`` -> ``12.34%``, ties to even; null stays null."""
+    value = _c(risk)
+    return F.when(value.isNotNull(), F.format_string("%.2f%%", half_even(value * F.lit(100.0), 2)))
 
 
 def coordinate_key(lat: Column | str, lon: Column | str) -> Column:
-    """Cache key text ``lat,lon`` at 3 decimals."""
-    return F.format_string("%.3f,%.3f", _c(lat), _c(lon))
+    """Cache key text ``lat,lon`` at 3 decimals; null when a coordinate is."""
+    lat, lon = _c(lat), _c(lon)
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.format_string("%.3f,%.3f", half_even(lat, 3), half_even(lon, 3)))
 
 
 def location_list(pos: Column | str, lat: Column | str, lon: Column | str) -> Column:

@@ -20,6 +20,23 @@ def bround6(col: Column | str, digits: int = 6) -> Column:
     return F.bround(_c(col), digits) + F.lit(0.0)
 
 
+def half_even(col: Column | str, digits: int) -> Column:
+    """Round to ``digits`` decimals as ``printf`` in C does: by the exact binary value, real ties to even.
+
+    ``round`` and ``bround`` go by the shortest decimal text of a number, which
+    for 0.15 is a tie although the number is less.  Here the value is split into
+    two halves whose products with the power of ten are exact, so the sign of its
+    distance to the midpoint is exact too.
+    """
+    v, p = _c(col), F.lit(float(10**digits))
+    c = v * F.lit(134217729.0)  # 2 ** 27 + 1
+    hi = c - (c - v)
+    low = F.floor(v * p).cast("double")
+    rest = (hi * p - (low + F.lit(0.5))) + (v - hi) * p
+    up = (rest > 0) | ((rest == 0) & (F.pmod(low, F.lit(2.0)) == 1))
+    return F.when(F.isnan(v), v).otherwise((low + F.when(up, 1.0).otherwise(0.0)) / p)
+
+
 def ratio_or_zero(num: Column, den: Column) -> Column:
     """``num / den`` as double, 0.0 when the denominator is 0."""
     return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))

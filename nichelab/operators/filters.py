@@ -95,29 +95,38 @@ def resolve_taxon(matches: DataFrame) -> DataFrame:
     )
 
 
-# a name lookup answers with a handful of keys; more than this is not a lookup
+# a name lookup answers with a handful of keys: so many travel as a broadcast or an IN list, more are joined by shuffle
 MAX_RESOLVED_KEYS = 10000
 
 
-def occurrences_of_taxa(occ: DataFrame, resolved: DataFrame) -> DataFrame:
+class UnresolvedTaxonError(LookupError):
+    """No accepted species key was found for a name."""
+
+
+def occurrences_of_taxa(occ: DataFrame, resolved: DataFrame, max_broadcast: int = MAX_RESOLVED_KEYS) -> DataFrame:
     """Records whose ``taxonKey`` equals a resolved species key, with its match type.
 
-    The resolved side is the answer of name lookups (a few rows, checked
-    below) and is broadcast, so the record side -- where every row may carry
-    the same key -- is never shuffled on that key.
+    Names that resolve to one key count once (EXACT before FUZZY).  Up to
+    ``max_broadcast`` keys are broadcast, so the record side -- where every row
+    may carry the same key -- is not shuffled on that key; beyond that the join
+    shuffles.  The rows are the same either way.
     """
-    keys = resolved.select(F.col("species_key"), F.col("match_type"))
-    if keys.limit(MAX_RESOLVED_KEYS + 1).count() > MAX_RESOLVED_KEYS:
-        raise ValueError("taxon lookup returned more keys than a name lookup can")
-    return occ.join(F.broadcast(keys), occ["taxonKey"] == keys["species_key"], "inner")
+    keys = resolved.groupBy("species_key").agg(F.min("match_type").alias("match_type"))
+    if keys.limit(max_broadcast + 1).count() <= max_broadcast:
+        keys = F.broadcast(keys)
+    return occ.join(keys, occ["taxonKey"] == keys["species_key"], "inner")
 
 
-def filter_taxa(occ: DataFrame, resolved: DataFrame) -> DataFrame:
+def filter_taxa(occ: DataFrame, resolved: DataFrame, max_listed: int = MAX_RESOLVED_KEYS) -> DataFrame:
     """Records of the resolved species keys as a plain ``IN`` predicate, which
-    Parquet evaluates in the scan (row groups without the key are skipped)."""
-    found = [r["species_key"] for r in resolved.select("species_key").limit(MAX_RESOLVED_KEYS + 1).collect()]
-    if len(found) > MAX_RESOLVED_KEYS:
-        return occurrences_of_taxa(occ, resolved).drop("species_key", "match_type")
+    Parquet evaluates in the scan (row groups without the key are skipped); a
+    list longer than ``max_listed`` is joined instead.  No key at all is an error."""
+    keys = resolved.select("species_key").distinct()
+    found = [r["species_key"] for r in keys.limit(max_listed + 1).collect()]
+    if not found:
+        raise UnresolvedTaxonError("no species key was resolved")
+    if len(found) > max_listed:
+        return occ.join(keys, occ["taxonKey"] == keys["species_key"], "left_semi")
     return occ.filter(F.col("taxonKey").isin(found))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nichelab.functions import bins, formats, temporal
-from nichelab.functions.numeric import round6
+from nichelab.functions.numeric import half_even, round6
 from nichelab.operators import raster
 from nichelab.operators.windows import exact_median
 from nichelab.schemas import CLIMATE_VARIABLES, DEFAULT_REGION, GRID_FILL_VALUES, HOTSPOT_COUNT, REGIONS, RISK_HIGH, RISK_MEDIUM
@@ -137,7 +137,7 @@ def density_score(grid: DataFrame, occurrence_points: DataFrame, meta: RasterMet
         .agg(F.count(F.lit(1)).alias("n_occ"))
     )
     busiest = per_cell.agg(F.max("n_occ")).scalar()
-    g = raster.with_cell(grid, meta).join(per_cell, ["row_id", "col_id"], "left")
+    g = raster.join_cells(raster.with_cell(grid, meta), per_cell, raster.cell_table_bytes(meta, 1), raster.DEFAULT_BROADCAST_LIMIT)
     risk = F.coalesce(F.col("n_occ"), F.lit(0)).cast("double") / busiest.cast("double")
     return g.withColumn("risk", risk).drop("row_id", "col_id", "n_occ")
 
@@ -157,7 +157,7 @@ def risk_summary(scored: DataFrame, month: int, risk: str = "risk") -> DataFrame
 
 def risk_distribution(scored: DataFrame, risk: str = "risk") -> DataFrame:
     """Five bands of 0.2 and the critical band >= 0.9 (also inside >= 0.8),
-    each with its share of all points in % at one decimal."""
+    each with its share of all points in % at one decimal (ties to even)."""
     r = F.col(risk)
     bands = {
         "very_low": r < 0.2,
@@ -168,7 +168,7 @@ def risk_distribution(scored: DataFrame, risk: str = "risk") -> DataFrame:
         "critical": r >= 0.9,
     }
     agg = scored.agg(F.count(F.lit(1)).alias("total_points"), *[F.count_if(c).alias(k) for k, c in bands.items()])
-    pct = [F.round(F.col(k) / F.col("total_points") * F.lit(100.0), 1).alias(f"{k}_pct") for k in bands]
+    pct = [half_even(F.col(k) / F.col("total_points") * F.lit(100.0), 1).alias(f"{k}_pct") for k in bands]
     return agg.select("total_points", *bands.keys(), *pct)
 
 
@@ -177,12 +177,15 @@ IN_AGGREGATE_MEDIAN_ROWS = 1_000_000
 
 
 def risk_stats(scored: DataFrame, risk: str = "risk", max_rows: int | None = None) -> DataFrame:
-    """mean, max, min, population std and exact median, raw and as % at one decimal.
+    """mean, max, min, population std and exact median of the scores that are
+    numbers (null and NaN are left out of all five), raw and as % at one decimal
+    (ties to even).
 
     ``max_rows`` is a bound on the input known in advance (a grid has n x n
     points); below ``IN_AGGREGATE_MEDIAN_ROWS`` the median is Spark's exact
     ``median`` in the same aggregate, otherwise the distributed exact median.
     """
+    scored = scored.filter(F.col(risk).isNotNull() & ~F.isnan(F.col(risk)))
     r = F.col(risk)
     small = max_rows is not None and max_rows <= IN_AGGREGATE_MEDIAN_ROWS
     aggs = [F.avg(r).alias("mean"), F.max(r).alias("max"), F.min(r).alias("min"), F.stddev_pop(r).alias("std")]
@@ -193,7 +196,7 @@ def risk_stats(scored: DataFrame, risk: str = "risk", max_rows: int | None = Non
     names = ["mean", "max", "min", "std", "median"]
     return agg.select(
         *[round6(c).alias(c) for c in names],
-        *[F.round(F.col(c) * F.lit(100.0), 1).alias(f"{c}_pct") for c in names],
+        *[half_even(F.col(c) * F.lit(100.0), 1).alias(f"{c}_pct") for c in names],
     )
 
 

@@ -6,40 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hot_keys(df: DataFrame, keys: list[str], max_hot: int | None = None, share: float | None = None) -> list[tuple]:
-    """Keys whose row count exceeds an average shuffle partition's share of rows.
+def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], salt: int = 1) -> DataFrame:
+    """``left LEFT JOIN right USING keys`` as a shuffle join, without a job at build time.
 
-    Counts are pre-aggregated map-side; at most ``max_hot`` keys (default: the
-    shuffle partition count) come back to the driver, so the list is bounded
-    whatever the data.
+    In batch, adaptive execution splits the partition of a hot key on the left
+    and reads the right side's part once per split, so ``salt`` stays 1.  Where
+    it does not run (streams), ``salt`` spreads each key over so many tasks and
+    repeats the right side as often.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    max_hot = max_hot or parts
-    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    limit = total * (share if share is not None else 1.0 / parts)
-    top = counts.filter(F.col("_n") > F.lit(limit)).orderBy(F.col("_n").desc()).limit(max_hot).collect()
-    return [tuple(r[k] for k in keys) for r in top]
-
-
-def skew_split_left_join(left: DataFrame, right: DataFrame, keys: list[str], hot: list[tuple]) -> DataFrame:
-    """``left LEFT JOIN right USING keys`` with the hot keys split off.
-
-    Rows of hot keys meet a broadcast copy of the (at most ``len(hot)``)
-    matching right rows, so no task receives a hot key's rows; the rest is
-    an ordinary shuffle join.  Null keys take the ordinary path.
-
-    ``right`` must hold at most one row per key (a cell table): then the
-    broadcast side has at most ``len(hot)`` rows, a bound known before the
-    join runs.
-    """
-    if not hot:
+    if salt <= 1:
         return left.join(right, keys, "left")
-    spark = left.sparkSession
-    schema = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
-    hot_df = F.broadcast(spark.createDataFrame(hot, schema))
-    hot_right = F.broadcast(right.join(hot_df, keys, "left_semi"))
-    hot_part = left.join(hot_df, keys, "left_semi").join(hot_right, keys, "left")
-    cold_part = left.join(hot_df, keys, "left_anti").join(right, keys, "left")
-    return hot_part.unionByName(cold_part)
+    columns = [*keys, *[c for c in (*left.columns, *right.columns) if c not in keys]]
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salt)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return spread.join(copies, [*keys, "_salt"], "left").select(*columns)

@@ -2,9 +2,11 @@
 
 A point never range-joins a raster: its (row, col) is computed with plain
 arithmetic and then joined to the cell table.  The cell side is broadcast
-only when its size, known from the raster geometry, is below a limit;
-beyond it the join shuffles on (row, col), and adaptive execution splits a
-hot cell (one cell may hold a third of the points) across tasks.
+only when its size, known from the raster geometry, is below a limit; beyond it
+the join shuffles on (row, col).  Adaptive execution splits a hot cell (one
+cell may hold a third of the points) across tasks; where it does not run
+(streams), a salt spreads the points and repeats the cells.  Neither form runs
+a job while the plan is built, so both work on streams.
 """
 
 from __future__ import annotations
@@ -12,14 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nichelab.operators.joins import hot_keys, skew_split_left_join
+from nichelab.operators.filters import coordinate_status
+from nichelab.operators.joins import salted_left_join
 from nichelab.schemas import ALL_LAYERS, CLIMATE_NUMBERS, SCALED_BY_TEN
 from nichelab.sources.tables import RasterMeta
 
 # broadcast a cell table only below this size (bytes, estimated from geometry)
 DEFAULT_BROADCAST_LIMIT = 256 * 1024 * 1024
-_BYTES_PER_CELL_ROW = 24  # two int keys + row overhead
-_BYTES_PER_VALUE = 9  # double + null bit
+# tasks that share a cell's points in a stream, where adaptive execution does not split
+STREAM_SALT = 8
+# a row in a hash relation: null bits and 8 bytes per column for key and row, and the table's own share
+_ROW_OVERHEAD = 48
 
 
 def cell_index(meta: RasterMeta, lat: str = "latitude", lon: str = "longitude") -> tuple[Column, Column]:
@@ -30,7 +35,8 @@ def cell_index(meta: RasterMeta, lat: str = "latitude", lon: str = "longitude")
     """
     row = F.floor((F.lit(meta.top) - F.col(lat)) / F.lit(meta.res))
     col = F.floor((F.col(lon) - F.lit(meta.left)) / F.lit(meta.res))
-    inside = row.between(0, meta.n_rows - 1) & col.between(0, meta.n_cols - 1)
+    known = ~F.isnan(F.col(lat)) & ~F.isnan(F.col(lon))  # floor turns NaN into cell 0
+    inside = known & row.between(0, meta.n_rows - 1) & col.between(0, meta.n_cols - 1)
     return (
         F.when(inside, row.cast("int")).alias("row_id"),
         F.when(inside, col.cast("int")).alias("col_id"),
@@ -71,27 +77,34 @@ def widen_cells(cells: DataFrame, meta: RasterMeta, variables: list[int] = CLIMA
     )
 
 
-def cell_table_bytes(meta: RasterMeta, n_values: int) -> int:
-    """Upper bound of a cell table's size, from the raster geometry alone."""
-    return meta.n_cells * (_BYTES_PER_CELL_ROW + n_values * _BYTES_PER_VALUE)
+def cell_table_bytes(meta: RasterMeta, n_values: int, n_keys: int = 2, rows_per_cell: int = 1) -> int:
+    """Upper bound of a cell table's size as a hash relation, from the raster geometry alone.
+
+    A wide table has one row per cell, a long one a row per cell and layer.
+    """
+    row = _ROW_OVERHEAD + 8 * n_keys + 8 * (n_keys + n_values)
+    return meta.n_cells * rows_per_cell * row
 
 
-def _maybe_broadcast(cells: DataFrame, meta: RasterMeta, n_values: int, limit: int) -> DataFrame:
-    return F.broadcast(cells) if cell_table_bytes(meta, n_values) <= limit else cells
+def long_table_bytes(meta: RasterMeta, n_layers: int) -> int:
+    """The bound for the long form: ``var, row_id, col_id`` and one value per row."""
+    return cell_table_bytes(meta, 1, n_keys=3, rows_per_cell=n_layers)
 
 
-def join_cells(points: DataFrame, cells: DataFrame, meta: RasterMeta, n_values: int, limit: int, keys: list[str] | None = None) -> DataFrame:
-    """Left join points to a cell table on the cell keys.
+def join_cells(
+    points: DataFrame, cells: DataFrame, size: int, limit: int, keys: list[str] | None = None, salt: int | None = None
+) -> DataFrame:
+    """Left join points to a cell table of at most ``size`` bytes on the cell keys.
 
-    Below ``limit`` bytes (a bound from the geometry, not an estimate) the cell
-    table is broadcast and the points never move.  Above it the join
-    shuffles, with the cells that hold more than a partition's share of the
-    points split off and joined through a broadcast of just those cells.
+    Up to ``limit`` bytes (a bound from the geometry, not an estimate) the cell
+    table is broadcast and the points never move; above it the join shuffles.
+    The rows are the same either way.  ``salt`` (default: only for streams)
+    spreads each cell's points over so many tasks.
     """
     keys = keys or ["row_id", "col_id"]
-    if cell_table_bytes(meta, n_values) <= limit:
+    if size <= limit:
         return points.join(F.broadcast(cells), keys, "left")
-    return skew_split_left_join(points, cells, keys, hot_keys(points, keys))
+    return salted_left_join(points, cells, keys, salt or (STREAM_SALT if points.isStreaming else 1))
 
 
 def sample_long(
@@ -108,7 +121,7 @@ def sample_long(
     """
     clean = clean_cells(cells, meta, variables)
     pts = with_cell(points, meta).withColumn("var", F.explode(F.array(*[F.lit(v) for v in variables])))
-    out = join_cells(pts, clean, meta, len(variables), broadcast_limit, ["var", "row_id", "col_id"])
+    out = join_cells(pts, clean, long_table_bytes(meta, len(variables)), broadcast_limit, ["var", "row_id", "col_id"])
     return out.withColumn("var", F.concat(F.lit("bio"), F.col("var").cast("string")))
 
 
@@ -130,7 +143,7 @@ def sample_wide(
         wide = widen_cells(cells, meta, variables)
     else:
         wide = wide.select("row_id", "col_id", *[f"bio{v}" for v in variables])
-    out = join_cells(with_cell(points, meta), wide, meta, len(variables), broadcast_limit)
+    out = join_cells(with_cell(points, meta), wide, cell_table_bytes(meta, len(variables)), broadcast_limit)
     return out if keep_cell else out.drop("row_id", "col_id")
 
 
@@ -151,7 +164,7 @@ def sample_wide_dedup(
     needed = pts.select("row_id", "col_id").dropna().distinct()
     wide = widen_cells(cells, meta, variables)
     looked_up = needed.join(wide, ["row_id", "col_id"], "left")
-    return join_cells(pts, looked_up, meta, len(variables), broadcast_limit).drop("row_id", "col_id")
+    return join_cells(pts, looked_up, cell_table_bytes(meta, len(variables)), broadcast_limit).drop("row_id", "col_id")
 
 
 def lookup_elevation(
@@ -161,19 +174,16 @@ def lookup_elevation(
     broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
 ) -> DataFrame:
     """Points with ``elevation`` of their cell and a ``status`` column:
-    ``Invalid coordinates`` outside +-90/+-180, ``missing_result`` when no
-    cell answers, else ``ok``."""
+    ``Invalid coordinates`` outside +-90/+-180 or without a number,
+    ``missing_result`` when no cell answers, else ``ok``.  ``meta`` is the
+    elevation raster's own geometry."""
     cells = elev.select("row_id", "col_id", "elevation").withColumn("_hit", F.lit(True))
     pts = with_cell(points, meta)
-    valid = F.col("latitude").between(-90.0, 90.0) & F.col("longitude").between(-180.0, 180.0)
-    out = join_cells(pts, cells, meta, 1, broadcast_limit)
-    status = (
-        F.when(~valid, F.lit("Invalid coordinates"))
-        .when(F.col("_hit").isNull(), F.lit("missing_result"))
-        .otherwise(F.lit("ok"))
-    )
+    error = coordinate_status()
+    out = join_cells(pts, cells, cell_table_bytes(meta, 2), broadcast_limit)
+    status = F.coalesce(error, F.when(F.col("_hit").isNull(), F.lit("missing_result")).otherwise(F.lit("ok")))
     keep = [c for c in out.columns if c not in ("_hit", "row_id", "col_id", "elevation")]
-    return out.select(*keep, F.when(valid, F.col("elevation")).alias("elevation"), status.alias("status"))
+    return out.select(*keep, F.when(error.isNull(), F.col("elevation")).alias("elevation"), status.alias("status"))
 
 
 def layer_check(cells: DataFrame, expected: list[str] = ALL_LAYERS) -> DataFrame:
@@ -212,7 +222,9 @@ def layer_coverage(
     valued = valued.filter(F.col("value").isNotNull()).select("var", "row_id", "col_id")
     n_layers = len(expected)
     # the valued cells are unique per (var, row, col); one point-count row per cell meets them
-    hit = per_cell.join(_maybe_broadcast(valued, meta, n_layers, broadcast_limit), ["row_id", "col_id"], "inner")
+    if long_table_bytes(meta, n_layers) <= broadcast_limit:
+        valued = F.broadcast(valued)
+    hit = per_cell.join(valued, ["row_id", "col_id"], "inner")
     covered = hit.groupBy("var").agg(F.sum("_pts").alias("points_with_value"))
     check = layer_check(cells, expected)
     spark = cells.sparkSession

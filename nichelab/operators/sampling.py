@@ -101,9 +101,12 @@ def subsample(
     tiebreak: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Training: min(limit, rows); validation: max(min(max(limit // 4, 50), rows), 1).
-    A falsy or negative limit keeps everything."""
+    A falsy or negative limit keeps everything.  Ties go by the label by default:
+    a background row has its parent's key."""
     if not limit_rows or limit_rows <= 0:
         return train, validation
+    if tiebreak is None:
+        tiebreak = ["presence"] if "presence" in train.columns else []
     train = hash_sample(train, limit_rows, key, tiebreak=tiebreak)
     if validation is not None:
         validation = hash_sample(validation, max(max(limit_rows // 4, 50), 1), key, tiebreak=tiebreak)

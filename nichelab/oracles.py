@@ -576,13 +576,13 @@ FROM plog GROUP BY model)""",
     }
     q["risk_distribution"] = with_(
         GRID,
-        f"""SELECT total_points, {", ".join(bands)}, {", ".join(R(f"ROUND(CAST({b} AS DOUBLE) / CAST(total_points AS DOUBLE) * CAST(100 AS DOUBLE), 1)") + f" AS {b}_pct" for b in bands)}
+        f"""SELECT total_points, {", ".join(bands)}, {", ".join(R(f"CAST(printf('%.1f', CAST({b} AS DOUBLE) / CAST(total_points AS DOUBLE) * CAST(100 AS DOUBLE)) AS DOUBLE)") + f" AS {b}_pct" for b in bands)}
 FROM (SELECT COUNT(*) AS total_points, {", ".join(f"COUNT(*) FILTER (WHERE {c}) AS {b}" for b, c in bands.items())} FROM gs)""",
     )
     stats = ["mean", "max", "min", "std", "median"]
     q["risk_stats"] = with_(
         GRID,
-        f"""SELECT {", ".join(R(s) + " AS " + s for s in stats)}, {", ".join(R(f"ROUND({s} * CAST(100 AS DOUBLE), 1)") + f" AS {s}_pct" for s in stats)}
+        f"""SELECT {", ".join(R(s) + " AS " + s for s in stats)}, {", ".join(R(f"CAST(printf('%.1f', {s} * CAST(100 AS DOUBLE)) AS DOUBLE)") + f" AS {s}_pct" for s in stats)}
 FROM (SELECT AVG(risk) AS mean, MAX(risk) AS max, MIN(risk) AS min, STDDEV_POP(risk) AS std, MEDIAN(risk) AS median FROM gs)""",
     )
     q["risk_category"] = with_(

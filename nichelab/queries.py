@@ -29,7 +29,6 @@ from nichelab.sources import readers, sinks, tables
 from nichelab.sources.tables import FIXTURE_RASTER as META
 
 TAXON_KEY = 100  # the species every pipeline query is about
-PAGE_SIZE = 300
 QUALITY_DATE_FROM = "1996-01-01"
 PAGE_OFFSET, PAGE_LIMIT = 300, 600
 GRID_N, GRID_MONTH = 50, 1
@@ -103,10 +102,9 @@ def occ_scan_project(spark, sf):
 def occ_pages_explode(spark, sf):
     occ = _occ(spark, sf)
     fields = [f.name for f in OCCURRENCE_PAGE["results"].dataType.elementType.fields]
-    pages = occ.groupBy(F.floor(F.col("key") / PAGE_SIZE).alias("page_no")).agg(
-        F.count(F.lit(1)).alias("count"), F.collect_list(F.struct(*fields)).alias("results")
-    )
-    texts = pages.select(F.to_json(F.struct("count", "results")).alias("value"))
+    # one record per envelope: the records need not meet to be paged
+    envelope = F.struct(F.lit(1).cast("long").alias("count"), F.array(F.struct(*fields)).alias("results"))
+    texts = occ.select(F.to_json(envelope).alias("value"))
     recs = readers.parse_pages(texts)
     return finish(
         recs.select("key", "taxonKey", "decimalLatitude", "decimalLongitude", "eventDate", "year", "month", "day", "country")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nichelab.functions.numeric import bround6
+from nichelab.functions.numeric import bround6, half_even
 from nichelab.schemas import ML_READY_COLUMNS, ML_READY_INT_COLUMNS
 
 
@@ -19,7 +19,8 @@ def ml_ready_text(df: DataFrame, columns: list[str] = ML_READY_COLUMNS) -> DataF
         if c in ML_READY_INT_COLUMNS or isinstance(dtype, (T.IntegerType, T.LongType)):
             out.append(F.col(c).cast("string").alias(c))
         else:
-            out.append(F.format_string("%.6f", bround6(F.col(c).cast("double"))).alias(c))
+            value = F.col(c).cast("double")
+            out.append(F.when(value.isNotNull(), F.format_string("%.6f", bround6(value))).alias(c))
     return df.select(*out)
 
 
@@ -64,7 +65,8 @@ def append_model_run(metrics: DataFrame, path: str, model_name: str, threshold:
 
 def ledger_text(ledger: DataFrame) -> DataFrame:
     """Markdown-like report text per ledger row: 6 metrics at 4 decimals, threshold, confusion matrix."""
-    fmt = lambda c: F.format_string("%.4f", F.col(c))
+    # a metric that is not defined (one class only) prints as n/a
+    fmt = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.format_string("%.4f", half_even(F.col(c), 4))), F.lit("n/a"))
     return ledger.select(
         F.concat(
             F.lit("## "), F.col("model"), F.lit(" Model Results\n\n"),

@@ -32,6 +32,8 @@ def test_split_and_first_present_and_keys(spark):
     assert r["items"] == ["1", "4", "bio5"]
     assert r["plain"] == 0.0 and r["compat"] == 20.0
     assert r["key"] == "-33.925,18.424" and r["pct"] == "12.35%"
+    ties = df.select(formats.percent_text(F.lit(0.00125)).alias("a"), formats.percent_text(F.lit(None).cast("double")).alias("b")).first()
+    assert ties["a"] == "0.12%" and ties["b"] is None
 
 
 @pytest.mark.parametrize("risk,color", [(0.0, "#00E6FF"), (0.5, "#FFFF00"), (1.0, "#660000"), (0.95, "#B30000"), (-1.0, "#00E6FF"), (2.0, "#660000")])

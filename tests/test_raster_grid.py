@@ -125,27 +125,55 @@ def test_distribution_tiers_sum(spark):
     assert s["high_risk_points"] + s["medium_risk_points"] + s["low_risk_points"] == 98 and s["month_name"] == "March"
 
 
-def test_skew_split_join_equals_broadcast(spark):
-    from nichelab.operators.joins import hot_keys
+HOT_POINTS = [(k, 10.1 if k % 5 < 2 else (k % 170) - 85.0, 20.2 if k % 5 < 2 else (k % 350) - 175.0) for k in range(3000)]
 
-    # a third of the points (and more) sit in one cell
-    rows = [(k, 10.1 if k % 5 < 2 else (k % 170) - 85.0, 20.2 if k % 5 < 2 else (k % 350) - 175.0) for k in range(3000)]
-    pts = spark.createDataFrame(rows, "key long, latitude double, longitude double")
-    cells = tables.raster_cells(spark)
-    hot = hot_keys(raster.with_cell(pts, META), ["row_id", "col_id"])
-    assert (15, 40) in hot
+
+def test_shuffled_join_equals_broadcast(spark):
+    """The same rows on both sides of the size limit, and no job while the plan is built."""
+    odd = [(5000, None, 1.0), (5001, float("nan"), 1.0), (5002, 91.0, 1.0), (5003, 1.0, None)]
+    pts = spark.createDataFrame(HOT_POINTS + odd, "key long, latitude double, longitude double")
+    cells, elev = tables.raster_cells(spark), tables.elevation_cells(spark)
+    spark.sparkContext.setJobGroup("build", "plan only")
     split = raster.sample_wide(pts, cells, META, broadcast_limit=0)
-    plan = split._jdf.queryExecution().executedPlan().toString()
-    assert "Union" in plan
-    direct = raster.sample_wide(pts, cells, META)
-    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, direct.collect()))
-    elev = tables.elevation_cells(spark)
     a = raster.lookup_elevation(pts, elev, META, broadcast_limit=0)
-    b = raster.lookup_elevation(pts, elev, META)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-
-
-def test_skew_split_long_join_equals_broadcast(spark):
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("build") == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    same = lambda x, y: sorted(map(repr, map(tuple, x.collect()))) == sorted(map(repr, map(tuple, y.collect())))
+    assert same(split, raster.sample_wide(pts, cells, META))
+    assert same(a, raster.lookup_elevation(pts, elev, META))
+    size = raster.cell_table_bytes(META, 8)
+    keyed = raster.with_cell(pts, META)
+    salted = raster.join_cells(keyed, raster.widen_cells(cells, META), size, 0, salt=4)
+    assert same(salted, raster.join_cells(keyed, raster.widen_cells(cells, META), size, size))
+
+
+def test_coordinates_without_a_number(spark):
+    nan = float("nan")
+    pts = spark.createDataFrame([(1, nan, 5.0), (2, 5.0, nan), (3, None, 5.0), (4, 5.0, 5.0)], "key long, latitude double, longitude double")
+    wide = {r["key"]: r for r in raster.sample_wide(pts, tables.raster_cells(spark), META).collect()}
+    assert all(wide[k]["bio1"] is None and wide[k]["bio12"] is None for k in (1, 2, 3))
+    elev = {r["key"]: r for r in raster.lookup_elevation(pts, tables.elevation_cells(spark), META).collect()}
+    assert [elev[k]["status"] for k in (1, 2, 3)] == ["Invalid coordinates"] * 3
+    assert all(elev[k]["elevation"] is None for k in (1, 2, 3))
+
+
+def test_size_bound_counts_long_rows():
+    """At 10 minutes, eight layers: the long table is far beyond the limit, whatever the wide one is."""
+    fine = tables.RasterMeta(-180.0, 90.0, 1 / 6, 1080, 2160, None)
+    assert raster.long_table_bytes(fine, 8) > 1080 * 2160 * 8 * 100
+    assert raster.long_table_bytes(fine, 8) > raster.DEFAULT_BROADCAST_LIMIT
+
+
+def test_percentages_tie_to_even(spark):
+    """49 of 400 points print as 12.2; both forms of the median leave NaN out."""
+    rows = [(0.95 if k < 49 else 0.1,) for k in range(400)]
+    assert grid.risk_distribution(spark.createDataFrame(rows, "risk double")).first()["very_high_pct"] == 12.2
+    df = spark.createDataFrame([(0.1,), (0.2,), (0.3,), (float("nan"),), (None,)], "risk double")
+    a, b = grid.risk_stats(df, max_rows=5).first(), grid.risk_stats(df).first()
+    assert a == b and a["median"] == 0.2 and a["max"] == 0.3 and a["mean"] == 0.2
+
+
+def test_shuffled_long_join_equals_broadcast(spark):
     rows = [(k, 10.1 if k % 3 == 0 else (k % 170) - 85.0, 20.2 if k % 3 == 0 else (k % 350) - 175.0) for k in range(2000)]
     pts = spark.createDataFrame(rows, "key long, latitude double, longitude double")
     cells = tables.raster_cells(spark)
