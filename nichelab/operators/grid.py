@@ -93,11 +93,20 @@ def grid_points(spark: SparkSession, bounds: Bounds | DataFrame, n: int, month:
 ENV_COLUMNS = ["elevation", *CLIMATE_VARIABLES]
 
 
-def enrich_grid(grid: DataFrame, cells: DataFrame, elev: DataFrame, meta: RasterMeta) -> DataFrame:
+def enrich_grid(
+    grid: DataFrame,
+    cells: DataFrame,
+    elev: DataFrame,
+    meta: RasterMeta,
+    elev_meta: RasterMeta | None = None,
+    wide: DataFrame | None = None,
+) -> DataFrame:
     """Climate and elevation of each grid point (left joins on the point's cell),
-    a ``matched`` flag (any value found) and the cyclic month."""
-    wide = raster.sample_wide(grid, cells, meta)
-    with_elev = raster.lookup_elevation(wide, elev, meta).drop("status")
+    a ``matched`` flag (any value found) and the cyclic month.  A missing layer is an error."""
+    if wide is None:
+        raster.require_layers(cells, CLIMATE_VARIABLES)
+    sampled = raster.sample_wide(grid, cells, meta, wide=wide)
+    with_elev = raster.lookup_elevation(sampled, elev, elev_meta or meta).drop("status")
     matched = F.lit(False)
     for c in ENV_COLUMNS:
         matched = matched | F.col(c).isNotNull()

@@ -58,10 +58,14 @@ def clean_value(value: Column, var: Column, nodata: float | None, scale_vars: li
 
 
 def clean_cells(cells: DataFrame, meta: RasterMeta, variables: list[int] = CLIMATE_NUMBERS) -> DataFrame:
-    """Long cells restricted to ``variables`` (partition pruning on ``var``) with clean values."""
-    return cells.filter(F.col("var").isin(variables)).select(
-        "var", "row_id", "col_id", clean_value(F.col("value"), F.col("var"), meta.nodata).alias("value")
-    )
+    """Long cells restricted to ``variables`` (partition pruning on ``var``) with clean values.
+
+    Each layer's own nodata value counts where ``meta.layer_nodata`` names one.
+    """
+    value = clean_value(F.col("value"), F.col("var"), meta.nodata)
+    for var, nodata in (meta.layer_nodata or ()):
+        value = F.when(F.col("var") == var, clean_value(F.col("value"), F.col("var"), nodata)).otherwise(value)
+    return cells.filter(F.col("var").isin(variables)).select("var", "row_id", "col_id", value.alias("value"))
 
 
 def widen_cells(cells: DataFrame, meta: RasterMeta, variables: list[int] = CLIMATE_NUMBERS) -> DataFrame:
@@ -241,8 +245,12 @@ def missing_layers(cells: DataFrame, expected: list[str] = ALL_LAYERS) -> DataFr
     return exp.join(cells.select("var").distinct(), "var", "left_anti").select("layer")
 
 
+def layer_names(variables: list[int]) -> list[str]:
+    return [f"bio{v}" for v in variables]
+
+
 def require_layers(cells: DataFrame, expected: list[str] = ALL_LAYERS) -> None:
-    """Fail early when a layer file is missing (instead of silently empty output)."""
+    """Fail early when a layer is missing (instead of silently empty output); at most one row per layer is read back."""
     missing = [r["layer"] for r in missing_layers(cells, expected).collect()]
     if missing:
         raise FileNotFoundError(f"raster layers missing: {', '.join(sorted(missing))}")

@@ -451,6 +451,42 @@ LEFT JOIN elev_cell e ON r.row_id = e.row_id AND r.col_id = e.col_id""",
   string_agg(CAST(latitude AS VARCHAR) || ',' || CAST(longitude AS VARCHAR), '|' ORDER BY pos) AS locations
 FROM requests GROUP BY CAST(floor(pos / 50) AS BIGINT)""",
     )
+    fine = "floor((CAST(90 AS DOUBLE) - r.latitude) / CAST(2.5 AS DOUBLE))", "floor((r.longitude + CAST(180 AS DOUBLE)) / CAST(2.5 AS DOUBLE))"
+    q["elevation_extract"] = with_(
+        [REQUESTS],
+        f"""SELECT r.pos, {R('r.latitude')} AS latitude, {R('r.longitude')} AS longitude,
+  {R("CASE WHEN r.error IS NULL THEN e.elevation END")} AS elevation, 'srtm30m' AS dataset,
+  CASE WHEN r.error IS NOT NULL THEN 'Invalid coordinates' WHEN e.elevation IS NULL THEN 'missing_result' ELSE 'ok' END AS status
+FROM requests_v r LEFT JOIN (
+  SELECT a.n AS row_id, b.n AS col_id, CAST((a.n * 131 + b.n * 71) % 3000 AS DOUBLE) AS elevation
+  FROM (SELECT range AS n FROM range(72)) a CROSS JOIN (SELECT range AS n FROM range(144)) b WHERE (a.n * 144 + b.n) % 29 <> 0
+) e ON e.row_id = {fine[0]} AND e.col_id = {fine[1]}""",
+    )
+    q["elevation_replies"] = with_(
+        [
+            REQUESTS,
+            """rb AS (SELECT *, CAST(floor(pos / 50) AS BIGINT) AS batch FROM requests)""",
+            """rn AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY batch ORDER BY pos) AS nth, COUNT(*) OVER (PARTITION BY batch) AS n FROM rb)""",
+            """ra AS (SELECT *, batch % 7 <> 3 AND NOT (batch % 5 = 2 AND nth > n - 3) AS answered FROM rn)""",
+        ],
+        f"""SELECT batch, pos,
+  {R("CASE WHEN answered AND pos % 11 <> 0 THEN latitude + CAST(0.25 AS DOUBLE) ELSE latitude END")} AS latitude,
+  {R("CASE WHEN answered AND pos % 11 <> 0 THEN longitude - CAST(0.25 AS DOUBLE) ELSE longitude END")} AS longitude,
+  CASE WHEN answered THEN CAST((pos * 37) % 3000 AS DOUBLE) END AS elevation,
+  CASE WHEN answered THEN CASE WHEN pos % 13 <> 0 THEN 'aster30m' ELSE 'srtm30m' END END AS dataset,
+  CASE WHEN answered THEN 'ok' ELSE 'missing_result' END AS status FROM ra""",
+    )
+    half_deg = "floor((CAST(90 AS DOUBLE) - p.latitude) / CAST(0.5 AS DOUBLE))", "floor((p.longitude + CAST(180 AS DOUBLE)) / CAST(0.5 AS DOUBLE))"
+    q["raster_sample_shuffle"] = with_(
+        [OCCURRENCE, POINTS],
+        f"""SELECT p.key, {R('p.latitude')} AS latitude, {R('p.longitude')} AS longitude, c.n_lines, c.top_quantity
+FROM points p LEFT JOIN (
+  SELECT l_orderkey % 360 AS row_id, (l_partkey * 7 + l_suppkey) % 720 AS col_id, COUNT(*) AS n_lines, CAST(MAX(l_quantity) AS DOUBLE) AS top_quantity
+  FROM lineitem GROUP BY 1, 2
+) c ON c.row_id = {half_deg[0]} AND c.col_id = {half_deg[1]}""",
+    )
+    text = lambda c: f"CAST({c} AS VARCHAR) AS {c}" if c in ("month", "day_of_year", "key") else f"CASE WHEN {c} IS NOT NULL THEN printf('%.6f', ROUND({c}, 6) + CAST(0 AS DOUBLE)) END AS {c}"
+    q["ml_ready_csv_text"] = with_([*BASE, *ML_GLOBAL], "SELECT " + ", ".join(text(c) for c in ["key", *ML_COLS]) + " FROM mlg")
     ml_out = ["key", *ML_COLS]
     q["ml_ready_global"] = with_([*BASE, *ML_GLOBAL], select_rounded("mlg", ml_out, ML_DOUBLES))
     q["ml_ready_local"] = with_([*BASE, *ML_LOCAL], select_rounded("mll", ml_out, ML_DOUBLES))
@@ -535,6 +571,11 @@ UNION ALL SELECT 'weighted avg', {w('p0', 'p1')}, {w('r0', 'r1')}, {w('f0', 'f1'
         f"""SELECT model, {", ".join(R(c) + " AS " + c for c in ["auc", "f1_score", "accuracy", "specificity", "sensitivity", "average_precision", "score"])},
   score = MAX(score) OVER () AS is_best, CAST(DENSE_RANK() OVER (ORDER BY score DESC) AS INTEGER) AS rank FROM ms""",
     )
+    fold = f"CAST(({hash_order('key', 104729)} + label) % 3 AS INTEGER) AS fold"
+    q["fold_mean_auc"] = with_(
+        [PREDICTION_LOG, f"pf AS (SELECT *, {fold} FROM plog)", *metric_ctes("pf", half, ["model", "fold"])],
+        f"SELECT model, COUNT(auc) AS n_folds, {R('AVG(auc)')} AS mean_auc FROM m GROUP BY model",
+    )
     split = f"{hash_order('key', 7919)} % 100 < 80"
     correct = f"(CASE WHEN risk >= {half} THEN 1 ELSE 0 END) = label"
     q["transfer_gap"] = with_(
@@ -617,6 +658,16 @@ FROM (SELECT MIN(latitude) AS lat_min, MAX(latitude) AS lat_max, MIN(longitude)
 FROM gs g CROSS JOIN ext WHERE g.i < {GRID_N - 1} AND g.j < {GRID_N - 1}""",
     )
 
+    q["geojson_text_parsed"] = with_(
+        GRID,
+        f"""SELECT 'Feature' AS feature_type, 'Polygon' AS geometry_type, 5 AS n_ring, {R('g.risk')} AS risk,
+  printf('%.2f%%', g.risk * CAST(100 AS DOUBLE)) AS risk_percent, {CATEGORY.replace("risk", "g.risk")} AS risk_category,
+  {R(lat_j)} AS link_lat, {R(lon_i)} AS link_lon,
+  {", ".join(R(a) + f" AS p{k}_lat" for k, (a, _) in enumerate([*corners, corners[0]]))},
+  {", ".join(R(b) + f" AS p{k}_lon" for k, (_, b) in enumerate([*corners, corners[0]]))}
+FROM gs g CROSS JOIN ext WHERE g.i < {GRID_N - 1} AND g.j < {GRID_N - 1}""",
+    )
+
     # documented feature set
     pairs = [("bio1", "bio12"), ("bio1", "bio13"), ("bio6", "bio14"), ("bio5", "bio6"), ("bio13", "bio15"), ("bio14", "bio15")]
     q["enhanced_features"] = with_(

@@ -20,6 +20,8 @@ def extract_environment(
     variables: list[str] = CLIMATE_VARIABLES,
     strict: bool = False,
     provenance: bool = False,
+    elev_meta: RasterMeta | None = None,
+    wide: DataFrame | None = None,
 ) -> DataFrame:
     """Per request point: one column per requested variable (named as
     requested; unusable names give a null column), elevation, coordinate
@@ -27,8 +29,10 @@ def extract_environment(
     pts = filters.validate_coordinates(requests, strict)
     normalized = [normalize_variable(v) for v in variables]
     numbers = sorted({int(n[3:]) for n in normalized if n is not None})
-    env = raster.sample_wide(pts, cells, meta, numbers) if numbers else pts
-    env = raster.lookup_elevation(env, elev, meta).withColumnRenamed("status", "elevation_status")
+    if numbers and wide is None:
+        raster.require_layers(cells, raster.layer_names(numbers))
+    env = raster.sample_wide(pts, cells, meta, numbers, wide=wide) if numbers else pts
+    env = raster.lookup_elevation(env, elev, elev_meta or meta).withColumnRenamed("status", "elevation_status")
     value_cols = []
     for raw, norm in zip(variables, normalized):
         col = F.col(norm) if norm is not None else F.lit(None).cast("double")

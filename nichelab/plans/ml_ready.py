@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nichelab.functions.numeric import bround6
 from nichelab.operators import filters, raster, sampling
-from nichelab.schemas import ML_READY, ML_READY_INT_COLUMNS, PIPELINE_UNCERTAINTY_MAX, REQUIRED_NON_NULL
+from nichelab.schemas import CLIMATE_VARIABLES, ML_READY, ML_READY_INT_COLUMNS, PIPELINE_UNCERTAINTY_MAX, REQUIRED_NON_NULL
 from nichelab.sources.tables import RasterMeta
 
 
@@ -53,14 +53,25 @@ def build_ml_ready(
     country: str | None = None,
     max_records: int | None = None,
     keep_key: bool = True,
+    elev_meta: RasterMeta | None = None,
+    wide: DataFrame | None = None,
+    layers: list[str] | None = None,
+    broadcast_limit: int = raster.DEFAULT_BROADCAST_LIMIT,
 ) -> DataFrame:
     """``key`` + the 15 model-ready columns; rows missing a climate value, the
-    month or its sin/cos are dropped (elevation and day_of_year may be null)."""
+    month or its sin/cos are dropped (elevation and day_of_year may be null).
+
+    ``elev_meta`` is the elevation raster's geometry where it differs from the
+    climate raster's; ``wide`` a stored wide cell table, which saves the pivot.
+    The climate source must hold ``layers`` (default: those the job reads).
+    """
+    if wide is None:
+        raster.require_layers(cells, layers or CLIMATE_VARIABLES)
     recs = species_records(occ, taxa, taxon_key, country, max_records=max_records)
     pts = filters.drop_missing_coordinates(filters.project_occurrences(recs))
     feats = filters.add_temporal_features(pts)
-    env = raster.sample_wide(feats, cells, meta)
-    env = raster.lookup_elevation(env, elev, meta).drop("status")
+    env = raster.sample_wide(feats, cells, meta, broadcast_limit=broadcast_limit, wide=wide)
+    env = raster.lookup_elevation(env, elev, elev_meta or meta, broadcast_limit).drop("status")
     out = filters.conform(env, ML_READY, keep=["key"] if keep_key else [])
     return filters.drop_incomplete(out, REQUIRED_NON_NULL)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from nichelab.operators import grid as G
 from nichelab.sources.tables import RasterMeta
@@ -30,9 +29,11 @@ def build_grid(
     bounds: G.Bounds,
     n: int,
     month: int,
+    elev_meta: RasterMeta | None = None,
+    wide: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     points = G.grid_points(spark, bounds, n, month)
-    enriched = G.enrich_grid(points, cells, elev, meta)
+    enriched = G.enrich_grid(points, cells, elev, meta, elev_meta, wide)
     return points, enriched, G.fill_grid(enriched)
 
 
@@ -64,12 +65,14 @@ def model_risk_map(
     n: int = 50,
     month: int = 1,
     bounds: G.Bounds | None = None,
+    elev_meta: RasterMeta | None = None,
+    wide: DataFrame | None = None,
 ) -> RiskMap:
     """Risk map of a named region scored by a trained pipeline model (class-1 probability)."""
     from nichelab.plans.training import score
 
     bounds = bounds or G.region_bounds(region)
-    points, enriched, filled = build_grid(spark, cells, elev, meta, bounds, n, month)
+    points, enriched, filled = build_grid(spark, cells, elev, meta, bounds, n, month, elev_meta, wide)
     scored = score(model, filled)
     return RiskMap(bounds, n, month, points, enriched, filled, scored)
 
@@ -88,7 +91,3 @@ def outputs(rm: RiskMap) -> dict[str, DataFrame]:
         "null_profile": G.null_profile(rm.enriched),
         "coverage": G.match_coverage(rm.enriched),
     }
-
-
-def scored_columns(rm: RiskMap) -> DataFrame:
-    return rm.scored.select("idx", "i", "j", "latitude", "longitude", F.col("risk"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -77,30 +79,42 @@ def class_balance(df: DataFrame, label: str = "presence") -> DataFrame:
 
 
 def features(df: DataFrame) -> DataFrame:
-    """The 13 model features with gaps filled by the fixed defaults (the learner rejects NaN)."""
-    return filters.fill_defaults(df, GRID_FILL_VALUES)
+    """The 13 model features with gaps filled by the fixed defaults (the learner
+    rejects NaN); an absent feature column counts as all gaps."""
+    absent = {c: F.lit(None).cast("double") for c in FEATURE_COLUMNS if c not in df.columns}
+    return filters.fill_defaults(df.withColumns(absent) if absent else df, GRID_FILL_VALUES)
 
 
 # bytes a training row takes in the tree learner (13 doubles, label, weight, overhead)
 TRAINING_ROW_BYTES = 160
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+# rows that are worth a task of their own in a tree learner's short jobs
+ROWS_PER_TASK = 20_000
 
 
-def size_partitions(df: DataFrame, row_bytes: int = TRAINING_ROW_BYTES, target: int = TARGET_PARTITION_BYTES) -> DataFrame:
-    """Give the learner about ``target`` bytes per partition.
+def partition_count(rows: int, cores: int, row_bytes: int = TRAINING_ROW_BYTES, target: int = TARGET_PARTITION_BYTES) -> int:
+    """A core per ``ROWS_PER_TASK`` rows as long as there are cores, and never more than ``target`` bytes per partition."""
+    return max(1, -(-rows * row_bytes // target), min(cores, -(-rows // ROWS_PER_TASK)))
 
-    Tree learners run a job per tree level over every partition; a few rows
-    spread over many partitions only add task overhead, and a huge input in
-    few partitions does not fit.  One count fixes the number.
+
+@contextmanager
+def learner_input(df: DataFrame, key: str = "key") -> Iterator[DataFrame]:
+    """The rows persisted, dealt by key hash into ``partition_count`` partitions; released at the end.
+
+    The input is computed once, in the partitions it comes in (its scan and joins
+    stay parallel), counted there, and only then dealt for the learner.
     """
-    rows = df.count()
-    want = max(1, -(-rows * row_bytes // target))
-    have = df.rdd.getNumPartitions()
-    if want < have:
-        return df.coalesce(want)
-    if want > have:
-        return df.repartition(want)
-    return df
+    whole = df.persist()
+    try:
+        n = partition_count(whole.count(), df.sparkSession.sparkContext.defaultParallelism)
+        dealt = whole.repartition(n, key).persist()
+        dealt.count()
+    finally:
+        whole.unpersist()
+    try:
+        yield dealt
+    finally:
+        dealt.unpersist()
 
 
 def _assembler() -> VectorAssembler:
@@ -159,6 +173,17 @@ class TunedModel:
     bestModel: PipelineModel
     depths: list[int]
     avgMetrics: list[float]
+    settings: list[dict] = field(default_factory=list)
+
+
+def depth_grid(depths: list[int] = GBT_MAX_DEPTH_GRID) -> list[dict]:
+    return [{"maxDepth": d} for d in depths]
+
+
+def wide_grid() -> list[dict]:
+    """``wide_param_grid`` as plain settings, for ``tune_gbt(..., settings=wide_grid())``."""
+    _, gbt = gbt_pipeline()
+    return [{p.name: v for p, v in m.items()} for m in wide_param_grid(gbt)]
 
 
 def tune_gbt(
@@ -167,39 +192,42 @@ def tune_gbt(
     folds: int = CV_FOLDS,
     max_iter: int = GBT_MAX_ITER,
     parallelism: int | None = None,
+    settings: list[dict] | None = None,
+    search_on_split: bool = True,
 ) -> TunedModel:
-    """Grid search over tree depth with k-fold ROC AUC; the best setting is
+    """Grid search with k-fold ROC AUC on the 80 % split; the best setting is
     refit on all training rows.
 
-    Folds come from a key hash per class, so they are fixed whatever the
-    partitioning.  Every (setting, fold) fit is submitted at once from a
-    thread pool -- concurrent Spark jobs -- instead of fold after fold; the
-    input is persisted for the duration of the search and released after.
+    ``settings`` are parameter settings of the boosted trees (default: one per
+    depth).  The split and the folds come from hashes of the key, so they are
+    fixed whatever the partitioning.  Every (setting, fold) fit is submitted from
+    a thread pool -- concurrent Spark jobs -- on one persisted input.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     ensure_checkpoint_dir(train.sparkSession)
+    grid = settings or depth_grid(depths)
     evaluator = BinaryClassificationEvaluator(labelCol="presence", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    data = size_partitions(features(train).withColumn("fold", sampling.fold_id("key", folds, label="presence")))
-    data = data.persist()
-    try:
-
-        def fold_auc(task: tuple[int, int]) -> tuple[int, float]:
-            depth, k = task
-            pipe, _ = gbt_pipeline(max_depth=depth, max_iter=max_iter)
-            model = pipe.fit(data.filter(F.col("fold") != k))
-            return depth, float(evaluator.evaluate(model.transform(data.filter(F.col("fold") == k))))
-
-        tasks = [(d, k) for d in depths for k in range(folds)]
-        with ThreadPoolExecutor(max_workers=parallelism or len(tasks)) as pool:
+    marks = {"fold": sampling.fold_id("key", folds, label="presence"), "split": sampling.split_label("key")}
+    with learner_input(features(train).withColumns(marks)) as data:
+        searched = data.filter(F.col("split") == "train") if search_on_split else data
+
+        def pipeline(setting: dict) -> Pipeline:
+            pipe, gbt = gbt_pipeline(max_iter=max_iter)
+            gbt.setParams(**setting)
+            return pipe
+
+        def fold_auc(task: tuple[int, int]) -> float:
+            i, k = task
+            model = pipeline(grid[i]).fit(searched.filter(F.col("fold") != k))
+            return float(evaluator.evaluate(model.transform(searched.filter(F.col("fold") == k))))
+
+        tasks = [(i, k) for i in range(len(grid)) for k in range(folds)]
+        with ThreadPoolExecutor(max_workers=parallelism or min(len(tasks), 8)) as pool:
             results = list(pool.map(fold_auc, tasks))
-        means = [sum(a for d, a in results if d == depth) / folds for depth in depths]
-        best = depths[max(range(len(depths)), key=lambda i: means[i])]
-        pipe, _ = gbt_pipeline(max_depth=best, max_iter=max_iter)
-        model = pipe.fit(data)
-    finally:
-        data.unpersist()
-    return TunedModel(model, list(depths), means)
+        means = [sum(results[i * folds : (i + 1) * folds]) / folds for i in range(len(grid))]
+        model = pipeline(grid[max(range(len(grid)), key=lambda i: means[i])]).fit(data)
+    return TunedModel(model, [s.get("maxDepth", GBT_MAX_DEPTH_GRID[0]) for s in grid], means, grid)
 
 
 def cv_results(model: TunedModel) -> list[tuple[int, float]]:
@@ -207,6 +235,13 @@ def cv_results(model: TunedModel) -> list[tuple[int, float]]:
     return list(zip(model.depths, model.avgMetrics))
 
 
+def fold_mean_auc(scored: DataFrame, folds: int = CV_FOLDS, by: list[str] | tuple[str, ...] = ("model",), key: str = "key") -> DataFrame:
+    """Mean ROC AUC over the key-hash folds of already scored rows, per group (``risk``, ``label``)."""
+    with_fold = scored.withColumn("fold", sampling.fold_id(key, folds, label="label"))
+    per_fold = metrics.standard_metrics(with_fold, 0.5, by=[*by, "fold"])
+    return per_fold.groupBy(*by).agg(F.count("auc").alias("n_folds"), F.avg("auc").alias("mean_auc"))
+
+
 def score(model, df: DataFrame, out_col: str = "risk") -> DataFrame:
     """Class-1 probability of every row (the learner sees filled features)."""
     pred = model.transform(features(df))
@@ -245,18 +280,23 @@ def train_and_evaluate(
 ) -> TrainingResult:
     """Subsample (optional), tune + refit (unless ``tuned`` is given), score
     validation (or the training rows when there is none), search the
-    threshold, report metrics."""
+    threshold, report metrics.  ``scored`` stays persisted; unpersist it when done."""
     train, validation = sampling.subsample(train, validation, limit_rows)
     cvm = tuned or tune_gbt(train, depths=depths, max_iter=max_iter)
     target = validation if validation is not None else train
-    scored = score(cvm.bestModel, target).select("key", "presence", "risk")
+    scored = score(cvm.bestModel, target).select("key", "presence", "risk").persist()
+    spark = train.sparkSession
+    # the scores are read by the sweep, the quantiles, the running totals and the counts
     best = metrics.optimal_threshold(scored, score="risk", label="presence")
     row = best.first()
-    spark = train.sparkSession
-    # one summary row (J8): sizes, subsample flag, the searched threshold and its metrics
+    best = spark.createDataFrame([row], best.schema)
+    top = [f"{r['feature']}={r['importance']:.6f}" for r in top_importances(importances(cvm, spark), 10).collect()]
+    # one summary row (J8): sizes, subsample flag, the searched threshold and its metrics, the strongest features
     fields = ["training_rows long", "validation_rows long", "subsampled boolean"]
-    fields += [f"{f.name} {f.dataType.simpleString()}" for f in best.schema.fields]
-    values = (train.count(), target.count(), bool(limit_rows and limit_rows > 0), *[row[c] for c in best.columns])
+    fields += [f"{f.name} {f.dataType.simpleString()}" for f in best.schema.fields] + ["top_features string"]
+    n_target = scored.count()
+    n_train = n_target if validation is None else train.count()
+    values = (n_train, n_target, bool(limit_rows and limit_rows > 0), *[row[c] for c in best.columns], ", ".join(top))
     summary = spark.createDataFrame([values], ", ".join(fields))
     return TrainingResult(cvm, scored, float(row["threshold"]), best, cv_results(cvm), summary)
 

@@ -198,6 +198,32 @@ def elevation_request_batches(spark, sf):
 # ---------------------------------------------------------------- model-ready tables
 
 
+def elevation_extract(spark, sf):
+    """The elevation job on a raster of its own resolution."""
+    meta = tables.FINE_ELEVATION
+    out = environment.extract_elevation(tables.coordinate_requests(spark, sf), tables.elevation_cells(spark, sf, meta), meta)
+    return finish(out.select("pos", "latitude", "longitude", "elevation", "dataset", "status"))
+
+
+def elevation_replies(spark, sf):
+    requests, replies = tables.elevation_replies(spark, sf)
+    return finish(readers.elevation_results(replies, requests))
+
+
+def raster_sample_shuffle(spark, sf):
+    """Point sampling on the shuffle path: cells that grow with the data, never broadcast by hint."""
+    meta = tables.ORDER_RASTER
+    cells = tables.order_cells(spark, sf)
+    pts = raster.with_cell(_points(spark, sf).select("key", "latitude", "longitude"), meta)
+    out = raster.join_cells(pts, cells, raster.cell_table_bytes(meta, 2), 0)
+    return finish(out.select("key", "latitude", "longitude", "n_lines", "top_quantity"))
+
+
+def ml_ready_csv_text(spark, sf):
+    """The model-ready table as the CSV sink prints it."""
+    return sinks.ml_ready_text(_ml_ready(spark, sf, None), ["key", *ML_READY_COLUMNS])
+
+
 def ml_ready_global(spark, sf):
     return finish(_ml_ready(spark, sf, None))
 
@@ -315,6 +341,11 @@ def transfer_gap(spark, sf):
     return finish(metrics.transfer_gap(tables.prediction_log(spark, sf)))
 
 
+def fold_mean_auc(spark, sf):
+    """Mean AUC over three key-hash folds, per model of the prediction log."""
+    return finish(training.fold_mean_auc(tables.prediction_log(spark, sf)))
+
+
 # ---------------------------------------------------------------- grid and risk analytics
 
 
@@ -379,6 +410,31 @@ def grid_cells_geojson_text(spark, sf):
     return sinks.geojson_feature_lines(grid.grid_cells(rm.scored, rm.n))
 
 
+def geojson_text_parsed(spark, sf):
+    """The GeoJSON lines read back: ring points, link and properties of every feature."""
+    schema = (
+        "type string, geometry struct<type: string, coordinates: array<array<array<double>>>>, "
+        "properties struct<risk: double, risk_percent: string, risk_category: string, risk_description: string, "
+        "lat: double, lon: double, navigation_url: string>"
+    )
+    f = grid_cells_geojson_text(spark, sf).select(F.from_json("value", schema).alias("f")).select("f.*")
+    ring = F.col("geometry.coordinates")[0]
+    link = F.split_part(F.col("properties.navigation_url"), F.lit("destination="), F.lit(2))
+    out = f.select(
+        F.col("type").alias("feature_type"),
+        F.col("geometry.type").alias("geometry_type"),
+        F.size(ring).alias("n_ring"),
+        *[ring[k][0].alias(f"p{k}_lon") for k in range(5)],
+        *[ring[k][1].alias(f"p{k}_lat") for k in range(5)],
+        F.col("properties.risk").alias("risk"),
+        F.col("properties.risk_percent").alias("risk_percent"),
+        F.col("properties.risk_category").alias("risk_category"),
+        F.split_part(link, F.lit(","), F.lit(1)).cast("double").alias("link_lat"),
+        F.split_part(link, F.lit(","), F.lit(2)).cast("double").alias("link_lon"),
+    )
+    return finish(out)
+
+
 # ---------------------------------------------------------------- documented feature set
 
 
@@ -408,16 +464,10 @@ def enhanced_features(spark, sf):
 # ---------------------------------------------------------------- trained models (rows-only checks)
 
 
-_FITS: dict[tuple[str, str], tuple] = {}
-
-
 def _fit(spark, sf):
-    """One cross-validated fit per (application, input), shared by the model queries."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _FITS:
-        train, val = _training_sets(spark, sf)
-        _FITS[key] = (training.tune_gbt(train, max_iter=ML_MAX_ITER), train, val)
-    return _FITS[key]
+    """One cross-validated fit with its training and validation rows."""
+    train, val = _training_sets(spark, sf)
+    return training.tune_gbt(train, max_iter=ML_MAX_ITER), train, val
 
 
 def gbt_train_score(spark, sf):
@@ -451,7 +501,8 @@ def model_risk_summary(spark, sf):
 
 def rf_baseline(spark, sf):
     train, val = _training_sets(spark, sf)
-    model = training.rf_pipeline().fit(training.size_partitions(training.features(train)))
+    with training.learner_input(training.features(train)) as data:
+        model = training.rf_pipeline().fit(data)
     scored = training.score(model, val).select("key", "presence", "risk")
     return finish(metrics.optimal_threshold(scored, score="risk", label="presence"))
 
@@ -472,6 +523,11 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coord_validation": coord_validation,
     "env_extract_batch": env_extract_batch,
     "elevation_request_batches": elevation_request_batches,
+    "elevation_extract": elevation_extract,
+    "elevation_replies": elevation_replies,
+    "raster_sample_shuffle": raster_sample_shuffle,
+    "ml_ready_csv_text": ml_ready_csv_text,
+    "geojson_text_parsed": geojson_text_parsed,
     "ml_ready_global": ml_ready_global,
     "ml_ready_local": ml_ready_local,
     "holdout_global": holdout_global,
@@ -505,6 +561,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "grid_cells_geojson_text": grid_cells_geojson_text,
     "model_scores": model_scores,
     "transfer_gap": transfer_gap,
+    "fold_mean_auc": fold_mean_auc,
     "enhanced_features": enhanced_features,
     "gbt_train_score": gbt_train_score,
     "cv_grid": cv_grid,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 
 from pyspark.sql import SparkSession
@@ -55,4 +56,6 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     path = spark.conf.get("spark.checkpoint.dir", None) or fallback
     if path:
         spark.sparkContext.setCheckpointDir(path)
+    else:
+        logging.getLogger(__name__).warning("spark.checkpoint.dir is not set: long lineages are not cut")
     return path

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,32 @@ def parse_elevation_responses(
     )
 
 
+def elevation_results(
+    responses: DataFrame, requests: DataFrame, text_col: str = "response", batch_col: str = "batch"
+) -> DataFrame:
+    """Every requested point with its answer: ``(batch, pos, latitude, longitude, elevation, dataset, status)``.
+
+    ``requests`` holds ``batch``, ``pos``, ``latitude``, ``longitude``; the n-th result
+    of a reply answers the n-th point of its batch (at most a batch size of rows
+    is ordered per batch).  The location is the reply's where it names one, else
+    the request's; a point without an answer (short reply, or a reply that does
+    not count) is ``missing_result``.
+    """
+    nth = F.row_number().over(Window.partitionBy(batch_col).orderBy("pos")) - 1
+    asked = requests.select(batch_col, "pos", "latitude", "longitude").withColumn("_nth", nth)
+    got = parse_elevation_responses(responses, text_col, batch_col).withColumnRenamed("pos", "_nth").withColumn("_hit", F.lit(True))
+    joined = asked.join(got, [batch_col, "_nth"], "left")
+    return joined.select(
+        batch_col,
+        "pos",
+        F.coalesce("lat", "latitude").alias("latitude"),
+        F.coalesce("lng", "longitude").alias("longitude"),
+        "elevation",
+        "dataset",
+        F.when(F.col("_hit").isNull(), F.lit("missing_result")).otherwise(F.lit("ok")).alias("status"),
+    )
+
+
 def read_ml_ready_csv(spark: SparkSession, path: str, with_presence: bool = False) -> DataFrame:
     """Model-ready CSV with header; ``presence`` is read when present in the file."""
     schema = ML_READY

@@ -27,6 +27,20 @@ class RasterMeta:
     n_rows: int
     n_cols: int
     nodata: float | None
+    # (layer number, nodata value) where a layer differs from ``nodata``
+    layer_nodata: tuple[tuple[int, float | None], ...] = ()
+
+    @classmethod
+    def from_dict(cls, d: dict) -> RasterMeta:
+        """Geometry from JSON: left, top, res, n_rows, n_cols, nodata and optionally layer_nodata by layer number."""
+        own = tuple(sorted((int(k), v) for k, v in (d.get("layer_nodata") or {}).items()))
+        return cls(float(d["left"]), float(d["top"]), float(d["res"]), int(d["n_rows"]), int(d["n_cols"]), d.get("nodata"), own)
+
+    @classmethod
+    def global_grid(cls, minutes: float, nodata: float | None = None) -> RasterMeta:
+        """The whole globe at a resolution in arc minutes (10, 5, 2.5, 0.5)."""
+        rows = round(180 * 60 / minutes)
+        return cls(-180.0, 90.0, minutes / 60.0, rows, 2 * rows, nodata)
 
     @property
     def n_cells(self) -> int:
@@ -111,6 +125,43 @@ def elevation_cells(spark: SparkSession, sf_dir: str | None = None, meta: Raster
     )
 
 
+# an elevation raster of its own resolution: 2.5 degrees (72 x 144 cells)
+FINE_ELEVATION = RasterMeta(left=-180.0, top=90.0, res=2.5, n_rows=72, n_cols=144, nodata=None)
+# a half-degree raster whose cells come from ``lineitem``
+ORDER_RASTER = RasterMeta(left=-180.0, top=90.0, res=0.5, n_rows=360, n_cols=720, nodata=None)
+
+
+def order_cells(spark: SparkSession, sf_dir: str, meta: RasterMeta = ORDER_RASTER) -> DataFrame:
+    """Wide cells ``(row_id, col_id, n_lines, top_quantity)`` from ``lineitem``: the table grows with the data."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    return li.groupBy(
+        (F.col("l_orderkey") % meta.n_rows).cast("int").alias("row_id"),
+        ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % meta.n_cols).cast("int").alias("col_id"),
+    ).agg(F.count(F.lit(1)).alias("n_lines"), F.max("l_quantity").cast("double").alias("top_quantity"))
+
+
+def elevation_replies(spark: SparkSession, sf_dir: str, size: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Requests ``(batch, pos, latitude, longitude)`` and the service's replies ``(batch, response)`` as JSON text.
+
+    Some batches are refused, some replies are three points short, and some
+    results name no location or no dataset.
+    """
+    req = coordinate_requests(spark, sf_dir).withColumn("batch", F.floor(F.col("pos") / size).cast("long"))
+    pos = F.col("pos")
+    location = F.when(pos % 11 != 0, F.struct((F.col("latitude") + 0.25).alias("lat"), (F.col("longitude") - 0.25).alias("lng")))
+    result = F.struct(
+        pos,
+        ((pos * 37) % 3000).cast("double").alias("elevation"),
+        F.when(pos % 13 != 0, F.lit("aster30m")).alias("dataset"),
+        location.alias("location"),
+    )
+    batch = req.groupBy("batch").agg(F.array_sort(F.collect_list(result)).alias("all"))  # a batch size of rows
+    kept = F.when(F.col("batch") % 5 == 2, F.slice("all", 1, F.greatest(F.size("all") - 3, F.lit(0)))).otherwise(F.col("all"))
+    refused = F.col("batch") % 7 == 3
+    reply = F.struct(F.when(refused, F.lit("OVER_QUERY_LIMIT")).otherwise(F.lit("OK")).alias("status"), F.when(~refused, kept).alias("results"))
+    return req.select("batch", "pos", "latitude", "longitude"), batch.select("batch", F.to_json(reply).alias("response"))
+
+
 def taxon_matches(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     """Name-match documents: exact species, fuzzy species with speciesKey 0, genus."""
     rows = [
