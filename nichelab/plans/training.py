@@ -80,8 +80,8 @@ def class_balance(df: DataFrame, label: str = "presence") -> DataFrame:
 
 def features(df: DataFrame) -> DataFrame:
     """The 13 model features with gaps filled by the fixed defaults (the learner
-    rejects NaN); an absent feature column counts as all gaps."""
-    absent = {c: F.lit(None).cast("double") for c in FEATURE_COLUMNS if c not in df.columns}
+    rejects NaN); an absent feature column counts as all gaps (0 where there is no default)."""
+    absent = {c: F.lit(GRID_FILL_VALUES.get(c, 0.0)) for c in FEATURE_COLUMNS if c not in df.columns}
     return filters.fill_defaults(df.withColumns(absent) if absent else df, GRID_FILL_VALUES)
 
 

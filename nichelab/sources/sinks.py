@@ -52,12 +52,22 @@ def write_geojson_lines(cells: DataFrame, path: str) -> None:
     geojson_feature_lines(cells).write.mode("overwrite").text(path)
 
 
-def append_model_run(metrics: DataFrame, path: str, model_name: str, threshold: float | None = None) -> None:
-    """Append a dated metrics row to the model-run ledger (parquet, append mode)."""
+def append_model_run(
+    metrics: DataFrame,
+    path: str,
+    model_name: str,
+    threshold: float | None = None,
+    top_features: str | None = None,
+    details: str | None = None,
+) -> None:
+    """Append a dated metrics row to the model-run ledger (parquet, append mode),
+    with the strongest features and the model's settings as text."""
     row = metrics.select(
         F.current_timestamp().alias("run_ts"),
         F.lit(model_name).alias("model"),
         F.lit(threshold).cast("double").alias("threshold"),
+        F.lit(top_features).cast("string").alias("top_features"),
+        F.lit(details).cast("string").alias("details"),
         *[F.col(c) for c in metrics.columns if c not in ("model", "threshold")],
     )
     row.write.mode("append").parquet(path)
@@ -67,6 +77,7 @@ def ledger_text(ledger: DataFrame) -> DataFrame:
     """Markdown-like report text per ledger row: 6 metrics at 4 decimals, threshold, confusion matrix."""
     # a metric that is not defined (one class only) prints as n/a
     fmt = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.format_string("%.4f", half_even(F.col(c), 4))), F.lit("n/a"))
+    line = lambda title, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"- **{title}**: "), F.col(c), F.lit("\n"))).otherwise(F.lit(""))
     return ledger.select(
         F.concat(
             F.lit("## "), F.col("model"), F.lit(" Model Results\n\n"),
@@ -78,6 +89,7 @@ def ledger_text(ledger: DataFrame) -> DataFrame:
             F.lit("- **Specificity**: "), fmt("specificity"), F.lit("\n"),
             F.lit("- **Average Precision**: "), fmt("average_precision"), F.lit("\n"),
             F.when(F.col("threshold").isNotNull(), F.concat(F.lit("- **Optimal Threshold**: "), fmt("threshold"), F.lit("\n"))).otherwise(F.lit("")),
+            line("Model Details", "details"), line("Top Features", "top_features"),
             F.lit("\n[[ "), F.col("tn").cast("string"), F.lit(" "), F.col("fp").cast("string"), F.lit(" ]]\n"),
             F.lit("[ [ "), F.col("fn").cast("string"), F.lit(" "), F.col("tp").cast("string"), F.lit(" ]]\n"),
         ).alias("report")
