@@ -17,13 +17,45 @@ from nichelab.schemas import SEED, WORLD_LAT_BOUNDS, WORLD_LON_BOUNDS
 ORDER_MULT, LAT_MULT, LON_MULT = 7919, 104729, 130363
 
 
+# samples up to this size are a top-n that one task merges; larger ones are cut by the hash
+TOP_N_ROWS = 100_000
+# width of a histogram cell in hash values (about a thousand cells)
+CUT_WIDTH = 1000
+
+
 def hash_sample(
     df: DataFrame, n: int, key: str = "key", seed: int = SEED, tiebreak: list[str] | None = None
 ) -> DataFrame:
-    """``n`` rows chosen by hash order (ties by key, then ``tiebreak``): a
-    top-n, so each task keeps at most n rows and only those are merged."""
-    order = [hash_order(key, ORDER_MULT, seed), F.col(key), *[F.col(c) for c in tiebreak or []]]
-    return df.orderBy(*order).limit(int(n))
+    """``n`` rows chosen by hash order (ties by key, then ``tiebreak``).
+
+    Up to ``TOP_N_ROWS`` it is a top-n: each task keeps at most n rows and only
+    those are merged.  A larger sample takes every row below a cut of the hash,
+    found from two histograms of about a thousand cells, and only the rows that
+    share the hash value at the cut are ordered.  The rows are the same.
+    """
+    n = int(n)
+    order = [F.col(key), *[F.col(c) for c in tiebreak or []]]
+    if n <= TOP_N_ROWS:
+        return df.orderBy(hash_order(key, ORDER_MULT, seed), *order).limit(n)
+    h = hash_order(key, ORDER_MULT, seed)
+
+    def cut(rows: DataFrame, cell: F.Column, want: int) -> tuple[int | None, int]:
+        """The cell in which row number ``want`` stands, and the rows before it."""
+        before = 0
+        for r in sorted(rows.groupBy(cell.alias("c")).count().collect(), key=lambda r: (r["c"] is not None, r["c"])):
+            if before + r["count"] >= want:
+                return r["c"], before
+            before += r["count"]
+        return None, before
+
+    cells = F.floor(h / CUT_WIDTH)
+    cell, before = cut(df, cells, n)
+    if cell is None:
+        return df  # fewer rows than asked for (rows without a key come first)
+    edge = df.filter(cells == cell)
+    value, inside = cut(edge, h, n - before)
+    below = df.filter(h.isNull() | (h < value))
+    return below.unionByName(df.filter(h == value).orderBy(*order).limit(n - before - inside))
 
 
 def background_points(

@@ -16,15 +16,21 @@ from pyspark.sql import functions as F
 
 
 def _bucket_expr(col: Column, bounds: list[float]) -> Column:
-    """Number of ``bounds`` that are <= col, as a balanced binary search of ``when``s."""
+    """Number of ``bounds`` that are <= col.
 
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col < F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return build(0, len(bounds))
+    ``width_bucket`` over the sorted bounds would need equal widths, so the bounds
+    are one array constant, searched by halving: the expression is as long as the
+    logarithm of the number of bounds, not as long as the list.
+    """
+    array = F.expr("cast(split('" + ",".join(repr(float(b)) for b in bounds) + "', ',') as array<double>)")
+    value, at = col.cast("double"), F.lit(0)
+    step = 1 << (len(bounds).bit_length() - 1)
+    while step:
+        # move on by ``step`` where the bound there still is <= the value
+        ahead = F.get(array, at + F.lit(step - 1))
+        at = at + F.when(ahead <= value, F.lit(step)).otherwise(F.lit(0))
+        step //= 2
+    return at.cast("int")
 
 
 def range_buckets(df: DataFrame, order_col: str, buckets: int | None = None) -> Column:
@@ -86,10 +92,15 @@ def exact_median(df: DataFrame, col: str, by: list[str] | tuple[str, ...] = (),
     and the one or two middle ranks are picked; no group is gathered in one
     task or on the driver.
     """
-    by = list(by)
-    name = alias or f"median_{col}"
     vals = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col)))
     counts = vals.groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
+    return exact_median_of_counts(counts, col, by, alias)
+
+
+def exact_median_of_counts(counts: DataFrame, col: str, by: list[str] | tuple[str, ...] = (), alias: str | None = None) -> DataFrame:
+    """``exact_median`` of values that are already counted (``_n`` rows per group and value)."""
+    by = list(by)
+    name = alias or f"median_{col}"
     ranked = running_totals(counts, col, ["_n"], by=by)
     sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     if by:

@@ -15,8 +15,7 @@ from pyspark.sql import types as T
 
 from nichelab.functions import bins
 from nichelab.functions.numeric import round6
-from nichelab.operators import filters, grid, metrics, raster, sampling
-from nichelab.operators.windows import exact_median
+from nichelab.operators import features, filters, grid, metrics, raster, sampling
 from nichelab.plans import environment, ml_ready, risk_map, training
 from nichelab.schemas import (
     CLIMATE_VARIABLES,
@@ -439,26 +438,7 @@ def geojson_text_parsed(spark, sf):
 
 
 def enhanced_features(spark, sf):
-    df = _ml_ready(spark, sf, None)
-    # both medians in one distributed pass over a (column, value) stack; two numbers come back
-    stacked = df.select(F.explode(F.array(
-        F.struct(F.lit("latitude").alias("name"), F.col("latitude").alias("value")),
-        F.struct(F.lit("longitude").alias("name"), F.col("longitude").alias("value")),
-    )).alias("s")).select("s.*")
-    med = {r["name"]: r["m"] for r in exact_median(stacked, "value", by=["name"], alias="m").collect()}
-    med_lat, med_lon = F.lit(med.get("latitude")).cast("double"), F.lit(med.get("longitude")).cast("double")
-    c = F.col
-    pairs = [("bio1", "bio12"), ("bio1", "bio13"), ("bio6", "bio14"), ("bio5", "bio6"), ("bio13", "bio15"), ("bio14", "bio15")]
-    out = df.select(
-        "key",
-        *[(c(a) * c(b)).alias(f"{a}_x_{b}") for a, b in pairs],
-        (c("bio1") * c("bio12")).alias("temp_precip"),
-        F.try_divide(c("bio12"), c("bio1") + F.lit(10.0)).alias("aridity"),
-        (c("elevation") * c("bio1")).alias("elev_temp"),
-        F.try_divide(c("bio13"), c("bio14")).alias("precip_seasonality_ratio"),
-        F.sqrt(F.pow(c("latitude") - med_lat, 2) + F.pow(c("longitude") - med_lon, 2)).alias("dist_from_median"),
-    )
-    return finish(out)
+    return finish(features.enhanced_features(_ml_ready(spark, sf, None)))
 
 
 # ---------------------------------------------------------------- trained models (rows-only checks)

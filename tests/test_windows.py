@@ -1,5 +1,6 @@
 """Distributed running totals and exact medians against pandas / numpy."""
 
+from pyspark.sql import functions as F
 import numpy as np
 import pandas as pd
 import pytest
@@ -49,3 +50,24 @@ def test_exact_median_by_group(spark):
     got = {r["g"]: r["median_x"] for r in exact_median(spark.createDataFrame(pdf), "x", by=["g"]).collect()}
     for g, s in pdf.groupby("g")["x"]:
         assert got[g] == pytest.approx(float(np.median(s)), abs=1e-15)
+
+
+def test_bucket_expression_is_a_count_of_bounds(spark):
+    from nichelab.operators.windows import _bucket_expr
+
+    bounds = [float(b) for b in range(0, 2000, 2)]
+    values = [-1.0, 0.0, 0.5, 1.0, 2.0, 999.0, 1998.0, 5000.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", _bucket_expr(F.col("v"), bounds).alias("b")).collect()
+    assert [r["b"] for r in got] == [sum(b <= v for b in bounds) for v in values]
+
+
+def test_hash_sample_on_both_sides_of_the_limit(spark, monkeypatch):
+    from nichelab.operators import sampling
+
+    df = spark.createDataFrame([(k % 700, p, k) for k in range(1400) for p in (0, 1)], "key long, presence int, x long")
+    for n in (1, 7, 699, 1500, 2799, 2800, 9000):
+        want = sampling.hash_sample(df, n, tiebreak=["presence", "x"]).collect()
+        monkeypatch.setattr(sampling, "TOP_N_ROWS", 0)
+        got = sampling.hash_sample(df, n, tiebreak=["presence", "x"]).collect()
+        monkeypatch.undo()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
