@@ -63,12 +63,6 @@ def hotspot_level(risk: Column | str) -> Column:
     return _chain(_c(risk), [(b, level) for b, _, level in HOTSPOT_LEVELS])
 
 
-def risk_tier3(risk: Column | str) -> Column:
-    """API summary tier: high > 0.7, medium (0.4, 0.7], low <= 0.4."""
-    r = _c(risk)
-    return F.when(r > RISK_HIGH, "high").when(r > RISK_MEDIUM, "medium").otherwise("low")
-
-
 def threshold_value(i: Column) -> Column:
     """Threshold number ``i`` of the 80-point search grid."""
     return F.lit(THRESHOLD_START) + i.cast("double") * F.lit(THRESHOLD_STEP)

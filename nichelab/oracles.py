@@ -341,22 +341,35 @@ DESCRIPTION = """CASE WHEN risk >= 0.9 THEN 'Highest invasion probability. Prior
   ELSE 'Minimal invasion risk. Environmental conditions not favorable.' END"""
 
 
-def color_case() -> str:
-    from nichelab.schemas import RISK_COLOR_BINS, RISK_COLOR_FLOOR
+# fixed values, written out so that the tables under test are not their own expectation
+CELL_COLORS = [
+    (0.99, "#660000"), (0.98, "#750000"), (0.97, "#850000"), (0.96, "#940000"), (0.95, "#A30000"), (0.94, "#B20000"),
+    (0.93, "#C10000"), (0.92, "#D00000"), (0.91, "#E00000"), (0.90, "#F00000"), (0.89, "#FF0000"), (0.88, "#FF0F0F"),
+    (0.87, "#FF1E1E"), (0.86, "#FF2D2D"), (0.85, "#FF3C3C"), (0.84, "#FF4B00"), (0.83, "#FF5500"), (0.82, "#FF6000"),
+    (0.81, "#FF6A00"), (0.80, "#FF7500"), (0.78, "#FF8000"), (0.76, "#FF8A00"), (0.74, "#FF9500"), (0.72, "#FF9F00"),
+    (0.70, "#FFA500"), (0.68, "#FFB000"), (0.66, "#FFBA00"), (0.64, "#FFC500"), (0.62, "#FFCF00"), (0.60, "#FFD700"),
+    (0.58, "#FFE000"), (0.56, "#FFE800"), (0.54, "#FFF000"), (0.52, "#FFF800"), (0.50, "#FFFF00"), (0.48, "#F8FF00"),
+    (0.46, "#F0FF00"), (0.44, "#E8FF00"), (0.42, "#E0FF00"), (0.40, "#D8FF00"), (0.38, "#CCFF00"), (0.36, "#BFFF00"),
+    (0.34, "#B3FF00"), (0.32, "#A6FF00"), (0.30, "#99FF00"), (0.28, "#80FF00"), (0.26, "#66FF00"), (0.24, "#4DFF00"),
+    (0.22, "#33FF00"), (0.20, "#1AFF1A"), (0.18, "#00FF33"), (0.16, "#00FF4D"), (0.14, "#00FF66"), (0.12, "#00FF80"),
+    (0.10, "#00FF99"), (0.08, "#00FFB3"), (0.06, "#00FFCC"), (0.04, "#00FFE6"), (0.02, "#00FFFF"),
+]
+CELL_COLOR_BELOW = "#00E6FF"
+LEGEND = "#00E6FF #00FF99 #1AFF1A #99FF00 #D8FF00 #FFFF00 #FFD700 #FFA500 #FF7500 #FF0000 #660000".split()
 
-    parts = " ".join(f"WHEN risk >= CAST({b!r} AS DOUBLE) THEN '{c}'" for b, c in RISK_COLOR_BINS)
-    return f"CASE {parts} ELSE '{RISK_COLOR_FLOOR}' END"
+
+def color_case() -> str:
+    parts = " ".join(f"WHEN risk >= CAST({b!r} AS DOUBLE) THEN '{c}'" for b, c in CELL_COLORS)
+    return f"CASE {parts} ELSE '{CELL_COLOR_BELOW}' END"
 
 
 def legend_case() -> str:
     """Per-channel linear interpolation between the 11 legend stops."""
-    from nichelab.schemas import LEGEND_STOPS
-
     seg = "LEAST(GREATEST(CAST(floor(risk * CAST(10 AS DOUBLE)) AS INTEGER), 0), 9)"
     frac = f"LEAST(GREATEST(risk * CAST(10 AS DOUBLE) - CAST({seg} AS DOUBLE), CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE))"
     chans = []
     for ch in range(3):
-        vals = [int(s[1 + 2 * ch : 3 + 2 * ch], 16) for s in LEGEND_STOPS]
+        vals = [int(s[1 + 2 * ch : 3 + 2 * ch], 16) for s in LEGEND]
         lo = "[" + ", ".join(map(str, vals)) + f"][{seg} + 1]"
         hi = "[" + ", ".join(map(str, vals)) + f"][{seg} + 2]"
         chans.append(f"CAST(ROUND(CAST({lo} AS DOUBLE) + CAST({hi} - {lo} AS DOUBLE) * {frac}) AS INTEGER)")
@@ -461,6 +474,13 @@ FROM requests_v r LEFT JOIN (
   SELECT a.n AS row_id, b.n AS col_id, CAST((a.n * 131 + b.n * 71) % 3000 AS DOUBLE) AS elevation
   FROM (SELECT range AS n FROM range(72)) a CROSS JOIN (SELECT range AS n FROM range(144)) b WHERE (a.n * 144 + b.n) % 29 <> 0
 ) e ON e.row_id = {fine[0]} AND e.col_id = {fine[1]}""",
+    )
+    q["request_formats"] = with_(
+        [REQUESTS],
+        f"""SELECT pos, printf('%.3f,%.3f', latitude, longitude) AS coordinate_key,
+  {R("CASE WHEN pos % 3 = 0 THEN 0 WHEN pos % 5 = 0 THEN longitude ELSE latitude END")} AS first_value,
+  {R("CASE WHEN pos % 3 = 0 OR pos % 5 = 0 OR latitude = 0 THEN NULLIF(longitude, 0) ELSE latitude END")} AS first_nonzero,
+  'bio1|4|' || CAST(pos % 19 + 1 AS VARCHAR) AS variables FROM requests""",
     )
     q["elevation_replies"] = with_(
         [

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nichelab.functions import bins
+from nichelab.functions import bins, formats
 from nichelab.functions.numeric import round6
 from nichelab.operators import features, filters, grid, metrics, raster, sampling
 from nichelab.plans import environment, ml_ready, risk_map, training
@@ -204,6 +204,23 @@ def elevation_extract(spark, sf):
     return finish(out.select("pos", "latitude", "longitude", "elevation", "dataset", "status"))
 
 
+def request_formats(spark, sf):
+    """Text forms of a request: cache key, first usable value, split variable list."""
+    req = tables.coordinate_requests(spark, sf)
+    pos = F.col("pos")
+    maybe = F.when(pos % 3 == 0, F.lit(0.0)).when(pos % 5 == 0, F.lit(None)).otherwise(F.col("latitude"))
+    asked = F.concat(F.lit(" bio1, 4 ,"), (pos % 19 + 1).cast("string"))
+    return finish(
+        req.select(
+            "pos",
+            formats.coordinate_key("latitude", "longitude").alias("coordinate_key"),
+            formats.first_present(maybe, F.col("longitude")).alias("first_value"),
+            formats.first_present(maybe, F.col("longitude"), zero_is_missing=True).alias("first_nonzero"),
+            F.array_join(formats.split_variable_list(asked), "|").alias("variables"),
+        )
+    )
+
+
 def elevation_replies(spark, sf):
     requests, replies = tables.elevation_replies(spark, sf)
     return finish(readers.elevation_results(replies, requests))
@@ -505,6 +522,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "elevation_request_batches": elevation_request_batches,
     "elevation_extract": elevation_extract,
     "elevation_replies": elevation_replies,
+    "request_formats": request_formats,
     "raster_sample_shuffle": raster_sample_shuffle,
     "ml_ready_csv_text": ml_ready_csv_text,
     "geojson_text_parsed": geojson_text_parsed,

@@ -109,11 +109,6 @@ def read_raster_cells(spark: SparkSession, path: str, variables: list[int] | Non
     return df
 
 
-def present_layers(cells: DataFrame) -> DataFrame:
-    """Distinct ``var`` values of a cell table (partition listing when partitioned)."""
-    return cells.select("var").distinct()
-
-
 def read_wide_cells(spark: SparkSession, path: str) -> DataFrame:
     """The stored wide cell table ``(row_id, col_id, bioN...)``."""
     return spark.read.parquet(path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -46,7 +47,8 @@ def summarize(plan: str) -> dict:
         "subqueries": len(re.findall(r"[:+]- (?:Reused)?Subquery subquery", plan)),
     }
     scans = re.findall(r"FileScan parquet [^\n]*?Location: InMemoryFileIndex\(1 paths\)\[file:[^\]]*/(\w+)\.parquet\][^\n]*?ReadSchema: struct<([^>]*)>", plan)
-    out["scans"] = "; ".join(sorted({f"{t}({len(cols.split(','))} cols)" for t, cols in scans})) or "-"
+    found = Counter(f"{t}({len(cols.split(','))} cols)" for t, cols in scans)
+    out["scans"] = "; ".join(f"{k}×{n}" if n > 1 else k for k, n in sorted(found.items())) or "-"
     return out
 
 
@@ -55,10 +57,10 @@ def main() -> None:
     from nichelab.session import build_session
 
     spark = build_session("local[8]", shuffle_partitions=8)
-    import __spark_entry__ as E
+    from nichelab.queries import REGISTRY
 
     rows = []
-    for name, fn in E.queries().items():
+    for name, fn in REGISTRY.items():
         if name in SKIP:
             continue
         df = fn(spark, sf)
@@ -70,7 +72,8 @@ def main() -> None:
         "",
         f"Generated by `python tools/plan_report.py` on `local[8]` at `{sf}` (after execution, so joins show",
         "the strategy AQE settled on). Shuffles count hash/range/single-partition exchanges; broadcasts count",
-        "broadcast exchanges; scans list each parquet table read and how many columns it reads.",
+        "broadcast exchanges; scans list each parquet table read, how many columns it reads, and how often (a reused",
+        "exchange counts once).",
         "No plan contains a nested-loop join, a Cartesian product or a Python UDF (asserted in tests).",
         "",
         "| Query | Shuffles | Broadcasts | Joins | Windows | Top-k | Subqueries | Scans |",
