@@ -13,8 +13,8 @@ matching statistics that reach ``SPAN`` yield the suffix interval, and with it
 the smallest doc_id that has the window.  Every document then drops the words
 covered by windows that some smaller doc_id has.
 
-Shards hold about ``SHARD_SEGMENTS`` distinct segments, so their number grows
-with the input and an index fits a task; a passage that a third of all documents
+There is a shard for every ``SHARD_SEGMENTS`` segments (before equal ones are
+counted once), so their number grows with the input and an index fits a task; a passage that a third of all documents
 repeat is one segment.  Texts travel compressed.
 
 Edge cases: null and empty texts have no words; a null doc_id neither loses words
@@ -36,11 +36,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nichelab.llm.arrays import IS_SPACE, Chunk, chunks, gram_hashes, spans, word_hashes
-from nichelab.llm.common import stage, table
+from nichelab.llm.common import release, stage, table
 from nichelab.llm.fmindex import ShardIndex
 
 SPAN, GRAM = 13, 5
-SHARD_SEGMENTS = 60_000
+SHARD_SEGMENTS = 120_000
 #: Windows searched at a time.
 QUERIES = 1 << 18
 ROWS = "doc_id long, tag long, n_words long, sha string, packed binary, print long, seg_id long, start int, seg binary"
@@ -142,8 +142,20 @@ def _shard_rows(span: int):
         if not got:
             return
         prints, ids, docs = (np.concatenate([b.column(j).to_numpy() for b in got]) for j in (0, 1, 3))
-        words = [s.as_py().split(b" ") for b in got for s in b.column(2)]
+        # a window can only stand in segments of its representative: where there is one segment, nothing else has its windows
+        _, group, count = np.unique(prints, return_inverse=True, return_counts=True)
+        alone = count[group] == 1
+        segs = [s for b in got for s in b.column(2)]
         del got
+        if alone.any():
+            n = np.array([segs[i].as_py().count(b" ") for i in np.flatnonzero(alone)]) + 2 - span
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.repeat(docs[alone], n)))
+            yield pa.RecordBatch.from_arrays([pa.array(prints[alone]), pa.array(ids[alone]), lists], ["print", "seg_id", "least"])
+        if alone.all():
+            return
+        words = [segs[i].as_py().split(b" ") for i in np.flatnonzero(~alone)]
+        del segs
+        prints, ids, docs = prints[~alone], ids[~alone], docs[~alone]
         length = np.array([len(w) for w in words])
         coded = pa.array([x for w in words for x in w], pa.binary()).dictionary_encode()
         del words
@@ -164,30 +176,34 @@ def _shard_rows(span: int):
     return run
 
 
-def _kept_rows(span: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept_rows():
+    def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            doc, n_words, sha, packed, starts = batch.columns
+            doc, n_words, sha, packed, runs = batch.columns
             removed, digests = np.zeros(batch.num_rows, np.int64), sha.to_pylist()
             for i in range(batch.num_rows):
-                if not starts[i].is_valid:
+                if not runs[i].is_valid:
                     continue
                 words = open_.decompress(packed[i].as_py()).split()
                 edges = np.zeros(len(words) + 1, np.int64)
-                at = np.unique(starts[i].values.to_numpy())
-                np.add.at(edges, at, 1)
-                np.add.at(edges, at + span, -1)
+                for run in runs[i].as_py():
+                    half = len(run) // 2
+                    for a, b in zip(run[:half], run[half:], strict=True):
+                        edges[a] += 1
+                        edges[b] -= 1
                 covered = np.cumsum(edges)[:-1] > 0
                 removed[i] = covered.sum()
                 digests[i] = digest([w for w, c in zip(words, covered, strict=True) if not c])
             yield pa.RecordBatch.from_arrays([doc, n_words, pa.array(removed), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return run
+    return run_rows
 
 
 def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, tag, n_words, sha, packed) and, for those that repeat anything, the windows to remove (doc_id, tag, starts)."""
+    """Documents (doc_id, tag, n_words, sha, packed) and, for those that repeat anything, the words to remove
+    (doc_id, tag, runs: per segment the first words of its runs, then their ends)."""
+    spark = docs.sparkSession
     data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     by_print = W.partitionBy("print")
     prints = data.filter("doc_id IS NOT NULL").mapInArrow(_print_rows(span, gram), "print long, doc_id long")
@@ -200,23 +216,29 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tup
     packed = data.mapInArrow(_pack, "doc_id long, tag long, packed binary")
     rows = packed.join(per_doc, "doc_id", "left").select("doc_id", "tag", "packed", "prints").mapInArrow(_segment_rows(span, gram), ROWS)
     rows = stage(rows, "segments")
+    release(spark)
     segs = rows.filter("print IS NOT NULL")
-    distinct = stage(segs.groupBy("print", "seg_id", "seg").agg(F.min("doc_id").alias("doc_id")), "distinct")
-    n_shards = max(1, -(-distinct.count() // SHARD_SEGMENTS))
+    distinct = segs.groupBy("print", "seg_id", "seg").agg(F.min("doc_id").alias("doc_id"))
+    n_shards = max(1, -(-segs.count() // SHARD_SEGMENTS))
     shards = distinct.select("print", "seg_id", "seg", "doc_id").repartition(n_shards, "print")
     least = stage(shards.mapInArrow(_shard_rows(span), "print long, seg_id long, least array<long>"), "least")
-    hit = F.array_compact(F.transform("least", lambda x, j: F.when(x < F.col("doc_id"), F.col("start") + j)))
+    release(spark)
+    # runs of neighbouring windows to remove, as first word and end: usually one per segment
+    taken = lambda j: F.coalesce(F.get("least", j) < F.col("doc_id"), F.lit(False))
+    first = F.transform("least", lambda x, j: F.when(taken(j) & ~taken(j - 1), F.col("start") + j))
+    end = F.transform("least", lambda x, j: F.when(taken(j) & ~taken(j + 1), F.col("start") + j + span))
+    hit = F.array_compact(F.concat(first, end))
     members = segs.select("print", "seg_id", "doc_id", "tag", "start").join(least, ["print", "seg_id"])
     starts = members.select("doc_id", "tag", hit.alias("hit")).filter(F.size("hit") > 0)
-    starts = starts.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("hit")).alias("starts"))  # at most a document's own windows
+    starts = starts.groupBy("doc_id", "tag").agg(F.collect_list("hit").alias("runs"))  # at most a document's own windows
     return rows.filter("print IS NULL").select("doc_id", "tag", "n_words", "sha", "packed"), starts
 
 
 def substring_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space)."""
     whole, starts = repeated_windows(docs, span, gram)
-    both = whole.join(starts, ["doc_id", "tag"], "left").select("doc_id", "n_words", "sha", "packed", "starts")
-    return both.mapInArrow(_kept_rows(span), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    both = whole.join(starts, ["doc_id", "tag"], "left").select("doc_id", "n_words", "sha", "packed", "runs")
+    return both.mapInArrow(_kept_rows(), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
