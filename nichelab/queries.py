@@ -461,10 +461,21 @@ def enhanced_features(spark, sf):
 # ---------------------------------------------------------------- trained models (rows-only checks)
 
 
+_LAST_FIT: dict[tuple, training.TunedModel] = {}
+
+
 def _fit(spark, sf):
-    """One cross-validated fit with its training and validation rows."""
+    """One cross-validated fit with its training and validation rows.
+
+    The last fitted model is kept and used again only in the same application
+    on the same files (names, sizes, times of change); other input fits anew.
+    """
     train, val = _training_sets(spark, sf)
-    return training.tune_gbt(train, max_iter=ML_MAX_ITER), train, val
+    key = (spark.sparkContext.applicationId, ML_MAX_ITER, *tables.file_stamps(spark, sf, "orders"))
+    if key not in _LAST_FIT:
+        _LAST_FIT.clear()
+        _LAST_FIT[key] = training.tune_gbt(train, max_iter=ML_MAX_ITER)
+    return _LAST_FIT[key], train, val
 
 
 def gbt_train_score(spark, sf):

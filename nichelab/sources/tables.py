@@ -55,6 +55,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def file_stamps(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """(path, bytes, time of change) of a table's files, through Hadoop's file systems."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+
+
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrence records (schema ``OCCURRENCE``) derived from ``orders``."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")

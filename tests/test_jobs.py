@@ -165,3 +165,11 @@ def test_short_elevation_reply(spark):
     rep = spark.createDataFrame([(0, text), (1, json.dumps({"status": "INVALID", "results": []}))], "batch long, response string")
     got = {r["pos"]: (r["latitude"], r["elevation"], r["dataset"], r["status"]) for r in readers.elevation_results(rep, req).collect()}
     assert got == {10: (1.0, 7.0, "srtm30m", "ok"), 11: (3.0, None, None, "missing_result"), 12: (5.0, None, None, "missing_result")}
+
+
+def test_file_stamps_follow_the_files(spark, tmp_dir):
+    spark.range(5).write.parquet(f"{tmp_dir}/orders.parquet")
+    a = tables.file_stamps(spark, tmp_dir, "orders")
+    assert a == tables.file_stamps(spark, tmp_dir, "orders")
+    spark.range(9).write.mode("overwrite").parquet(f"{tmp_dir}/orders.parquet")
+    assert a != tables.file_stamps(spark, tmp_dir, "orders")
