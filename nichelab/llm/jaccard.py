@@ -13,12 +13,12 @@ from the subsets' sizes): either the exact subsets of ``H + extra`` segments, or
 fewer segments with their one-deletion neighbourhoods, where a segment that
 differs in a single shingle still meets, so that each counts twice.
 
-Allocation, set by set, by measured cost: a set indexes its first ``H + l`` signatures
-in a fixed order, so a similar pair has ``l`` of them in common; the number of
-sets with each signature is counted over all rows, and every set gives up its
-``l - 1`` most frequent ones, empty subsets first.  The least frequent common signature is
-always among what both keep.  Passages that many documents share make frequent
-signatures, which is what is given up.
+Allocation, set by set, by measured cost: the number of sets with each signature
+is counted over all rows, and every set keeps its ``H + 1`` least frequent ones
+(ties by value, empty subsets last).  At most ``H`` of a set's signatures are not
+its partner's, so the least frequent common one is always among what both keep.
+Passages that many documents share make frequent signatures, which is what is
+given up.
 
 Candidates are verified on the shingles themselves.  Pairs are never listed
 within a group: the sets with a signature are compared with a leader, what is
@@ -37,21 +37,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nichelab.llm.arrays import IS_SPACE, LOWER, Chunk, chunks, gram_hashes, mix64, spans, word_hashes
-from nichelab.llm.common import stage, table
+from nichelab.llm.common import release, stage, table
 from nichelab.llm.components import components
 
 WIDTH = 5
 #: The least similarity, as a fraction.
 SHARE = (75, 100)
 #: Cost model: a shingle is shared by chance with this share of CROWD comparable sets.
-CHANCE, CROWD = 0.05, 1000.0
-#: Spare segments and spare signatures, as shares of H + 1.
-SPARE_SEGMENTS, SPARE_SIGNATURES = 0.30, 0.10
+CHANCE, CROWD = 0.008, 1000.0
+#: Spare segments, as a share of H + 1: what a set may give up.
+SPARE_SEGMENTS = 0.6
 #: Leaders per signature in the first round; each round has LEADER_STEP times as many.
 LEADERS, LEADER_STEP = 2, 4
 #: A leader with more partners than this is copied to several tasks.
@@ -59,7 +60,7 @@ PARTNERS_PER_TASK = 4000
 
 
 class Band:
-    """How one size band is cut: segments, weight (1: exact subsets, 2: with deletions), spare signatures."""
+    """How one size band is cut: segments, and weight (1: exact subsets, 2: with deletions)."""
 
     def __init__(self, b: int, share: tuple[int, int] = SHARE):
         num, den = share
@@ -73,7 +74,6 @@ class Band:
         delete = (delete_m + n) * (1 + CROWD * CHANCE ** max(n / delete_m - 1, 0))
         self.weight = 2 if delete < exact and need > 1 else 1
         self.segments = delete_m if self.weight == 2 else exact_m
-        self.spare = 1 if self.weight == 2 else min(1 + int(need * SPARE_SIGNATURES), exact_m - self.most)
 
 
 def most_different(x: int, y: int, share: tuple[int, int] = SHARE) -> int:
@@ -101,7 +101,8 @@ def shingles(chunk: Chunk, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray,
                     total = total * np.uint64(0xD6E8FEB86659FD93) + w
             whole.append(total)
         grams, rows = np.concatenate([grams, mix64(np.array(whole, np.uint64))]), np.concatenate([rows, few])
-    order = np.lexsort((grams, rows))
+    # one sort key: the row, then as much of the hash as fits; equality below is that of whole hashes
+    order = np.argsort((rows.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20)))
     grams, rows = grams[order], rows[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (rows[1:] != rows[:-1])
@@ -120,10 +121,11 @@ def row_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 EMPTY = np.uint64(1 << 63)
 
 
-def signatures(grams: np.ndarray, counts: np.ndarray, band: Band, partner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of some sets in a band, with the set's index; ``partner`` is the largest partner's size per set.
+def signatures(grams: np.ndarray, counts: np.ndarray, band: Band, partner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of some sets in a band, the sets' indexes, and per set how many signatures it may give up.
 
-    The highest bit marks a signature of an empty subset, so these come last.
+    ``partner`` is the largest partner's size per set.  The highest bit marks the
+    signature of an empty subset; such are only listed where a set has too few others.
     """
     n_sets, m = len(counts), band.segments
     owner = np.repeat(np.arange(n_sets), counts)
@@ -149,11 +151,13 @@ def signatures(grams: np.ndarray, counts: np.ndarray, band: Band, partner: np.nd
         sig, own = np.concatenate([exact, without]), np.concatenate([owners, owner])
         blocked = 2 * np.bincount(owners, size <= 1, n_sets)
         keep = (sig < EMPTY) | (blocked > 2 * m - most - 1)[own]
-        return sig[keep], own[keep]
-    order = np.lexsort((exact, owners))
-    rank = np.arange(len(order)) - owners[order] * m
-    keep = order[rank < (most + band.spare)[owners[order]]]
-    return exact[keep], owners[keep]
+        return sig[keep], own[keep], np.zeros(n_sets, np.int64)
+    filled = np.bincount(owners, size > 0, n_sets).astype(np.int64)
+    keep = size > 0
+    for r in np.flatnonzero(filled <= most):  # the first empty ones, to make up most + 1
+        empty = r * m + np.flatnonzero(size[r * m : (r + 1) * m] == 0)
+        keep[empty[np.argsort(exact[empty])[: most[r] + 1 - filled[r]]]] = True
+    return exact[keep], owners[keep], np.maximum(filled - most - 1, 0)
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,21 +171,14 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sig, doc_id and meta (twice the signatures to give up, plus 1 for the band below the set's own)."""
+    """sig, doc_id and meta (twice the signatures that the set may give up, plus 1 for the band below its own)."""
     bands: dict[int, Band] = {}
     for batch in batches:
         ids = batch.column(0).to_numpy()
-        seen: set[tuple[int, int]] = set()
         for c in chunks(batch.column(1)):
             grams, rows, counts = shingles(c)
             own = np.ceil(np.log2(np.maximum(counts, 1))).astype(int)
-            key = row_sums(mix64(grams + np.uint64(1)), counts)
             wanted = counts > 0
-            for r in np.flatnonzero(wanted):  # copies within a batch are indexed once: their sets are one class
-                k = (int(counts[r]), int(key[r]))
-                if k in seen:
-                    wanted[r] = False
-                seen.add(k)
             for b in np.unique(own[wanted]):
                 for lower in (0, 1):
                     if b - lower < 0:
@@ -194,14 +191,14 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     if not len(sets):
                         continue
                     partner = np.full(len(sets), band.top) if lower else counts[sets] * SHARE[1] // SHARE[0]
-                    sig, index = signatures(grams[chosen[rows]], counts[sets], band, partner)
-                    meta = np.full(len(sig), 2 * (band.spare - 1) + lower, np.int32)
+                    sig, index, spare = signatures(grams[chosen[rows]], counts[sets], band, partner)
+                    meta = (2 * spare + lower).astype(np.int32)[index]
                     doc = ids[c.first + sets[index]]
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(doc), pa.array(meta)], ["sig", "doc_id", "meta"])
 
 
-def shingle_set(text: str, width: int = WIDTH) -> set[bytes]:
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER.tobytes()).split()
+def shingle_set(text: bytes, width: int = WIDTH) -> set[bytes]:
+    words = text.translate(LOWER.tobytes()).split()
     if 0 < len(words) < width:
         return {b" ".join(words)}
     return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
@@ -215,15 +212,23 @@ def similar(a: set, b: set, share: tuple[int, int] = SHARE) -> bool:
     return share[1] * both >= share[0] * (small + large - both)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        raw = [squeeze.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["doc_id", "packed"])
+
+
 def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (a, salt, b), the leader's own first (b null): yields the linked (a, b)."""
     leader, sets = None, []
+    open_ = zstandard.ZstdDecompressor()
     for batch in batches:
         found: list[tuple[int, int]] = []
-        for a, salt, b, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for a, salt, b, packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if (a, salt) != leader:
                 leader, sets = (a, salt), []
-            own = shingle_set(text)
+            own = shingle_set(open_.decompress(packed))
             if b is None:
                 sets.append(own)
             elif any(similar(s, own) for s in sets):
@@ -232,7 +237,7 @@ def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar.  ``texts``: node, text.
+    """The pairs (a, b) whose shingle sets are similar.  ``texts``: node, packed.
 
     A leader's set is built once per task and its partners stream past; a
     leader with very many partners is dealt to several tasks.
@@ -242,7 +247,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     salted = stage(salted.select("a", "salt", "b"), "pairs")
     leaders = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("node"))
     partners = salted.join(texts, F.col("b") == F.col("node"))
-    rows = leaders.select("a", "salt", F.lit(None).cast("long").alias("b"), "text").unionAll(partners.select("a", "salt", "b", "text"))
+    rows = leaders.select("a", "salt", F.lit(None).cast("long").alias("b"), "packed").unionAll(partners.select("a", "salt", "b", "packed"))
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return rows.mapInArrow(_verify_rows, "a long, b long").distinct()
 
@@ -261,19 +266,34 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return sets.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
-def link_classes(data: DataFrame, member: DataFrame) -> DataFrame:
-    """Components (node, comp) of the classes of equal sets, each standing for its smallest doc_id."""
-    # exchange by signature; copies of a frequent signature are spread over the many other signatures of their sets
+def index_rows(data: DataFrame, member: DataFrame) -> DataFrame:
+    """sig and node: the signatures that each class keeps, of those that several documents have.
+
+    The one large exchange is by signature.  A third of all documents with one
+    near copy are spread over the hundreds of signatures of their sets.
+    """
     rows = data.mapInArrow(_signature_rows, "sig long, doc_id long, meta int").repartition("sig")
-    counted = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("sig"))).filter("n > 1")
+    counted = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("sig"))).filter("n > 1").repartition("doc_id")
+    # a class is indexed by the document that stands for it
+    reps = member.filter("doc_id = rep").select("doc_id")
     cost = W.partitionBy("doc_id", "meta").orderBy((F.col("sig") < 0).desc(), F.desc("n"), F.desc("sig"))
-    kept = counted.withColumn("rank", F.row_number().over(cost)).filter(F.col("rank") > F.shiftright("meta", 1)).select("sig", "doc_id")
-    index = stage(kept.join(member, "doc_id").select("sig", F.col("rep").alias("node")).distinct(), "index")
+    ranked = counted.join(reps, "doc_id", "left_semi").withColumn("rank", F.row_number().over(cost))
+    # rows that share a doc_id may repeat a signature
+    return ranked.filter(F.col("rank") > F.shiftright("meta", 1)).select("sig", F.col("doc_id").alias("node")).dropDuplicates(["node", "sig"])
+
+
+def link_classes(data: DataFrame, member: DataFrame) -> DataFrame:
+    """Components (node, comp) of the classes of equal sets, each standing for its smallest doc_id."""
+    index = stage(index_rows(data, member), "index")
+    release(data.sparkSession)
     # rows that share a doc_id are linked through it
     lowest = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     links = member.join(lowest, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b")
     nodes = index.select("node").distinct()
-    texts = stage(data.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+    packed = data.mapInArrow(_pack, "doc_id long, packed binary")  # texts travel compressed
+    texts = packed.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "packed")
+    texts = stage(texts, "texts")
+    release(data.sparkSession)
 
     # first the leader with which a set shares most signatures
     leader = index.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z")
@@ -287,6 +307,7 @@ def link_classes(data: DataFrame, member: DataFrame) -> DataFrame:
         known = index.join(comps, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
         mixed = known.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).filter("a <> z").select("sig")
         index = stage(known.join(mixed, "sig", "left_semi"), "index")
+        release(data.sparkSession)
         if index.isEmpty():
             return comps
         top = index.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy("node"))).filter(F.col("rank") <= leaders)

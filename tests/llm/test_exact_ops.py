@@ -89,7 +89,7 @@ def test_jaccard_bands_use_both_allocations():
     bands = [jaccard.Band(b) for b in range(12)]
     assert {b.weight for b in bands} == {1, 2}
     for b in bands:
-        assert b.weight * b.segments >= b.most + b.spare
+        assert b.weight * b.segments > b.most
 
 
 def test_mixing(docs_frame, odd_rows):
