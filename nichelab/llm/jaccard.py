@@ -18,7 +18,15 @@ is counted over all rows, and every set keeps its ``H + 1`` least frequent ones
 (ties by value, empty subsets last).  At most ``H`` of a set's signatures are not
 its partner's, so the least frequent common one is always among what both keep.
 Passages that many documents share make frequent signatures, which is what is
-given up.
+given up.  A set that has to keep a signature of more than ``FREQUENT`` sets is,
+for those, partitioned as finely as can be, a segment per shingle, where it
+gives up all but a quarter of its shingles and one: a similar pair whose least
+frequent common signature is a frequent one consists of two such sets, each with
+at most a quarter of its shingles missing in the other, and meets there.
+
+Where a signature stands in the order of its set also bounds the sizes of the
+partners that may meet there first: a pair of sizes ``x`` and ``y`` only counts
+as met where the signature is among the first ``H(x, y) + 1`` of both sets.
 
 Candidates are verified on the shingles themselves.  Pairs are never listed
 within a group: the sets with a signature are compared with a leader, what is
@@ -38,7 +46,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,6 +61,8 @@ SHARE = (75, 100)
 CHANCE, CROWD = 0.008, 1000.0
 #: Spare segments, as a share of H + 1: what a set may give up.
 SPARE_SEGMENTS = 0.6
+#: A signature of more sets than this is not searched; its sets meet in the finest partition.
+FREQUENT = 16
 #: Leaders per signature in the first round; each round has LEADER_STEP times as many.
 LEADERS, LEADER_STEP = 2, 4
 #: A leader with more partners than this is copied to several tasks.
@@ -170,8 +180,24 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_a", "set_b"])
 
 
+def _fine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same columns for the finest partition, from compressed texts: a signature per shingle."""
+    open_ = zstandard.ZstdDecompressor()
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        texts = pa.array([open_.decompress(t.as_py()) for t in batch.column(1)], pa.large_binary()).view(pa.large_string())
+        for c in chunks(texts):
+            grams, rows, counts = shingles(c)
+            sig = mix64(grams ^ np.uint64(0xC2B2AE3D27D4EB4F)) & ~EMPTY
+            need = -(-counts * SHARE[0] // SHARE[1])  # shingles in common with any similar set, at least
+            meta = (2 * np.maximum(need - 1, 0)).astype(np.int32)
+            cols = [pa.array(sig.view(np.int64)), pa.array(ids[c.first + rows]), pa.array(meta[rows]), pa.array(counts.astype(np.int32)[rows])]
+            yield pa.RecordBatch.from_arrays(cols, ["sig", "doc_id", "meta", "total"])
+
+
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sig, doc_id and meta (twice the signatures that the set may give up, plus 1 for the band below its own)."""
+    """sig, doc_id, meta (twice the signatures that the set may give up, plus 1 for the band below its own) and
+    total (how many filled subsets the set has in the band; 0 where their order says nothing)."""
     bands: dict[int, Band] = {}
     for batch in batches:
         ids = batch.column(0).to_numpy()
@@ -193,8 +219,11 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     partner = np.full(len(sets), band.top) if lower else counts[sets] * SHARE[1] // SHARE[0]
                     sig, index, spare = signatures(grams[chosen[rows]], counts[sets], band, partner)
                     meta = (2 * spare + lower).astype(np.int32)[index]
+                    filled = np.bincount(index[sig < EMPTY], minlength=len(sets)) if band.weight == 1 else np.zeros(len(sets))
+                    total = filled.astype(np.int32)[index]
                     doc = ids[c.first + sets[index]]
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(doc), pa.array(meta)], ["sig", "doc_id", "meta"])
+                    cols = [pa.array(sig.view(np.int64)), pa.array(doc), pa.array(meta), pa.array(total)]
+                    yield pa.RecordBatch.from_arrays(cols, ["sig", "doc_id", "meta", "total"])
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> set[bytes]:
@@ -259,64 +288,94 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     filled = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["n_shingles", "set_a", "set_b"]
     member = stage(
-        filled.join(filled.groupBy(*key).agg(F.min("doc_id").alias("rep")), key).select("doc_id", "rep").distinct(), "members"
+        filled.join(filled.groupBy(*key).agg(F.min("doc_id").alias("rep")), key).select("doc_id", "rep", "n_shingles").distinct(), "members"
     )
     comps = link_classes(data.filter("doc_id IS NOT NULL"), member)
-    of = member.join(comps.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("comp"))
+    of = member.select("doc_id", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("comp"))
     return sets.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
-def index_rows(data: DataFrame, member: DataFrame) -> DataFrame:
-    """sig and node: the signatures that each class keeps, of those that several documents have.
+def index_rows(rows: DataFrame, member: DataFrame) -> DataFrame:
+    """sig, node, n, size and place: the signatures that each class keeps, of those that several documents have; how
+    many have them, the set's size, and the signature's place among the set's, from the least frequent on.
 
     The one large exchange is by signature.  A third of all documents with one
     near copy are spread over the hundreds of signatures of their sets.
     """
-    rows = data.mapInArrow(_signature_rows, "sig long, doc_id long, meta int").repartition("sig")
+    rows = rows.repartition("sig")
     counted = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("sig"))).filter("n > 1").repartition("doc_id")
     # a class is indexed by the document that stands for it
-    reps = member.filter("doc_id = rep").select("doc_id")
-    cost = W.partitionBy("doc_id", "meta").orderBy((F.col("sig") < 0).desc(), F.desc("n"), F.desc("sig"))
-    ranked = counted.join(reps, "doc_id", "left_semi").withColumn("rank", F.row_number().over(cost))
+    reps = member.filter("doc_id = rep").groupBy("doc_id").agg(F.when(F.count(F.lit(1)) == 1, F.min("n_shingles")).alias("size"))
+    empty = F.col("sig") < 0  # listed only by sets that give up nothing
+    cost = W.partitionBy("doc_id", "meta", empty).orderBy(F.desc("n"), F.desc("sig"))
+    ranked = counted.join(reps, "doc_id").withColumn("rank", F.row_number().over(cost))
     # rows that share a doc_id may repeat a signature
-    return ranked.filter(F.col("rank") > F.shiftright("meta", 1)).select("sig", F.col("doc_id").alias("node")).dropDuplicates(["node", "sig"])
+    kept = ranked.filter(F.col("rank") > F.shiftright("meta", 1))
+    place = F.when(F.col("size").isNotNull() & ~empty, F.col("total") - F.col("rank") + 1).otherwise(0)
+    return kept.select("sig", F.col("doc_id").alias("node"), "n", "size", place.alias("place")).dropDuplicates(["node", "sig"])
+
+
+def may_meet(a: str, b: str) -> Column:
+    """Whether two sets that share a signature can be similar and have no less frequent one in common.
+
+    Unknown sizes (several texts under one doc_id) pass, and so do places of 0 or
+    less (empty subsets, deletion neighbourhoods).
+    """
+    num, den = SHARE
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    p, q = F.col(f"{a}.place"), F.col(f"{b}.place")
+    most = F.floor((x + y) * (den - num) / (den + num))
+    need = F.ceil((x + y) * num / (den + num))
+    coarse = F.greatest(p, q) <= most + 1
+    fine = (p <= x - need + 1) & (q <= y - need + 1)
+    sizes = F.least(x, y) * den >= F.greatest(x, y) * num
+    return F.coalesce(sizes & F.when(F.col(f"{a}.fine"), fine).otherwise(coarse), F.lit(True))
 
 
 def link_classes(data: DataFrame, member: DataFrame) -> DataFrame:
     """Components (node, comp) of the classes of equal sets, each standing for its smallest doc_id."""
-    index = stage(index_rows(data, member), "index")
+    signed = "sig long, doc_id long, meta int, total int"
+    coarse = stage(index_rows(data.mapInArrow(_signature_rows, signed), member), "coarse")
     release(data.sparkSession)
     # rows that share a doc_id are linked through it
     lowest = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     links = member.join(lowest, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b")
-    nodes = index.select("node").distinct()
+    nodes = coarse.groupBy("node").agg(F.max(F.col("n") > FREQUENT).alias("frequent"))
     packed = data.mapInArrow(_pack, "doc_id long, packed binary")  # texts travel compressed
-    texts = packed.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "packed")
-    texts = stage(texts, "texts")
+    texts = stage(packed.join(nodes, F.col("doc_id") == F.col("node")).select("node", "packed", "frequent"), "texts")
     release(data.sparkSession)
+    fine = texts.filter("frequent").select(F.col("node").alias("doc_id"), "packed")
+    fine = index_rows(fine.mapInArrow(_fine_rows, signed), member)
+    columns = ["sig", "node", "size", "place"]
+    few = coarse.filter(F.col("n") <= FREQUENT).select(*columns, F.lit(False).alias("fine"))
+    index = stage(few.unionAll(fine.select(*columns, F.lit(True).alias("fine"))), "index")
+    columns.append("fine")
+    texts = texts.select("node", "packed")
 
     # first the leader with which a set shares most signatures
-    leader = index.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z")
-    shared = index.join(leader, "sig").filter("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    leader = index.groupBy("sig").agg(F.min_by(F.struct(*columns), "node").alias("l"), F.max("node").alias("z")).filter("l.node <> z").select("l.*")
+    met = index.alias("i").join(leader.alias("l"), (F.col("i.sig") == F.col("l.sig")) & (F.col("i.node") != F.col("l.node")) & may_meet("i", "l"))
+    shared = met.groupBy(F.col("l.node").alias("a"), F.col("i.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
     tested = stage(best, "tested")
     comps = stage(components(links.unionAll(verify(tested, texts))), "components")
 
     leaders = LEADERS
     while True:
-        known = index.join(comps, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
+        known = index.join(comps, "node", "left").select(*columns, F.coalesce("comp", "node").alias("comp"))
         mixed = known.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).filter("a <> z").select("sig")
         index = stage(known.join(mixed, "sig", "left_semi"), "index")
         release(data.sparkSession)
         if index.isEmpty():
             return comps
         top = index.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy("node"))).filter(F.col("rank") <= leaders)
-        top = stage(top.select("sig", F.col("node").alias("lead"), F.col("comp").alias("lead_comp")), "leaders")
-        pairs = index.join(top, "sig").filter("comp <> lead_comp")
-        pairs = pairs.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+        top = stage(top.select(*columns, "comp"), "leaders")
+        met = (F.col("i.sig") == F.col("t.sig")) & (F.col("i.comp") != F.col("t.comp")) & may_meet("i", "t")
+        pairs = index.alias("i").join(top.alias("t"), met)
+        pairs = pairs.select(F.least("i.node", "t.node").alias("a"), F.greatest("i.node", "t.node").alias("b")).distinct()
         pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         # a leader has met everyone with its signature
-        index = index.join(top.select("sig", F.col("lead").alias("node")), ["sig", "node"], "left_anti").select("sig", "node")
+        index = index.join(top.select("sig", "node"), ["sig", "node"], "left_anti").select(*columns)
         tested = tested.unionAll(pairs)
         new = stage(verify(pairs, texts), "links")
         if not new.isEmpty():

@@ -1,6 +1,7 @@
 """Operators with exact results against plain Python versions, on odd tables."""
 
 import hashlib
+import random
 
 import brute
 import pytest
@@ -131,3 +132,24 @@ def test_equal_texts_share_a_digest(docs_frame):
         2: (2, hashlib.sha256("abc é".encode()).hexdigest()),
         3: (3, hashlib.sha256("abc É".encode()).hexdigest()),
     }
+
+
+def test_jaccard_random_edits(docs_frame):
+    """Sets of all sizes around common passages, edited at random, copies of copies among them."""
+    rng = random.Random(11)
+    passages = [[f"p{k}x{i}" for i in range(rng.randrange(4, 40))] for k in range(4)]
+    rows, made = [], []
+    for k in range(500):
+        if made and rng.random() < 0.6:
+            w = list(rng.choice(made))
+            for _ in range(rng.randrange(0, 4)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randrange(0, 2)] = [f"e{k}x{rng.randrange(99)}"] * rng.randrange(0, 2)
+        else:
+            w = [f"d{k}x{i}" for i in range(rng.randrange(1, 70))]
+            if rng.random() < 0.7:
+                at = rng.randrange(len(w) + 1)
+                w[at:at] = rng.choice(passages)
+        made.append(w or ["w"])
+        rows.append((rng.randrange(10**6) * 1000 + k, " ".join(made[-1])))
+    same(jaccard.near_components(docs_frame(rows)).collect(), brute.jaccard(rows))
