@@ -1,10 +1,9 @@
-import os
+"""Tables and comparisons for the tests of the corpus operators."""
+
 import random
-import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 

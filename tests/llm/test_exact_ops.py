@@ -5,7 +5,7 @@ import random
 
 import brute
 import pytest
-from conftest import same
+from llm_helpers import docs_frame, odd_rows, same  # noqa: F401
 
 from nichelab.llm import decontaminate, exact, jaccard, mixing, substring
 

@@ -5,7 +5,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
-from conftest import same
+from llm_helpers import docs_frame, odd_rows, same  # noqa: F401
 from pyspark.sql import functions as F
 
 import corpus_pipeline

@@ -5,7 +5,7 @@ import string
 
 import brute
 import pytest
-from conftest import same
+from llm_helpers import docs_frame, odd_rows, same  # noqa: F401
 
 from nichelab.llm import license, secrets, urls
 
