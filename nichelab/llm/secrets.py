@@ -108,6 +108,7 @@ def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, sample_docs: int = SAMPL
             F.when(in_sample, words).alias("words"),
         ),
         "marks",
+        "snappy",  # many nested columns: a native zstd context per page adds up beside the heap
     )
     none = F.array().cast("array<struct<kind:int,pos:int,len:int,match:string>>")
     parts = F.concat(*[F.coalesce(F.col(k), none) for k in KINDS])
