@@ -4,9 +4,9 @@ Texts are normalised to their words (A-Z lower-cased) with one space between.
 A notice that may have ``e`` edits is split into ``e + 1`` pieces; a place
 within ``e`` edits of it holds at least one piece unchanged (pigeonhole), so an
 automaton over all pieces finds every candidate place in one pass.  The regex
-library's bounded-error matching then verifies the candidate and gives its span
-and edits.  Exact phrases go through the same automaton and must begin and end
-at words.
+library's bounded-error matching then verifies each candidate by itself, within
+its own text, and gives its span and edits.  Exact phrases go through the same
+automaton and must begin and end at words.
 
 Edge cases: a null text is empty; texts without words have no spans and score 0;
 a doc_id is passed through as it is, rows are independent, so repeated rows get
@@ -16,6 +16,7 @@ equal answers; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections.abc import Iterator
 
 import ahocorasick
@@ -94,7 +95,7 @@ class Searcher:
     def search(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """(kind, index, start, end, edits) in a normalised text that begins and ends with a break."""
         found: list[tuple[int, int, int, int, int]] = []
-        windows: dict[int, list[list[int]]] = {}
+        windows: set[tuple[int, int, int]] = set()
         if not len(self.automaton):
             return found
         for last, (length, uses) in self.automaton.iter(text):
@@ -107,24 +108,33 @@ class Searcher:
                 slack = self.edits[i]
                 a = max(0, start - offset - slack)
                 b = min(len(text), start - offset + len(self.notices[i][1]) + slack)
-                of = windows.setdefault(i, [])
-                if of and a <= of[-1][1]:
-                    of[-1][1] = max(of[-1][1], b)
-                else:
-                    of.append([a, b])
-        places: list[tuple[int, int, int, int, int]] = []
-        for i, of in windows.items():
-            for a, b in of:
-                for m in self.fuzzy[i].finditer(text, a, b):
-                    if "\n" not in m.group():
-                        places.append((sum(m.fuzzy_counts), m.start() - m.end(), m.start(), m.end(), i))
-        # of notices that overlap, the one with the fewest edits holds, then the longest
+                a = max(a, text.rfind("\n", a, start) + 1)
+                end = text.find("\n", last, b)
+                windows.add((i, a, b if end < 0 else end))
+        places: list[tuple[int, ...]] = []
+
+        def look(i: int, a: int, b: int) -> None:
+            """The best match in a window; two matches in one window always overlap, since it is little longer than the notice."""
+            if b - a >= len(self.notices[i][1]) - self.edits[i] and (m := self.fuzzy[i].search(text, a, b)):
+                heapq.heappush(places, (sum(m.fuzzy_counts), m.start() - m.end(), m.start(), m.end(), i, a, b))
+
+        for window in windows:
+            look(*window)
+        # of notices that overlap, the one with the fewest edits holds, then the longest; beside it the others' windows are searched again
         taken: list[tuple[int, int]] = []
-        for edits, _, start, end, i in sorted(places):
+        while places:
+            edits, _, start, end, i, a, b = heapq.heappop(places)
             at = bisect.bisect_left(taken, (start, end))
             if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
                 taken.insert(at, (start, end))
                 found.append((1, i, start, end, edits))
+                continue
+            at = max(0, bisect.bisect_left(taken, (a, a)) - 1)
+            while at < len(taken) and taken[at][0] < b:
+                look(i, a, min(b, taken[at][0]))
+                a = max(a, taken[at][1])
+                at += 1
+            look(i, a, b)
         return found
 
 

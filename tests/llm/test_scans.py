@@ -52,6 +52,24 @@ def test_license_fuzzy(docs_frame):
             assert len(found) == 1 and found[0]["edits"] <= want[r["doc_id"]] and found[0]["first_word"] == 4
 
 
+@pytest.mark.parametrize(
+    "texts",
+    [
+        ["some text licensd under cc by 4 0", "licensed under cc by 4 0 other text"],
+        ["licensd under cc by 4 0"] * 5 + ["licensed under cc by 4 0"],
+        ["licensd under cc by 4 0 licensed undr cc by 4 0 licensed under cc by 4 0 licensed uder c by 4 0"],
+        ["licensed undr cc by 4 0 released under the mit licence licensed under cc by 4 0", "relased under the mit license"],
+    ],
+)
+def test_license_neighbours(docs_frame, texts):
+    """Notices with different edits, back to back and in adjacent rows, are all found."""
+    rows = list(enumerate(texts))
+    out = {r["doc_id"]: [s for s in r["spans"] if not s["exact"]] for r in license.scan(docs_frame(rows).coalesce(1)).collect()}
+    for i, text in rows:
+        n = text.count(" 4 0") + text.count(" mit ")
+        assert len(out[i]) == n and sum(s["edits"] == 0 for s in out[i]) == sum(text.count(x) for _, x in license.NOTICES)
+
+
 def secret_rows(odd_rows):
     hexes = "0123456789abcdef" * 2
     return [
