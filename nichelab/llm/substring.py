@@ -14,8 +14,12 @@ the smallest doc_id that has the window.  Every document then drops the words
 covered by windows that some smaller doc_id has.
 
 There is a shard for every ``SHARD_SEGMENTS`` segments (before equal ones are
-counted once), so their number grows with the input and an index fits a task; a passage that a third of all documents
-repeat is one segment.  Texts travel compressed.
+counted once), so their number grows with the input; a passage that a third of
+all documents repeat is one segment.  A representative with more than
+``1 / HOT_SHARE`` of a shard's segments, all distinct (such a passage in ever
+different surroundings), goes to no shard: its segments are cut into their
+windows, which are dealt out and counted by the window as a whole, so an index
+fits a task whatever the texts share.  Texts travel compressed.
 
 Edge cases: null and empty texts have no words; a null doc_id neither loses words
 nor takes them from others; rows that share a doc_id do not affect one another;
@@ -41,6 +45,7 @@ from nichelab.llm.fmindex import ShardIndex
 
 SPAN, GRAM = 13, 5
 SHARD_SEGMENTS = 120_000
+HOT_SHARE = 10
 #: Windows searched at a time.
 QUERIES = 1 << 18
 ROWS = "doc_id long, tag long, n_words long, sha string, packed binary, print long, seg_id long, start int, seg binary"
@@ -176,6 +181,43 @@ def _shard_rows(span: int):
     return run
 
 
+def _window_rows(span: int):
+    """For each segment a row per distinct window: where it begins in the segment, and its 128-bit hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["print", "seg_id", "doc_id", "at", "gram"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
+
+        for batch in batches:
+            for mark, seg_id, seg, doc in zip(*batch.columns, strict=True):
+                words = seg.as_py().split(b" ")
+                places: dict[bytes, list[int]] = {}
+                for i in range(len(words) - span + 1):
+                    places.setdefault(xxhash.xxh3_128_digest(b" ".join(words[i : i + span])), []).append(i)
+                rows += [(mark.as_py(), seg_id.as_py(), doc.as_py(), at, gram) for gram, at in places.items()]
+                if len(rows) > 1 << 15:
+                    yield flush()
+                    rows = []
+        yield flush()
+
+    return run
+
+
+def least_by_window(segments: DataFrame, span: int) -> DataFrame:
+    """(print, seg_id, least) as the shards give it, without gathering segments: equal windows of all segments are counted together."""
+    windows = stage(segments.mapInArrow(_window_rows(span), "print long, seg_id long, doc_id long, at array<int>, gram binary"), "windows")
+    # staged, so that the join sees two plain inputs and a window that very many segments have is split
+    known = stage(windows.groupBy("gram").agg(F.min("doc_id").alias("value")), "known")
+    found = F.transform("at", lambda i: F.struct(i.alias("i"), F.col("value")))
+    per_segment = windows.join(known, "gram").groupBy("print", "seg_id").agg(F.sort_array(F.flatten(F.collect_list(found))).alias("found"))
+    return per_segment.select("print", "seg_id", F.transform("found", lambda x: x["value"]).alias("least"))  # a segment's own windows
+
+
 def _kept_rows():
     def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -220,8 +262,16 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tup
     segs = rows.filter("print IS NOT NULL")
     distinct = segs.groupBy("print", "seg_id", "seg").agg(F.min("doc_id").alias("doc_id"))
     n_shards = max(1, -(-segs.count() // SHARD_SEGMENTS))
-    shards = distinct.select("print", "seg_id", "seg", "doc_id").repartition(n_shards, "print")
+    distinct = distinct.select("print", "seg_id", "seg", "doc_id")
+    per_print = segs.groupBy("print").agg(F.count_distinct("seg_id").alias("n"))
+    hot = stage(per_print.filter(F.col("n") > SHARD_SEGMENTS // HOT_SHARE).select("print"), "hot")
+    release(spark)
+    any_hot = not hot.isEmpty()
+    rest = distinct.join(hot, "print", "left_anti") if any_hot else distinct
+    shards = rest.repartition(n_shards, "print")
     least = stage(shards.mapInArrow(_shard_rows(span), "print long, seg_id long, least array<long>"), "least")
+    if any_hot:
+        least = least.unionByName(stage(least_by_window(distinct.join(hot, "print", "left_semi"), span), "least"))
     release(spark)
     # runs of neighbouring windows to remove, as first word and end: usually one per segment
     taken = lambda j: F.coalesce(F.get("least", j) < F.col("doc_id"), F.lit(False))

@@ -57,6 +57,32 @@ def test_substring_many_shards(docs_frame, odd_rows, monkeypatch):
     same(substring.substring_dedup(docs_frame(odd_rows)).collect(), brute.substring(odd_rows))
 
 
+def test_substring_common_passage(docs_frame, monkeypatch):
+    """A passage in ever different surroundings: no task gets all segments of its representatives."""
+    rng = random.Random(4)
+    passage = [f"common{i}" for i in range(30)]
+    own = [[f"own{rng.randrange(40)}" for _ in range(40)] for _ in range(90)]
+    rows = [(i, " ".join([*w[:20], *passage, *w[20:]])) for i, w in enumerate(own)]
+    rows += [(100, " ".join(["again"] * 200 + passage)), (101, " ".join(["again"] * 90 + passage)), (None, rows[0][1]), (102, rows[3][1])]
+    limit, shard_rows = 20, substring._shard_rows
+
+    def bounded(span):
+        run = shard_rows(span)
+
+        def check(batches):
+            got = list(batches)
+            prints = [p for b in got for p in b.column(0).to_pylist()]
+            if any(prints.count(p) > limit for p in prints):
+                raise ValueError("one task holds all segments of a representative")
+            yield from run(iter(got))
+
+        return check
+
+    monkeypatch.setattr(substring, "SHARD_SEGMENTS", limit * 10)
+    monkeypatch.setattr(substring, "_shard_rows", bounded)
+    same(substring.substring_dedup(docs_frame(rows)).collect(), brute.substring(rows))
+
+
 @pytest.mark.parametrize(("block", "hot_rows"), [(4096, 1000), (7, 1000), (16, 3)])
 def test_exact(docs_frame, odd_rows, block, hot_rows):
     rows = [r for r in odd_rows if len(r[1] or "") < 20_000] if block < 100 else odd_rows
