@@ -5,7 +5,9 @@ training document, per language; each task adds up its own matrix and Spark sums
 them, so the counts cover all rows and the result has at most ``languages * BINS``
 cells.  The smoothed log-probability matrix is broadcast and documents are
 scored in numpy, by slices of bounded length (a long text is summed over its
-slices, never cut).
+slices, never cut).  More than ``MAX_LANGUAGES`` languages are cut into blocks:
+one block at a time is counted, broadcast and scored, and Spark combines each
+document's best score and sum of evidence over the blocks.
 
 The score is the posterior of the chosen language at ``SHARPNESS`` evidence: the
 mean log-likelihood per n-gram times ``SHARPNESS``, so that long and short
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nichelab.llm.arrays import mix64
-from nichelab.llm.common import table
+from nichelab.llm.common import stage, table
 
 ORDER = 3
 BINS = 1 << 15
@@ -36,7 +38,7 @@ SMOOTHING = 0.5
 SHARPNESS = 60.0
 #: Code points worked on at a time.
 SLICE = 1 << 18
-#: The matrix is broadcast; more languages than this (32 MB) are refused rather than sent.
+#: The matrix is broadcast; more languages than this (32 MB) go in blocks.
 MAX_LANGUAGES = 128
 UNKNOWN = "und"
 TRAIN_MOD, HELD_OUT = 4, 2
@@ -102,16 +104,21 @@ class Model:
         self.languages, self.weights, self.order = languages, weights, order
 
 
-def train(rows: DataFrame, order: int = ORDER) -> Model:
-    """``rows``: text and lang, nulls left out.  Counts every row."""
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = rows.select(F.col("lang").cast("string").alias("lang")).distinct().limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(r["lang"] for r in found)
-    if not languages:
-        return Model([], np.zeros((BINS, 0), np.float32), order)
-    counted = rows.select("text", F.col("lang").cast("string")).mapInArrow(count_rows(languages, order), "lang int, bin int, n long")
+class BlockedModel:
+    """More languages than one matrix holds: a block's matrix is learnt when it is asked for, so that one is held at a time."""
+
+    def __init__(self, languages: list[str], rows: DataFrame, order: int = ORDER):
+        self.languages, self.rows, self.order = languages, rows, order
+
+    def blocks(self) -> Iterator[Model]:
+        for at in range(0, len(self.languages), MAX_LANGUAGES):
+            block = self.languages[at : at + MAX_LANGUAGES]
+            yield learn(self.rows.filter(F.col("lang").isin(block)), block, self.order)
+
+
+def learn(rows: DataFrame, languages: list[str], order: int) -> Model:
+    """The matrix of at most ``MAX_LANGUAGES`` languages, from rows in these languages."""
+    counted = rows.mapInArrow(count_rows(languages, order), "lang int, bin int, n long")
     cells = counted.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most languages * BINS rows
     total = np.zeros((BINS, len(languages)))
     total[cells["bin"].to_numpy(), cells["lang"].to_numpy()] = cells["n"].to_numpy()
@@ -119,9 +126,19 @@ def train(rows: DataFrame, order: int = ORDER) -> Model:
     return Model(languages, np.log(total / total.sum(axis=0)).astype(np.float32), order)
 
 
-def score_text(text: str | None, model: Model) -> tuple[str, float]:
+def train(rows: DataFrame, order: int = ORDER) -> Model | BlockedModel:
+    """``rows``: text and lang, nulls left out.  Counts every row."""
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # one name per language
+    if not languages:
+        return Model([], np.zeros((BINS, 0), np.float32), order)
+    return learn(rows, languages, order) if len(languages) <= MAX_LANGUAGES else BlockedModel(languages, rows, order)
+
+
+def evidence(text: str | None, model: Model) -> np.ndarray | None:
+    """For each language ``SHARPNESS`` times the mean log-likelihood per n-gram; none for a text without letters."""
     if not text or not model.languages or not any(map(str.isalpha, text)):
-        return UNKNOWN, 0.0
+        return None
     total, n = np.zeros(len(model.languages)), 0
     for b in slices(text, model.order):
         if len(b) > BINS // 4:  # a long slice: count first, then one product
@@ -129,13 +146,55 @@ def score_text(text: str | None, model: Model) -> tuple[str, float]:
         else:
             total += model.weights[b].sum(axis=0, dtype=np.float64)
         n += len(b)
-    mean = total / n * SHARPNESS
+    return total / n * SHARPNESS
+
+
+def score_text(text: str | None, model: Model) -> tuple[str, float]:
+    mean = evidence(text, model)
+    if mean is None:
+        return UNKNOWN, 0.0
     best = int(np.argmax(mean))
     return model.languages[best], float(1.0 / np.exp(mean - mean[best]).sum())
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+def predict_blocks(docs: DataFrame, model: BlockedModel, keep: list[str], text: str) -> DataFrame:
+    """As ``predict``, one block of languages at a time."""
+    spark = docs.sparkSession
+    rows = stage(docs.select(*keep, F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = None
+    for block in model.blocks():
+        shared = spark.sparkContext.broadcast((block.languages, block.weights, block.order))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = Model(*shared.value)
+            for batch in batches:
+                means = [(i, mean) for i, t in enumerate(batch.column(1)) if (mean := evidence(t.as_py(), known)) is not None]
+                best = [int(np.argmax(mean)) for _, mean in means]
+                cols = [
+                    batch.column(0).take(pa.array([i for i, _ in means], pa.int64())),
+                    pa.array([known.languages[k] for k in best], pa.string()),
+                    pa.array([float(mean[k]) for (_, mean), k in zip(means, best, strict=True)], pa.float64()),
+                    pa.array([float(np.exp(mean - mean[k]).sum()) for (_, mean), k in zip(means, best, strict=True)], pa.float64()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["_row", "lang", "best", "total"])
+
+        part = stage(rows.select("_row", "_text").mapInArrow(score, "_row long, lang string, best double, total double"), "scores")
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    # the best of all blocks, a tie (up to rounding) to the language first by code point; the blocks' sums are taken to its scale
+    top = F.min(F.struct(F.round(-F.col("best"), 9).alias("minus"), "lang"))
+    per_row = found.groupBy("_row").agg(top.alias("top"), F.collect_list(F.struct("best", "total")).alias("parts"))  # one per block
+    total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["total"] * F.exp(p["best"] + F.col("top.minus")))
+    judged = per_row.select("_row", F.col("top.lang").alias("_lang"), (F.lit(1.0) / total).alias("_score"))
+    return rows.join(judged, "_row", "left").select(
+        *keep, F.coalesce("_lang", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("_score", F.lit(0.0)).alias("score")
+    )
+
+
+def predict(docs: DataFrame, model: Model | BlockedModel, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns (taken as they are), lang_pred and score, one row per input row."""
+    if isinstance(model, BlockedModel):
+        return predict_blocks(docs, model, keep, text)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.languages, model.weights, model.order))
     data = docs.select(*keep, F.col(text).alias("_text"))
@@ -152,7 +211,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     return data.mapInArrow(score, T.StructType(fields))
 
 
-def fit(docs: DataFrame) -> Model:
+def fit(docs: DataFrame) -> Model | BlockedModel:
     """The model of the query: learnt from text and lang of the rows that are not held out."""
     return train(docs.filter(~held_out()).select("text", "lang"))
 

@@ -40,6 +40,23 @@ def test_language_odd_rows(spark, docs_frame):
     assert langid.predict(docs_frame([]), model, ["doc_id"]).count() == 0
 
 
+def test_language_blocks(spark, docs_frame, monkeypatch):
+    """More languages than one matrix holds: the answers are those of one matrix."""
+    rows = [(i, f"{'abcdefgh'[i % 8] * 3} {'hgfedcba'[i % 8]} some common words {i % 5}", f"l{i % 8}", "s") for i in range(40)]
+    rows += [(60, "qqq vvv", "l8", "s"), (61, "qqq vvv", "l9", "s")]
+    odd = [(100, None), (101, "12 !?"), (None, "aaa h"), (102, "qqq vvv"), (102, "qqq vvv"), (103, "ccc f")]
+    docs = docs_frame(rows + odd)
+    one = langid.train(docs_frame(rows))
+    want = [(r["doc_id"], *langid.score_text(r["text"], one)) for r in docs.collect()]
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    model = langid.train(docs_frame(rows))
+    assert model.languages == one.languages and len(list(model.blocks())) == 4
+    got = [tuple(r) for r in langid.predict(docs, model, ["doc_id"]).collect()]
+    assert {r[1] for r in got if r[0] == 102} == {"l8"}
+    assert langid.predict(docs_frame([]), model, ["doc_id"]).count() == 0
+    same([(d, lang, round(s, 6)) for d, lang, s in got], [(d, lang, round(s, 6)) for d, lang, s in want])
+
+
 def test_slices_hold_every_gram(monkeypatch):
     text = "abcdefghij klmnop é日本 qrstuv" * 7
     whole = sorted(np.concatenate(list(langid.slices(text, 3))).tolist())
