@@ -2,14 +2,15 @@
 
 One model is fitted on random strings, one on ordinary identifiers; both are
 order-1 chains over the characters of a token.  A token of ``MIN_TOKEN``
-characters or more with both letters and digits is reported (kind ``markov``)
-when its log-likelihood ratio reaches ``MIN_RATIO`` nats and no pattern span
-overlaps it.  Pattern spans always stay.
+characters or more is reported (kind ``markov``) when its log-likelihood ratio
+reaches ``MIN_RATIO`` nats and no pattern span overlaps it.  Pattern spans
+always stay.
 
 Labelled samples: random strings are the values that the patterns find, in the
 whole corpus, and digests of sampled ids in several encodings; ordinary ones
 are the tokens of a sample of at most ``SAMPLE_DOCS`` documents (smallest id
-hashes; this bounds the fit only).
+hashes; this bounds the fit only), but for long ones with both letters and
+digits, which may be either.
 
 Positions are code points, end exclusive.  They come from marking the matches
 in the text, splitting at the marks and summing the lengths, which is linear in
@@ -97,7 +98,7 @@ def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, sample_docs: int = SAMPL
     text = F.coalesce(F.col("text"), F.lit(""))
     limit = hash_limit(docs, "doc_id", sample_docs)
     in_sample = F.xxhash64("doc_id") <= F.lit(limit)
-    # tokens that the models will have to judge have no label
+    # long tokens with letters and digits are as likely random as not and have no label
     open_ = lambda w: (F.length(w) >= MIN_TOKEN) & w.rlike("[0-9]") & w.rlike("[A-Za-z]")
     words = F.filter(F.split(text, r"[^A-Za-z0-9+/_=-]+"), lambda w: (F.length(w) >= MIN_WORD) & ~open_(w))
     found = stage(
@@ -117,10 +118,9 @@ def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, sample_docs: int = SAMPL
     end = F.sum("len").over(W.partitionBy("doc_id", "tag", "kind").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
     spans = rows.withColumn("end", end).filter(F.col("match").isNotNull()).withColumn("start", F.col("end") - F.col("len"))
     value = F.when(F.col("kind") == 0, F.regexp_extract("match", ASSIGN, 2)).otherwise(F.col("match"))
-    mixed = F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]")
     spans = stage(
         spans.withColumn("value", value)
-        .filter(F.when(F.col("kind") == 0, F.length("value") >= MIN_VALUE).when(F.col("kind") == 3, mixed).otherwise(True))
+        .filter(F.when(F.col("kind") == 0, F.length("value") >= MIN_VALUE).otherwise(True))
         .select("doc_id", "tag", "kind", "start", "end", "value"),
         "spans",
     )

@@ -108,6 +108,20 @@ def test_markov_models(docs_frame):
     assert sum(len(v) for d, v in found.items() if d < 100) == 0
 
 
+def test_markov_letters_only(docs_frame):
+    """Random strings without a digit are scored too; long ordinary words, rules and numbers stay out."""
+    rng = random.Random(10)
+    common = ["configuration", "management", "interface", "document", "service", "handler", "request", "process"]
+    plain = ["".join(rng.choice(common).title() for _ in range(3)) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(plain) + " " + rng.choice(common) for _ in range(60))) for i in range(60)]
+    rows += [(100 + i, "token = " + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))) for i in range(60)]
+    rows += [(200 + i, "see the " + "".join(rng.choice(string.ascii_letters) for _ in range(32)) + " for the service " + rng.choice(plain)) for i in range(30)]
+    rows += [(300 + i, "=" * (40 + i) + " " + "-" * 60 + " " + "_" * 20) for i in range(3)]
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 3] for r in secrets.scan(docs_frame(rows)).collect()}
+    assert sum((8, 40) in found[d] for d in range(200, 230)) >= 27
+    assert sum(len(v) for d, v in found.items() if d < 100 or d >= 300) == 0
+
+
 PAGES = "page_id long, url string, host string, verdict string"
 
 
