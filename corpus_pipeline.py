@@ -6,8 +6,8 @@ included.  ``run`` writes every stage's result as Parquet in the shared folder
 and reads it again for the next.
 
 Rows are told apart by doc_id and text.  Rows that repeat both are exact copies,
-of which one stays; a null doc_id is an ordinary value, except that near copies
-are only sought among rows with an id.  An empty table passes through empty.
+of which one stays; a null doc_id is an ordinary value (the largest, where order
+matters to near copies).  An empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nichelab.llm import decontaminate, exact, jaccard, langid, mixing
-from nichelab.llm.common import ascii_lower, stage, table
+from nichelab.llm.common import ascii_lower, release, stage, table
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -51,13 +51,16 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of linked documents the one with the smallest doc_id stays."""
-    comps = jaccard.near_components(docs.select("doc_id", "text"))
+    # rows may share an id or have none: they are compared by a number of their own, in the order of doc_id
+    ordered = _rows(docs).orderBy(F.col("key_id").asc_nulls_last(), "key_tag")
+    rows = stage(ordered.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    release(spark)
+    comps = jaccard.near_components(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")))
     kept = comps.filter("doc_id = component_id").select("doc_id").distinct()
-    rows = _rows(docs)
-    left = rows.filter("key_id IS NOT NULL").alias("d").join(kept.alias("k"), F.col("d.key_id") == F.col("k.doc_id"), "left_semi")
-    first = F.row_number().over(W.partitionBy("key_id").orderBy("key_tag"))
-    left = left.withColumn("copy", first).filter("copy = 1").select("row")
-    return left.unionAll(rows.filter("key_id IS NULL").select("row")).select("row.*")
+    left = rows.alias("d").join(kept.alias("k"), F.col("d.number") == F.col("k.doc_id"), "left_semi")
+    # texts without words are in no group
+    first = F.row_number().over(W.partitionBy("key_id", "key_tag").orderBy("number"))
+    return left.withColumn("copy", first).filter("copy = 1").select("row.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,3 +182,14 @@ def test_pipeline_keeps_rows_without_id(spark, docs_frame):
     assert kept.count() == 4
     assert corpus_pipeline.drop_near_copies(spark, kept, SF001).filter("doc_id IS NULL").count() == 2
     assert corpus_pipeline.drop_benchmark_leaks(spark, kept, SF001).count() == 4
+
+
+def test_pipeline_near_copies_of_repeated_and_null_ids(spark, docs_frame):
+    """Rows are compared one by one: dissimilar texts under one id all stay, near copies without an id go."""
+    text = [" ".join(f"word{i}x{j}" for j in range(40)) for i in range(6)]
+    rows = [(1, text[0]), (7, text[1]), (7, text[0] + " more"), (7, text[2]), (9, text[2] + " more"), (None, text[3]), (None, text[3] + " more"), (None, text[1] + " end"), (8, None), (None, "")]
+    kept = corpus_pipeline.drop_near_copies(spark, docs_frame([*rows, rows[0], rows[8]]).repartition(3), SF001).collect()
+    got = [(r["doc_id"], r["text"]) for r in kept]
+    none = [r for r in got if r[0] is None and r[1]]
+    assert len(none) == 1 and none[0][1].startswith(text[3])
+    same([r for r in got if r not in none], [rows[0], rows[1], rows[3], rows[8], rows[9]])
