@@ -31,7 +31,8 @@ def hash_sample(
     Up to ``TOP_N_ROWS`` it is a top-n: each task keeps at most n rows and only
     those are merged.  A larger sample takes every row below a cut of the hash,
     found from two histograms of about a thousand cells, and only the rows that
-    share the hash value at the cut are ordered.  The rows are the same.
+    share the hash value at the cut are ordered.  Rows without a key are the first
+    cell, as they come first in order.  The rows are the same.
     """
     n = int(n)
     order = [F.col(key), *[F.col(c) for c in tiebreak or []]]
@@ -39,21 +40,23 @@ def hash_sample(
         return df.orderBy(hash_order(key, ORDER_MULT, seed), *order).limit(n)
     h = hash_order(key, ORDER_MULT, seed)
 
-    def cut(rows: DataFrame, cell: F.Column, want: int) -> tuple[int | None, int]:
-        """The cell in which row number ``want`` stands, and the rows before it."""
+    def cut(rows: DataFrame, cell: F.Column, want: int) -> tuple[bool, int | None, int]:
+        """Whether there are ``want`` rows, the cell in which row number ``want`` stands, and the rows before it."""
         before = 0
         for r in sorted(rows.groupBy(cell.alias("c")).count().collect(), key=lambda r: (r["c"] is not None, r["c"])):
             if before + r["count"] >= want:
-                return r["c"], before
+                return True, r["c"], before
             before += r["count"]
-        return None, before
+        return False, None, before
 
     cells = F.floor(h / CUT_WIDTH)
-    cell, before = cut(df, cells, n)
-    if cell is None:
-        return df  # fewer rows than asked for (rows without a key come first)
+    reached, cell, before = cut(df, cells, n)
+    if not reached:
+        return df  # fewer rows than asked for
+    if cell is None:  # enough rows without a key
+        return df.filter(h.isNull()).orderBy(*order).limit(n)
     edge = df.filter(cells == cell)
-    value, inside = cut(edge, h, n - before)
+    _, value, inside = cut(edge, h, n - before)
     below = df.filter(h.isNull() | (h < value))
     return below.unionByName(df.filter(h == value).orderBy(*order).limit(n - before - inside))
 

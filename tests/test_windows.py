@@ -71,3 +71,15 @@ def test_hash_sample_on_both_sides_of_the_limit(spark, monkeypatch):
         got = sampling.hash_sample(df, n, tiebreak=["presence", "x"]).collect()
         monkeypatch.undo()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_hash_sample_of_many_rows_without_a_key(spark, monkeypatch):
+    from nichelab.operators import sampling
+
+    df = spark.createDataFrame([(None if k < 900 else k, 1, k) for k in range(1000)], "key long, presence int, x long")
+    for n in (5, 899, 900, 901, 999, 1000, 2000):
+        want = sampling.hash_sample(df, n, tiebreak=["presence", "x"]).collect()
+        monkeypatch.setattr(sampling, "TOP_N_ROWS", 0)
+        got = sampling.hash_sample(df, n, tiebreak=["presence", "x"]).collect()
+        monkeypatch.undo()
+        assert len(got) == min(n, 1000) and {r["x"] for r in got} == {r["x"] for r in want}
