@@ -1,8 +1,8 @@
-"""The queries of the ten corpus operators and their DuckDB oracles."""
+"""The queries of the corpus operators and their DuckDB oracles."""
 
 from __future__ import annotations
 
-from nichelab.llm import decontaminate, exact, jaccard, langid, license, mixing, quality, secrets, substring, urls
+from nichelab.llm import decontaminate, exact, fim, jaccard, langid, license, mixing, quality, secrets, substring, urls
 
 REGISTRY = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,7 @@ REGISTRY = {
     "op8_language_id": langid.op8_language_id,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filter": urls.op10_url_filter,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
 #: Only queries that SQL can express over whole tables.
@@ -22,4 +23,5 @@ ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,
     "op3_exact_dedup": exact.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
 }
