@@ -17,6 +17,9 @@ WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word between ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
 
+#: A runtime setting of Spark: a query's shuffle files are deleted when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,15 +47,31 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
     Cuts the lineage so that a lost executor costs no more than the running
     step, gives the planner true sizes, and fixes what is computed once.  The
-    files are removed when the driver's JVM ends.
+    step's shuffle files go when it is written (``SHUFFLE_CLEANUP``), the table's
+    files with ``discard`` or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.staged_at = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``stage`` returned, once all that is made of them is staged itself."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nichelab.llm import conversations, decontaminate, exact, fim, jaccard, langid, license, mixing, quality, secrets, substring, urls
+from nichelab.llm import brown, conversations, decontaminate, exact, fim, jaccard, langid, license, mixing, quality, secrets, substring, urls
 
 REGISTRY = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,7 @@ REGISTRY = {
     "op8_language_id": langid.op8_language_id,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filter": urls.op10_url_filter,
+    "op11_lm_scoring": brown.op11_lm_scoring,
     "op12_conversation_repair": conversations.op12_conversation_repair,
     "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
