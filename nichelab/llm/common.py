@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,19 +72,6 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the executors delete the shuffle files of finished steps now.
-
-    Spark deletes them once the driver has collected the plans that own them,
-    which with a roomy heap may be long after; a step that has been written by
-    ``stage`` needs its shuffles no more.
-    """
-    for _ in range(2):  # what the first pass frees on the Python side, the second one collects in the JVM
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

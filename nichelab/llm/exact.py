@@ -105,7 +105,8 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per input row: doc_id, keep_id (largest doc_id of the equal texts), group_size, kept, text_sha256."""
     ident = stage(identities(docs, doc_id, text, block, hot_rows), "identities")
-    groups = ident.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # a table, not an aggregate above its exchange: then adaptive execution splits the rows of a large group
+    groups = stage(ident.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return ident.join(groups, ["n_blocks", "name"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

@@ -4,17 +4,21 @@ Training counts the hashed n-grams (1 to ``ORDER`` code points) of every
 training document, per language; each task adds up its own matrix and Spark sums
 them, so the counts cover all rows and the result has at most ``languages * BINS``
 cells.  The smoothed log-probability matrix is broadcast and documents are
-scored in numpy, by slices of bounded length (a long text is summed over its
-slices, never cut).  More than ``MAX_LANGUAGES`` languages are cut into blocks:
+scored in numpy, a batch of texts at a time: the n-grams of all of them in one
+array, one look-up in the matrix, sums by text (a long text goes by itself, in
+slices that are summed, never cut).  More than ``MAX_LANGUAGES`` languages are cut into blocks:
 one block at a time is counted, broadcast and scored, and Spark combines each
 document's best score and sum of evidence over the blocks.
 
 The score is the posterior of the chosen language at ``SHARPNESS`` evidence: the
 mean log-likelihood per n-gram times ``SHARPNESS``, so that long and short
-texts are on one scale and unsure texts score low.
+texts are on one scale and unsure texts score low.  It is a share among labels:
+where one language goes by several names, these share it.  ``gain`` does not
+depend on the names: the mean log-likelihood per n-gram in the chosen language
+less that in the background, the model of all training text together.
 
-Edge cases: a text that is null or has no letter is ``und`` with score 0; with no
-training rows every text is ``und``; rows with a null lang do not train; a tie goes
+Edge cases: a text that is null or has no letter is ``und`` with score 0 and no gain; with
+no training rows every text is ``und``; rows with a null lang do not train; a tie goes
 to the language first by code point; repeated rows count as often as they stand
 and are scored alike.
 """
@@ -36,14 +40,15 @@ ORDER = 3
 BINS = 1 << 15
 SMOOTHING = 0.5
 SHARPNESS = 60.0
-#: Code points worked on at a time.
+#: Code points worked on at a time; n-grams times languages looked up at a time.
 SLICE = 1 << 18
+CELLS = 1 << 21
 #: The matrix is broadcast; more languages than this (32 MB) go in blocks.
 MAX_LANGUAGES = 128
 UNKNOWN = "und"
 TRAIN_MOD, HELD_OUT = 4, 2
-#: A document that scores less is not held to be in any known language.
-MIN_SCORE = 0.5
+#: A document that gains less in its language is in no known one: all training text together explains it better.
+MIN_GAIN = -1.0
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -98,7 +103,7 @@ def count_rows(languages: list[str], order: int):
 
 
 class Model:
-    """Languages in code-point order and the log-probabilities, one row per bin."""
+    """Languages in code-point order and the log-probabilities, one row per bin; the last column is the background's."""
 
     def __init__(self, languages: list[str], weights: np.ndarray, order: int = ORDER):
         self.languages, self.weights, self.order = languages, weights, order
@@ -111,19 +116,25 @@ class BlockedModel:
         self.languages, self.rows, self.order = languages, rows, order
 
     def blocks(self) -> Iterator[Model]:
+        everything = counts(self.rows.withColumn("lang", F.lit("")), [""], self.order)
         for at in range(0, len(self.languages), MAX_LANGUAGES):
             block = self.languages[at : at + MAX_LANGUAGES]
-            yield learn(self.rows.filter(F.col("lang").isin(block)), block, self.order)
+            yield learn(counts(self.rows.filter(F.col("lang").isin(block)), block, self.order), everything, block, self.order)
 
 
-def learn(rows: DataFrame, languages: list[str], order: int) -> Model:
-    """The matrix of at most ``MAX_LANGUAGES`` languages, from rows in these languages."""
+def counts(rows: DataFrame, languages: list[str], order: int) -> np.ndarray:
+    """How often each bin occurs in each of at most ``MAX_LANGUAGES`` languages, from rows in these languages."""
     counted = rows.mapInArrow(count_rows(languages, order), "lang int, bin int, n long")
     cells = counted.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most languages * BINS rows
     total = np.zeros((BINS, len(languages)))
     total[cells["bin"].to_numpy(), cells["lang"].to_numpy()] = cells["n"].to_numpy()
-    total += SMOOTHING
-    return Model(languages, np.log(total / total.sum(axis=0)).astype(np.float32), order)
+    return total
+
+
+def learn(total: np.ndarray, everything: np.ndarray, languages: list[str], order: int) -> Model:
+    """The matrix of languages by their counts, with the background by the counts of all text."""
+    smooth = np.concatenate([total, everything], axis=1) + SMOOTHING
+    return Model(languages, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), order)
 
 
 def train(rows: DataFrame, order: int = ORDER) -> Model | BlockedModel:
@@ -131,30 +142,78 @@ def train(rows: DataFrame, order: int = ORDER) -> Model | BlockedModel:
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # one name per language
     if not languages:
-        return Model([], np.zeros((BINS, 0), np.float32), order)
-    return learn(rows, languages, order) if len(languages) <= MAX_LANGUAGES else BlockedModel(languages, rows, order)
+        return Model([], np.zeros((BINS, 1), np.float32), order)
+    if len(languages) > MAX_LANGUAGES:
+        return BlockedModel(languages, rows, order)
+    total = counts(rows, languages, order)
+    return learn(total, total.sum(axis=1, keepdims=True), languages, order)
 
 
-def evidence(text: str | None, model: Model) -> np.ndarray | None:
-    """For each language ``SHARPNESS`` times the mean log-likelihood per n-gram; none for a text without letters."""
-    if not text or not model.languages or not any(map(str.isalpha, text)):
-        return None
-    total, n = np.zeros(len(model.languages)), 0
+def evidence(text: str, model: Model) -> np.ndarray:
+    """The mean log-likelihood per n-gram in each language and the background, of one text in slices."""
+    total, n = np.zeros(model.weights.shape[1]), 0
     for b in slices(text, model.order):
         if len(b) > BINS // 4:  # a long slice: count first, then one product
             total += np.bincount(b, minlength=BINS) @ model.weights
         else:
             total += model.weights[b].sum(axis=0, dtype=np.float64)
         n += len(b)
-    return total / n * SHARPNESS
-
-
-def score_text(text: str | None, model: Model) -> tuple[str, float]:
-    mean = evidence(text, model)
-    if mean is None:
-        return UNKNOWN, 0.0
-    best = int(np.argmax(mean))
-    return model.languages[best], float(1.0 / np.exp(mean - mean[best]).sum())
+    return total / n
+
+
+def batch_evidence(texts: list[str], model: Model) -> np.ndarray:
+    """``evidence`` of several texts at once, a row each."""
+    points = [code_points(t.lower()) for t in texts]
+    lengths = np.array([len(p) for p in points])
+    row = np.repeat(np.arange(len(texts)), lengths)
+    total, n = np.zeros((len(texts), model.weights.shape[1])), np.zeros(len(texts), np.int64)
+    for k, b in enumerate(bins_of(np.concatenate(points), model.order), 1):
+        within = row[: len(b)] == row[k - 1 :]  # n-grams that do not reach into the next text
+        per_row = np.maximum(lengths - (k - 1), 0)
+        some = per_row > 0
+        first = np.concatenate([[0], np.cumsum(per_row)[:-1]])[some]
+        total[some] += np.add.reduceat(model.weights[b[within]], first, axis=0, dtype=np.float64)
+        n += per_row
+    return total / n[:, None]
+
+
+def judge(texts: list[str | None], model: Model) -> tuple[list[int], np.ndarray]:
+    """Which texts have a letter, and the ``evidence`` of these, a row each."""
+    if not model.languages:
+        return [], np.zeros((0, 1))
+    wanted = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+    most = min(SLICE, max(1, CELLS // model.weights.shape[1]))
+    out = np.zeros((len(wanted), model.weights.shape[1]))
+    group, size = [], 0
+
+    def flush() -> None:
+        nonlocal group, size
+        if group:
+            out[group] = batch_evidence([texts[wanted[j]] for j in group], model)
+        group, size = [], 0
+
+    for j, i in enumerate(wanted):
+        if len(texts[i]) > most // 4:
+            out[j] = evidence(texts[i], model)
+            continue
+        if size + len(texts[i]) > most:
+            flush()
+        group.append(j)
+        size += len(texts[i])
+    flush()
+    return wanted, out
+
+
+def score_texts(texts: list[str | None], model: Model) -> list[tuple[str, float, float | None]]:
+    """Language, score and gain of each text."""
+    found: list[tuple[str, float, float | None]] = [(UNKNOWN, 0.0, None)] * len(texts)
+    wanted, means = judge(texts, model)
+    own = means[:, :-1]
+    best = own.argmax(axis=1) if len(wanted) else []
+    for j, (i, k) in enumerate(zip(wanted, best, strict=True)):
+        share = 1.0 / np.exp((own[j] - own[j, k]) * SHARPNESS).sum()
+        found[i] = (model.languages[int(k)], float(share), float(own[j, k] - means[j, -1]))
+    return found
 
 
 def predict_blocks(docs: DataFrame, model: BlockedModel, keep: list[str], text: str) -> DataFrame:
@@ -168,31 +227,34 @@ def predict_blocks(docs: DataFrame, model: BlockedModel, keep: list[str], text:
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = Model(*shared.value)
             for batch in batches:
-                means = [(i, mean) for i, t in enumerate(batch.column(1)) if (mean := evidence(t.as_py(), known)) is not None]
-                best = [int(np.argmax(mean)) for _, mean in means]
+                wanted, means = judge(batch.column(1).to_pylist(), known)
+                own = means[:, :-1] * SHARPNESS
+                best = own.argmax(axis=1) if len(wanted) else np.zeros(0, np.int64)
+                top = own[np.arange(len(wanted)), best]
                 cols = [
-                    batch.column(0).take(pa.array([i for i, _ in means], pa.int64())),
+                    batch.column(0).take(pa.array(wanted, pa.int64())),
                     pa.array([known.languages[k] for k in best], pa.string()),
-                    pa.array([float(mean[k]) for (_, mean), k in zip(means, best, strict=True)], pa.float64()),
-                    pa.array([float(np.exp(mean - mean[k]).sum()) for (_, mean), k in zip(means, best, strict=True)], pa.float64()),
+                    pa.array(top, pa.float64()),
+                    pa.array(np.exp(own - top[:, None]).sum(axis=1), pa.float64()),
+                    pa.array(top / SHARPNESS - means[:, -1], pa.float64()),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["_row", "lang", "best", "total"])
+                yield pa.RecordBatch.from_arrays(cols, ["_row", "lang", "best", "total", "gain"])
 
-        part = stage(rows.select("_row", "_text").mapInArrow(score, "_row long, lang string, best double, total double"), "scores")
+        part = stage(rows.select("_row", "_text").mapInArrow(score, "_row long, lang string, best double, total double, gain double"), "scores")
         shared.unpersist()
         found = part if found is None else found.unionByName(part)
     # the best of all blocks, a tie (up to rounding) to the language first by code point; the blocks' sums are taken to its scale
-    top = F.min(F.struct(F.round(-F.col("best"), 9).alias("minus"), "lang"))
+    top = F.min(F.struct(F.round(-F.col("best"), 9).alias("minus"), "lang", "gain"))
     per_row = found.groupBy("_row").agg(top.alias("top"), F.collect_list(F.struct("best", "total")).alias("parts"))  # one per block
     total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["total"] * F.exp(p["best"] + F.col("top.minus")))
-    judged = per_row.select("_row", F.col("top.lang").alias("_lang"), (F.lit(1.0) / total).alias("_score"))
+    judged = per_row.select("_row", F.col("top.lang").alias("_lang"), (F.lit(1.0) / total).alias("_score"), F.col("top.gain").alias("_gain"))
     return rows.join(judged, "_row", "left").select(
-        *keep, F.coalesce("_lang", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("_score", F.lit(0.0)).alias("score")
+        *keep, F.coalesce("_lang", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("_score", F.lit(0.0)).alias("score"), F.col("_gain").alias("gain")
     )
 
 
 def predict(docs: DataFrame, model: Model | BlockedModel, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns (taken as they are), lang_pred and score, one row per input row."""
+    """``keep`` columns (taken as they are), lang_pred, score and gain, one row per input row."""
     if isinstance(model, BlockedModel):
         return predict_blocks(docs, model, keep, text)
     spark = docs.sparkSession
@@ -202,12 +264,13 @@ def predict(docs: DataFrame, model: Model | BlockedModel, keep: list[str], text:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*shared.value)
         for batch in batches:
-            found = [score_text(t.as_py(), known) for t in batch.column(batch.num_columns - 1)]
+            found = score_texts(batch.column(batch.num_columns - 1).to_pylist(), known)
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*cols, *more], [*keep, "lang_pred", "score"])
+            kinds = [pa.string(), pa.float64(), pa.float64()]
+            more = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*cols, *more], [*keep, "lang_pred", "score", "gain"])
 
-    fields = [*data.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [*data.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("gain", T.DoubleType())]
     return data.mapInArrow(score, T.StructType(fields))
 
 

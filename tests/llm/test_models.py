@@ -47,16 +47,59 @@ def test_language_blocks(spark, docs_frame, monkeypatch):
     odd = [(100, None), (101, "12 !?"), (None, "aaa h"), (102, "qqq vvv"), (102, "qqq vvv"), (103, "ccc f")]
     docs = docs_frame(rows + odd)
     one = langid.train(docs_frame(rows))
-    want = [(r["doc_id"], *langid.score_text(r["text"], one)) for r in docs.collect()]
+    want = [(r["doc_id"], *langid.score_texts([r["text"]], one)[0][:2]) for r in docs.collect()]
     monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
     model = langid.train(docs_frame(rows))
     assert model.languages == one.languages and len(list(model.blocks())) == 4
-    got = [tuple(r) for r in langid.predict(docs, model, ["doc_id"]).collect()]
+    got = [tuple(r)[:3] for r in langid.predict(docs, model, ["doc_id"]).collect()]
     assert {r[1] for r in got if r[0] == 102} == {"l8"}
     assert langid.predict(docs_frame([]), model, ["doc_id"]).count() == 0
     same([(d, lang, round(s, 6)) for d, lang, s in got], [(d, lang, round(s, 6)) for d, lang, s in want])
 
 
+def test_batches_score_as_single_texts(monkeypatch):
+    """All texts of a batch in one array give what each gives by itself, whatever the batch holds."""
+    rng = np.random.default_rng(3)
+    model = langid.Model(["a", "b", "c"], np.log(rng.random((langid.BINS, 4))).astype(np.float32))
+    texts = ["x", "ab", "one text", None, "", "123", "日本", "longer " * 400, "é" * 5, "y", "1a1", "İstanbul"]
+    wanted, got = langid.judge(texts, model)
+    assert [texts[i] for i in wanted] == [t for t in texts if t and any(map(str.isalpha, t))]
+    for cells in (1, 64, 1 << 21):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        again = langid.judge(texts, model)[1]
+        for row, i in zip(again, wanted, strict=True):
+            points = langid.code_points(texts[i].lower())
+            grams = np.concatenate(langid.bins_of(points, 3))
+            assert np.allclose(row, model.weights[grams].mean(axis=0, dtype=np.float64), atol=1e-9)
+
+
+def test_scores_equal_plain_naive_bayes(spark, docs_frame):
+    """Counts, smoothing, posterior and gain by hand, from the bins of the n-grams."""
+    rows = [(i, f"{'der die und ' if i % 3 else 'the of and '}{i} {'abc' * (i % 5)}", "de" if i % 3 else "en", "s") for i in range(30)]
+    model = langid.train(docs_frame(rows))
+    bins = lambda t: np.concatenate(langid.bins_of(langid.code_points(t.lower()), 3))
+    total = {lang: np.bincount(np.concatenate([bins(r[1]) for r in rows if r[2] == lang]), minlength=langid.BINS) + 0.5 for lang in ("de", "en")}
+    total["all"] = total["de"] + total["en"] - 0.5
+    prob = {k: np.log(v / v.sum()) for k, v in total.items()}
+    for text in ("the und", "of", "zzz der", "AND"):
+        mean = {k: prob[k][bins(text)].mean() for k in prob}
+        best = max(("de", "en"), key=lambda k: mean[k])
+        share = 1 / sum(np.exp(langid.SHARPNESS * (mean[k] - mean[best])) for k in ("de", "en"))
+        lang, score, gain = langid.score_texts([text], model)[0]
+        assert lang == best and score == pytest.approx(share, rel=1e-3) and gain == pytest.approx(mean[best] - mean["all"], abs=1e-4)
+
+
+def test_language_stage_does_not_depend_on_the_names_of_languages(spark):
+    """One language under three names, or no name at all, loses no document."""
+    docs = table(spark, SF01, "documents")
+    plain = {r["doc_id"] for r in corpus_pipeline.keep_known_language(spark, docs, SF01).select("doc_id").collect()}
+    assert len(plain) >= 0.99 * docs.filter(F.col("text").rlike(r"\p{L}")).count()
+    names = F.when((F.col("lang") == "en") & (F.col("doc_id") % 3 == 0), "eng").when((F.col("lang") == "en") & (F.col("doc_id") % 3 == 1), "en-US").otherwise(F.col("lang"))
+    for changed in (docs.withColumn("lang", names), docs.withColumn("lang", F.lit(None).cast("string"))):
+        kept = {r["doc_id"] for r in corpus_pipeline.keep_known_language(spark, changed, SF01).select("doc_id").collect()}
+        assert plain <= kept
+
+
 def test_slices_hold_every_gram(monkeypatch):
     text = "abcdefghij klmnop é日本 qrstuv" * 7
     whole = sorted(np.concatenate(list(langid.slices(text, 3))).tolist())
@@ -115,7 +158,7 @@ def test_oracle(spark, name):
 
 
 def test_every_operator_has_its_query():
-    assert [sum(n.startswith(f"op{i}_") for n in REGISTRY) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in REGISTRY) for i in range(1, 14)] == [1] * 13
 
 
 NATIVE = ("op1_decontamination", "op3_exact_dedup", "op6_secret_scan", "op9_mixing", "op10_url_filter")
@@ -129,7 +172,7 @@ def test_native_plans_hold_no_python(spark, name):
 
 def brute_pipeline(docs, items, model):
     """(doc_id, text) after the four filtering stages, and the sources' sizes."""
-    rows = [r for r in docs if (p := langid.score_text(r[1], model))[0] != "und" and p[1] >= langid.MIN_SCORE]
+    rows = [r for r in docs if (p := langid.score_texts([r[1]], model)[0])[0] != "und" and p[2] >= langid.MIN_GAIN]
     kept, seen = [], set()
     for r, e in zip(rows, brute.exact([r[:2] for r in rows]), strict=True):
         if e[3] and (r[0], e[4]) not in seen:
