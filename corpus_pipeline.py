@@ -14,12 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nichelab.llm import decontaminate, exact, jaccard, langid, mixing
-from nichelab.llm.common import ascii_lower, release, stage, table
+from nichelab.llm.common import ascii_lower, stage, table
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -32,11 +33,15 @@ def _same(tag: str = "key_tag") -> Column:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without letters, or in no language the model is sure of, go."""
+    """Language ID: documents without letters go, and those that all training text together explains better than any
+    language does.  Names of languages do not matter, so one language under several names loses nothing; without
+    a training row, or a null ``lang`` everywhere, all documents with letters stay."""
     model = langid.fit(docs.select("doc_id", "text", "lang"))
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     judged = langid.predict(rows, model, ["row"])
-    return judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.MIN_SCORE)).select("row.*")
+    return judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("gain") >= langid.MIN_GAIN)).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,18 +54,41 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return left.withColumn("copy", first).filter("copy = 1").select("row.*")
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Whole rows beside a number of their own, made of the file they stand in and their place in it.
+
+    It moves and copies nothing, and a rerun numbers alike.  ``docs`` that do not come straight from files are written first.
+    """
+
+    def places(df: DataFrame) -> DataFrame:
+        place = df.metadataColumn("_metadata")
+        return df.select(F.struct("*").alias("row"), place.getField("file_path").alias("file"), place.getField("row_index").alias("index"))
+
+    try:
+        rows = places(docs)
+    except AnalysisException:
+        rows = places(stage(docs, "rows"))
+    paths = sorted(r["file"] for r in rows.select("file").distinct().collect())  # the input files' names, as the scan's plan has them
+    files = spark.createDataFrame(list(enumerate(paths)), "ordinal long, file string")
+    number = F.shiftleft("ordinal", 36) + F.col("index")
+    return rows.join(F.broadcast(files), "file").select("row", number.alias("number"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of linked documents the one with the smallest doc_id stays."""
-    # rows may share an id or have none: they are compared by a number of their own, in the order of doc_id
-    ordered = _rows(docs).orderBy(F.col("key_id").asc_nulls_last(), "key_tag")
-    rows = stage(ordered.withColumn("number", F.monotonically_increasing_id()), "numbered")
-    release(spark)
+    """N-gram Jaccard join: of each group of linked documents the one with the smallest doc_id stays (a null one last)."""
+    # rows may share an id or have none: they are compared by a number of their own
+    rows = _numbered(spark, docs)
     comps = jaccard.near_components(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")))
-    kept = comps.filter("doc_id = component_id").select("doc_id").distinct()
-    left = rows.alias("d").join(kept.alias("k"), F.col("d.number") == F.col("k.doc_id"), "left_semi")
-    # texts without words are in no group
-    first = F.row_number().over(W.partitionBy("key_id", "key_tag").orderBy("number"))
-    return left.withColumn("copy", first).filter("copy = 1").select("row.*")
+    ids = rows.select("number", F.col("row.doc_id").alias("key_id"), F.xxhash64("row.text").alias("key_tag"))
+    first = F.struct(F.col("key_id").isNull(), "key_id", "number")
+    of = comps.select(F.col("doc_id").alias("number"), "n_shingles", "component_id").join(ids, "number")
+    # texts without words are in no group, but rows that repeat an id and such a text are copies
+    group = F.when(F.col("n_shingles") > 0, F.struct(F.col("component_id").alias("a"), F.lit(0).cast("long").alias("b"))).otherwise(
+        F.struct(F.col("key_id").alias("a"), F.col("key_tag").alias("b"))
+    )
+    kept = of.groupBy(group.alias("group"), (F.col("n_shingles") > 0).alias("words")).agg(F.min_by("number", first).alias("number"))
+    kept = stage(kept.select("number"), "kept")
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
