@@ -115,6 +115,27 @@ def enrich_grid(
     )
 
 
+def attach_replies(grid: DataFrame, replies: DataFrame, columns: list[str], idx: str = "idx", arrival: str = "arrival") -> DataFrame:
+    """Grid rows with ``columns`` from replies that name the same latitude and longitude, exactly.
+
+    Column by column the last reply to arrive with a value counts; a null never overwrites one.  Coordinates are equal as
+    numbers (0.0 and -0.0 are, not-a-number is equal to nothing).  Of grid rows that repeat a coordinate the one
+    with the largest ``idx`` gets the values, the others none, and a reply without a coordinate goes nowhere.
+    The exact join by cell is ``enrich_grid``; this is for replies that carry coordinates only.
+    """
+
+    def placed(df: DataFrame) -> DataFrame:
+        lat, lon = F.col("latitude"), F.col("longitude")
+        known = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+        return df.filter(known).withColumns({"_lat": lat + F.lit(0.0), "_lon": lon + F.lit(0.0)})
+
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(arrival))).alias(c) for c in columns]
+    values = placed(replies).groupBy("_lat", "_lon").agg(*last, F.lit(True).alias("matched"))
+    owners = placed(grid).groupBy("_lat", "_lon").agg(F.max(idx).alias(idx))
+    filled = owners.join(values, ["_lat", "_lon"]).drop("_lat", "_lon")
+    return grid.join(filled, idx, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+
+
 def null_profile(df: DataFrame, cols: list[str] = ENV_COLUMNS) -> DataFrame:
     """(column, n_missing) per column, from one aggregate."""
     agg = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nichelab.functions.formats import coordinate_key
 from nichelab.operators.filters import coordinate_status
 from nichelab.operators.joins import salted_left_join
 from nichelab.schemas import ALL_LAYERS, CLIMATE_NUMBERS, SCALED_BY_TEN
@@ -171,6 +172,31 @@ def sample_wide_dedup(
     return join_cells(pts, looked_up, cell_table_bytes(meta, len(variables)), broadcast_limit).drop("row_id", "col_id")
 
 
+def sample_wide_cached(
+    points: DataFrame,
+    cells: DataFrame,
+    meta: RasterMeta,
+    variables: list[int] = CLIMATE_NUMBERS,
+    arrival: str = "key",
+    broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
+    salt: int = STREAM_SALT,
+    wide: DataFrame | None = None,
+) -> DataFrame:
+    """``sample_wide`` behind a cache on coordinates rounded to 3 decimals: of all points with one key the first to
+    arrive is looked up, and all get its values, also where they lie in the next cell.
+
+    ``sample_wide_dedup`` is the exact form; this one is for results that must equal those of a client with such a
+    cache.  The first arrival is a ``min_by`` per key, combined before the shuffle; ``salt`` spreads a key
+    that very many points share when the values go back.  A point without a coordinate has no key and no values.
+    """
+    keyed = points.withColumn("_cached", coordinate_key("latitude", "longitude"))
+    first = keyed.filter(F.col("_cached").isNotNull()).groupBy("_cached")
+    first = first.agg(F.min_by(F.struct("latitude", "longitude"), F.struct(arrival, "latitude", "longitude")).alias("_p"))
+    asked = first.select("_cached", "_p.latitude", "_p.longitude")
+    found = sample_wide(asked, cells, meta, variables, broadcast_limit, wide=wide).drop("latitude", "longitude")
+    return salted_left_join(keyed, found, ["_cached"], salt).select(*points.columns, *[f"bio{v}" for v in variables])
+
+
 def lookup_elevation(
     points: DataFrame,
     elev: DataFrame,

@@ -7,10 +7,11 @@ recomputed after an executor loss produces the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichelab.functions.numeric import clip, hash_order, hash_unit
+from nichelab.operators.windows import running_totals
 from nichelab.schemas import SEED, WORLD_LAT_BOUNDS, WORLD_LON_BOUNDS
 
 # multipliers of the three independent hash streams (sample order, lat, lon)
@@ -128,6 +129,33 @@ def fold_id(key: str = "key", k: int = 3, seed: int = SEED, label: str | None =
     return (base % k).cast("int")
 
 
+def stratified_folds(
+    df: DataFrame, k: int = 3, label: str = "presence", key: str = "key", seed: int = SEED, tiebreak: list[str] | None = None
+) -> DataFrame:
+    """``df`` with ``fold`` 0..k-1 such that every class's counts differ by one row at most between folds.
+
+    A row's fold is its rank within its class, in hash order, modulo ``k``.  Rows are counted per class and hash value,
+    running totals over bucketed ranges of the hash give the rank at which each value begins, and only the few rows that
+    share a class and a hash value are ranked among themselves (by key, then ``tiebreak``).
+    """
+    # rows without a label are a class too, and rows without a key the first of theirs
+    named = {"_class": F.coalesce(F.col(label).cast("string"), F.lit("")), "_h": F.coalesce(hash_order(key, LAT_MULT, seed), F.lit(-1))}
+    hashed = df.withColumns(named)
+    per_value = hashed.groupBy("_class", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    begins = running_totals(per_value, "_h", ["_n"], by=["_class"], inclusive=False, bounds=hash_bounds(df.sparkSession))
+    order = [F.col(key), *[F.col(c) for c in tiebreak or []]]
+    within = F.row_number().over(Window.partitionBy("_class", "_h").orderBy(*order)) - 1
+    fold = ((F.col("cum__n") + F.col("_within")) % k).cast("int")
+    joined = hashed.withColumn("_within", within).join(begins.select("_class", "_h", "cum__n"), ["_class", "_h"])
+    return joined.select(*df.columns, fold.alias("fold"))
+
+
+def hash_bounds(spark, modulus: int = 1000003) -> list[float]:
+    """Bounds that cut the hash range into as many equal parts as there are shuffle partitions: no pass over the data."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return [modulus * i / n for i in range(1, n)]
+
+
 def subsample(
     train: DataFrame,
     validation: DataFrame | None,

@@ -55,14 +55,17 @@ def running_totals(
     inclusive: bool = True,
     buckets: int | None = None,
     prefix: str = "cum_",
+    bounds: list[float] | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>``: the total of ``c`` over rows of the same ``by`` group
     that come before this row in ``order_col`` order (and this row, when
     ``inclusive``).  Rows must be unique per (by, order_col), e.g. the output
-    of ``groupBy(*by, order_col)``.
+    of ``groupBy(*by, order_col)``.  ``bounds`` cut the order where its
+    distribution is known; otherwise they are quantiles, found by a job.
     """
     by = list(by)
-    d = df.withColumn("_bkt", range_buckets(df, order_col, buckets))
+    bucket = range_buckets(df, order_col, buckets) if bounds is None else _bucket_expr(F.col(order_col), bounds) if bounds else F.lit(0)
+    d = df.withColumn("_bkt", bucket)
     bkt_order = F.col("_bkt").asc() if ascending else F.col("_bkt").desc()
     totals = d.groupBy(*by, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = Window.partitionBy(*by).orderBy(bkt_order).rowsBetween(Window.unboundedPreceding, -1)

@@ -429,6 +429,40 @@ LEFT JOIN cell_clean c ON c.var = v.var AND c.row_id = p.row_id AND c.col_id = p
 FROM pc p LEFT JOIN wide w ON p.row_id = w.row_id AND p.col_id = w.col_id"""
     q["raster_sample_wide"] = with_([OCCURRENCE, POINTS, RASTER, pc], wide_sel)
     q["raster_dedup_sample"] = q["raster_sample_wide"]
+    q["raster_file_sample"] = with_(
+        [OCCURRENCE, POINTS, RASTER, pc],
+        f"""SELECT p.key, {R('p.latitude')} AS latitude, {R('p.longitude')} AS longitude, {R('w.bio1')} AS bio1, {R('w.bio12')} AS bio12
+FROM pc p LEFT JOIN wide w ON p.row_id = w.row_id AND p.col_id = w.col_id""",
+    )
+    fine_res = "(CAST(0.5 AS DOUBLE) / CAST(60 AS DOUBLE))"
+    q["raster_tile_sample"] = with_(
+        [
+            """cells AS (
+SELECT CAST((l_orderkey * 31 + l_suppkey) % 512 + 12345 AS BIGINT) AS row_id, CAST((l_partkey * 7 + l_orderkey) % 512 + 20321 AS BIGINT) AS col_id,
+  CAST(MAX(l_quantity) AS FLOAT) AS top, CAST(COUNT(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL)""",
+            f"""fp AS (
+SELECT o_orderkey AS key, CAST(90 AS DOUBLE) - (CAST((o_orderkey * 31 + o_custkey) % 532 + 12335 AS DOUBLE) + CAST(0.25 AS DOUBLE)) * {fine_res} AS latitude,
+  CAST(-180 AS DOUBLE) + (CAST((o_custkey * 7 + o_orderkey) % 532 + 20311 AS DOUBLE) + CAST(0.5 AS DOUBLE)) * {fine_res} AS longitude FROM orders)""",
+            f"""fc AS (
+SELECT *, CAST(floor((CAST(90 AS DOUBLE) - latitude) / {fine_res}) AS BIGINT) AS row_id,
+  CAST(floor((longitude + CAST(180 AS DOUBLE)) / {fine_res}) AS BIGINT) AS col_id FROM fp)""",
+        ],
+        f"""SELECT p.key, {R('p.latitude')} AS latitude, {R('p.longitude')} AS longitude,
+  {R('CASE WHEN (c.row_id + c.col_id) % 23 <> 0 THEN CAST(c.top / 10 AS FLOAT) END')} AS bio1, {R('c.n')} AS bio12
+FROM fc p LEFT JOIN cells c USING (row_id, col_id)""",
+    )
+    shifted = f"""shifted AS (
+SELECT key, latitude + CAST(key % 9 AS DOUBLE) * CAST(1e-4 AS DOUBLE) - CAST(4e-4 AS DOUBLE) AS latitude, longitude FROM points)"""
+    q["raster_cached_sample"] = with_(
+        [
+            OCCURRENCE, POINTS, RASTER, shifted,
+            "keyed AS (SELECT *, printf('%.3f,%.3f', latitude, longitude) AS k FROM shifted)",
+            "firsts AS (SELECT k, arg_min(latitude, key) AS latitude, arg_min(longitude, key) AS longitude FROM keyed GROUP BY k)",
+            f"placed AS (SELECT k, {cell_cols()} FROM firsts)",
+        ],
+        f"""SELECT d.key, {", ".join(R('w.' + b) + ' AS ' + b for b in BIO)}
+FROM keyed d JOIN placed p USING (k) LEFT JOIN wide w ON p.row_id = w.row_id AND p.col_id = w.col_id""",
+    )
     q["layer_check"] = with_(
         [OCCURRENCE, POINTS, RASTER, pc],
         f"""SELECT 'bio' || CAST(e.range AS VARCHAR) AS layer, COALESCE(c.n, 0) AS n_cells, c.n IS NOT NULL AS present,
@@ -475,6 +509,37 @@ FROM requests_v r LEFT JOIN (
   FROM (SELECT range AS n FROM range(72)) a CROSS JOIN (SELECT range AS n FROM range(144)) b WHERE (a.n * 144 + b.n) % 29 <> 0
 ) e ON e.row_id = {fine[0]} AND e.col_id = {fine[1]}""",
     )
+    q["elevation_tile_lookup"] = q["elevation_extract"].replace(" 'srtm30m' AS dataset,", "")
+    q["occ_page_sequence"] = with_(
+        [
+            REQUESTS,
+            "placed AS (SELECT *, pos % 7 AS series, CAST(floor(floor(pos / 7) / 20) AS BIGINT) AS idx FROM requests)",
+            """pages AS (
+SELECT *, least(20, least(total, 300) - idx * 20) AS asked, (series * 31 + idx * 7) % 37 = 11 AS failed,
+  held - CASE WHEN (series * 31 + idx * 7) % 23 = 17 THEN 3 ELSE 0 END AS n
+FROM (SELECT series, idx, COUNT(*) AS held FROM placed GROUP BY ALL) JOIN (SELECT series, COUNT(*) AS total FROM placed GROUP BY ALL) USING (series)
+WHERE (series * 13 + idx) % 29 <> 5 AND least(total, 300) > idx * 20)""",
+            """stops AS (
+SELECT series, MIN(i) AS stop FROM (SELECT DISTINCT series FROM pages) s, range(0, 20) r(i)
+WHERE NOT EXISTS (FROM pages p WHERE p.series = s.series AND p.idx = i AND NOT p.failed AND p.n >= p.asked) GROUP BY series)""",
+            "nth AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series, idx ORDER BY pos) - 1 AS nth FROM placed)",
+        ],
+        f"""SELECT series, idx * 20 AS "offset", CAST(nth AS INTEGER) AS nth, pos, {R('latitude')} AS latitude, {R('longitude')} AS longitude
+FROM nth JOIN pages p USING (series, idx) JOIN stops USING (series) WHERE idx <= stop AND NOT failed AND nth < least(n, asked)""",
+    )
+    q["grid_attach_replies"] = f"""WITH g AS (
+SELECT c_custkey AS idx, CAST((c_custkey * 7919) % 180 - 90 AS DOUBLE) AS latitude, CAST((c_custkey * 17) % 36 * 10 - 180 AS DOUBLE) AS longitude FROM customer),
+r AS (
+SELECT o_orderkey AS arrival, CAST((o_custkey * 7919) % 180 - 90 AS DOUBLE) AS latitude,
+  CASE WHEN o_orderkey % 43 <> 0 THEN CAST((o_custkey * 31) % 36 * 10 - 180 AS DOUBLE) END AS longitude,
+  CASE WHEN o_orderkey % 3 <> 0 THEN CAST((o_orderkey * 37) % 3000 AS DOUBLE) END AS elevation,
+  CASE WHEN o_orderkey % 5 <> 0 THEN CAST((o_orderkey * 11) % 400 AS DOUBLE) END AS bio1 FROM orders),
+v AS (
+SELECT latitude, longitude, arg_max(elevation, arrival) FILTER (WHERE elevation IS NOT NULL) AS elevation,
+  arg_max(bio1, arrival) FILTER (WHERE bio1 IS NOT NULL) AS bio1 FROM r WHERE longitude IS NOT NULL GROUP BY ALL)
+SELECT g.idx, {R('g.latitude')} AS latitude, {R('g.longitude')} AS longitude, {R('v.elevation')} AS elevation, {R('v.bio1')} AS bio1, v.latitude IS NOT NULL AS matched
+FROM g LEFT JOIN (SELECT latitude, longitude, MAX(idx) AS idx FROM g GROUP BY ALL) o ON o.idx = g.idx
+LEFT JOIN v ON v.latitude = o.latitude AND v.longitude = o.longitude"""
     q["request_formats"] = with_(
         [REQUESTS],
         f"""SELECT pos, printf('%.3f,%.3f', latitude, longitude) AS coordinate_key,
@@ -536,6 +601,11 @@ FROM points p LEFT JOIN (
     q["folds"] = with_(
         TRAINING, f"SELECT key, presence, CAST(({hash_order('key', 104729)} + presence) % 3 AS INTEGER) AS fold FROM train_set"
     )
+    q["stratified_folds"] = with_(
+        TRAINING,
+        f"""SELECT key, presence, CAST((ROW_NUMBER() OVER (PARTITION BY presence ORDER BY {hash_order('key', 104729)}, key) - 1) % 3 AS INTEGER) AS fold
+FROM train_set""",
+    )
     sub_cols = f"key, presence, {R('latitude')} AS latitude, {R('longitude')} AS longitude"
     q["subsample"] = with_(
         TRAINING,

@@ -7,16 +7,18 @@ aliased, so results compare value-for-value with the SQL in ``oracles``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nichelab.functions import bins, formats
 from nichelab.functions.numeric import round6
-from nichelab.operators import features, filters, grid, metrics, raster, sampling
-from nichelab.plans import environment, ml_ready, risk_map, training
+from nichelab.operators import features, filters, grid, metrics, raster, sampling, tiles
+from nichelab.plans import boosting, environment, ml_ready, risk_map, training
 from nichelab.schemas import (
     CLIMATE_VARIABLES,
     LOCAL_COUNTRY,
@@ -24,7 +26,8 @@ from nichelab.schemas import (
     OCCURRENCE_PAGE,
     PIPELINE_UNCERTAINTY_MAX,
 )
-from nichelab.sources import readers, sinks, tables
+from nichelab.session import shared_folder
+from nichelab.sources import rasterfile, readers, sinks, tables
 from nichelab.sources.tables import FIXTURE_RASTER as META
 
 TAXON_KEY = 100  # the species every pipeline query is about
@@ -235,6 +238,57 @@ def raster_sample_shuffle(spark, sf):
     return finish(out.select("key", "latitude", "longitude", "n_lines", "top_quantity"))
 
 
+def raster_tile_sample(spark, sf):
+    """Points on a half-minute raster of packed tiles: one join by tile."""
+    packed = tiles.pack_layers(tables.fine_cells(spark, sf), [1, 12])
+    return finish(tiles.sample_tiles(tables.fine_points(spark, sf), packed, tables.FINE_RASTER, [1, 12]))
+
+
+def elevation_tile_lookup(spark, sf):
+    """Elevation lookup on packed tiles of the finer elevation raster."""
+    meta = tables.FINE_ELEVATION
+    packed = tiles.pack_cells(tables.elevation_cells(spark, sf, meta), ["elevation"], 16)
+    return finish(tiles.lookup_elevation_tiles(tables.coordinate_requests(spark, sf), packed, meta, 16))
+
+
+def _raster_folder(spark, sf) -> str:
+    """The driver-table raster as layer files in the shared folder, as a user's raster lies in a folder of its own."""
+    folder = f"{shared_folder(spark)}/rasters-{uuid.uuid4().hex}"
+    fs, at = rasterfile.file_system(folder)
+    fs.create_dir(at)
+    cells = tables.raster_cells(spark, sf).toPandas()  # the fixture: 36 x 72 cells of 8 layers
+    for var, layer in cells.groupby("var"):
+        values = np.full((META.n_rows, META.n_cols), META.nodata, np.float32)
+        values[layer["row_id"], layer["col_id"]] = layer["value"]
+        rasterfile.write_layer(f"{folder}/bio_{var}.tif", values, META, rows_per_strip=8)
+    return folder
+
+
+def raster_file_sample(spark, sf):
+    """Point sampling on a raster that is read from files, two of its eight layers."""
+    folder = _raster_folder(spark, sf)
+    cells, meta = rasterfile.read_raster_files(spark, folder, [1, 12]), rasterfile.raster_files_meta(folder, [1, 12])
+    out = raster.sample_wide(_points(spark, sf).select("key", "latitude", "longitude"), cells, meta, [1, 12])
+    return finish(out.select("key", "latitude", "longitude", "bio1", "bio12"))
+
+
+def occ_page_sequence(spark, sf):
+    """Paged fetches that may break off: the records a client has read by then."""
+    return finish(readers.read_page_sequence(tables.request_pages(spark, sf), 20, ["series"], limit=300))
+
+
+def raster_cached_sample(spark, sf):
+    """Point sampling behind a cache on rounded coordinates, first arrival wins."""
+    pts = _points(spark, sf).select("key", (F.col("latitude") + (F.col("key") % 9) * 1e-4 - 4e-4).alias("latitude"), "longitude")
+    out = raster.sample_wide_cached(pts, tables.raster_cells(spark, sf), META)
+    return finish(out.select("key", *CLIMATE_VARIABLES))
+
+
+def grid_attach_replies(spark, sf):
+    """Grid rows filled from replies that carry coordinates, last write wins."""
+    return finish(grid.attach_replies(tables.reply_grid(spark, sf), tables.coordinate_replies(spark, sf), ["elevation", "bio1"]))
+
+
 def ml_ready_csv_text(spark, sf):
     """The model-ready table as the CSV sink prints it."""
     return sinks.ml_ready_text(_ml_ready(spark, sf, None), ["key", *ML_READY_COLUMNS])
@@ -298,6 +352,11 @@ def folds(spark, sf):
     return train.select("key", "presence", sampling.fold_id("key", 3, label="presence").alias("fold"))
 
 
+def stratified_folds(spark, sf):
+    train = training.training_set(_ml_ready(spark, sf, None))
+    return sampling.stratified_folds(train, 3).select("key", "presence", "fold")
+
+
 def subsample(spark, sf):
     train, val = _training_sets(spark, sf)
     t, v = sampling.subsample(train, val, SUBSAMPLE_ROWS, tiebreak=["presence"])
@@ -483,6 +542,14 @@ def gbt_train_score(spark, sf):
     return finish(training.score(cvm.bestModel, val).select("key", "presence", "risk"))
 
 
+def second_order_train_score(spark, sf):
+    """Second-order trees on features with gaps, scored on the validation rows."""
+    train, val = _training_sets(spark, sf)
+    gaps = F.when(F.col("key") % 10 >= 3, F.col("elevation"))  # as where an elevation service has no answer
+    model = boosting.train_booster(train.withColumn("elevation", gaps), boosting.Params(n_estimators=20))
+    return finish(boosting.score(model, val.withColumn("elevation", gaps)).select("key", "presence", "risk"))
+
+
 def cv_grid(spark, sf):
     cvm, _, _ = _fit(spark, sf)
     return spark.createDataFrame(training.cv_results(cvm), "max_depth int, mean_auc double")
@@ -535,6 +602,13 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "elevation_replies": elevation_replies,
     "request_formats": request_formats,
     "raster_sample_shuffle": raster_sample_shuffle,
+    "raster_tile_sample": raster_tile_sample,
+    "elevation_tile_lookup": elevation_tile_lookup,
+    "raster_file_sample": raster_file_sample,
+    "occ_page_sequence": occ_page_sequence,
+    "raster_cached_sample": raster_cached_sample,
+    "grid_attach_replies": grid_attach_replies,
+    "stratified_folds": stratified_folds,
     "ml_ready_csv_text": ml_ready_csv_text,
     "geojson_text_parsed": geojson_text_parsed,
     "ml_ready_global": ml_ready_global,
@@ -573,6 +647,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fold_mean_auc": fold_mean_auc,
     "enhanced_features": enhanced_features,
     "gbt_train_score": gbt_train_score,
+    "second_order_train_score": second_order_train_score,
     "cv_grid": cv_grid,
     "feature_importance": feature_importance,
     "rf_baseline": rf_baseline,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -59,3 +60,19 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     else:
         logging.getLogger(__name__).warning("spark.checkpoint.dir is not set: long lineages are not cut")
     return path
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share, for files a job writes and reads again: the checkpoint folder.
+
+    Only a local session may lack it (tests); it then gets a private one.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = known.get() if known.isDefined() else None
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="nichelab-files-")
+    return path.rstrip("/")

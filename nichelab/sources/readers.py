@@ -42,6 +42,65 @@ def read_occurrence_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.explode("results").alias("r")).select("r.*")
 
 
+def full_prefix(pages: DataFrame, by: list[str], index: str, full: str, span: int = 1024) -> DataFrame:
+    """By group, ``stop``: the first page number that is not there in full (0 where the first page is not).
+
+    Pages are gathered per range of ``span`` numbers (at most ``span`` entries, combined
+    before the shuffle), and only the ranges are compared: the answer is the first
+    number missing within a range, or the start of a range that is not there
+    although the one before it is whole; the smallest of these is the first.
+    """
+    ranged = pages.filter(F.col(full)).select(*by, F.col(index).alias("_i"), F.floor(F.col(index) / span).alias("_range"))
+    held = ranged.groupBy(*by, "_range").agg(F.collect_set("_i").alias("_held"))
+    start = F.col("_range") * span
+    gap = F.array_min(F.array_except(F.sequence(start, start + (span - 1)), "_held"))
+    ranges = held.select(*by, "_range", gap.alias("_gap"))
+    ahead = ranges.select(*by, (F.col("_range") - 1).alias("_range"), F.lit(True).alias("_next"))
+    joined = ranges.join(ahead, [*by, "_range"], "left")
+    found = F.coalesce(F.col("_gap"), F.when(F.col("_next").isNull(), start + span))
+    stops = joined.groupBy(*by).agg(F.when(F.min("_range") > 0, 0).otherwise(F.min(found)).cast("long").alias("stop"))
+    every = pages.select(*by).distinct()
+    return every.join(stops, by, "left").select(*by, F.coalesce("stop", F.lit(0)).alias("stop"))
+
+
+def read_page_sequence(
+    pages: DataFrame, size: int, by: list[str], offset: str = "offset", total: str = "total", page: str = "page", limit: int | None = None
+) -> DataFrame:
+    """Records of paged fetches as a client reads them that asks page after page: ``by``, offset, nth and the record's fields.
+
+    A fetch (one ``by`` group) asks for ``size`` records from ``offset`` 0 on until ``total`` (or ``limit``) is reached.  It ends
+    at a page that is missing or failed (``page`` null), which adds nothing, and at one with fewer records than asked
+    for, which still counts; the pages before stay.  This is the mode for sources that may break off;
+    ``read_occurrence_pages`` takes all or nothing.
+    """
+    wanted = F.least(total, F.lit(limit)) if limit is not None else F.col(total)
+    asked = F.least(F.lit(size).cast("long"), wanted - F.col(offset))
+    rows = F.col(f"{page}.results")
+    marked = pages.filter((F.col(offset) % size == 0) & (asked > 0)).withColumns(
+        {
+            "_index": F.floor(F.col(offset) / size).cast("long"),
+            "_taken": F.slice(rows, F.lit(1), F.greatest(asked, F.lit(0)).cast("int")),
+            "_full": F.coalesce(F.size(rows) >= asked, F.lit(False)),
+        }
+    )
+    stops = full_prefix(marked, by, "_index", "_full")
+    read = marked.join(stops, by).filter((F.col("_index") <= F.col("stop")) & F.col("_taken").isNotNull())
+    return read.select(*by, offset, F.posexplode("_taken").alias("nth", "_record")).select(*by, offset, "nth", "_record.*")
+
+
+def read_occurrence_page_files(spark: SparkSession, path: str, size: int, limit: int | None = None) -> DataFrame:
+    """A folder of page documents, each with its ``offset`` and the fetch's ``count``, read as ``read_page_sequence`` does.
+
+    A document that cannot be parsed, or names no offset, is a page that is missing.
+    """
+    schema = T.StructType([T.StructField("offset", T.LongType()), *OCCURRENCE_PAGE.fields])
+    docs = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    pages = docs.filter(F.col("offset").isNotNull()).select(
+        F.lit(0).alias("fetch"), "offset", F.col("count").alias("total"), F.when(F.col("results").isNotNull(), F.struct("results")).alias("page")
+    )
+    return read_page_sequence(pages, size, ["fetch"], limit=limit).drop("fetch", "nth")
+
+
 def parse_elevation_responses(
     responses: DataFrame, text_col: str = "response", batch_col: str = "batch"
 ) -> DataFrame:

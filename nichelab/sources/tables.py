@@ -147,6 +147,78 @@ def order_cells(spark: SparkSession, sf_dir: str, meta: RasterMeta = ORDER_RASTE
     ).agg(F.count(F.lit(1)).alias("n_lines"), F.max("l_quantity").cast("double").alias("top_quantity"))
 
 
+# the half-minute raster of the globe (21,600 x 43,200 cells); its cells come from ``lineitem``, in a window
+FINE_RASTER = RasterMeta.global_grid(0.5, nodata=-9999.0)
+FINE_WINDOW = (12_345, 20_321, 512)  # first row, first column, rows and columns
+
+
+def fine_cells(spark: SparkSession, sf_dir: str, meta: RasterMeta = FINE_RASTER) -> DataFrame:
+    """Long cells of two layers of the half-minute raster, in a window; the number of cells grows with ``lineitem``."""
+    row0, col0, n = FINE_WINDOW
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    row = (F.col("l_orderkey") * 31 + F.col("l_suppkey")) % n + row0
+    col = (F.col("l_partkey") * 7 + F.col("l_orderkey")) % n + col0
+    per_cell = li.groupBy(row.cast("int").alias("row_id"), col.cast("int").alias("col_id")).agg(
+        F.max("l_quantity").cast("float").alias("top"), F.count(F.lit(1)).cast("float").alias("lines")
+    )
+    empty = (F.col("row_id") + F.col("col_id")) % 23 == 0
+    both = F.array(
+        F.struct(F.lit(1).alias("var"), F.when(empty, F.lit(meta.nodata).cast("float")).otherwise(F.col("top")).alias("value")),
+        F.struct(F.lit(12).alias("var"), F.col("lines").alias("value")),
+    )
+    return per_cell.select("row_id", "col_id", F.explode(both).alias("v")).select("v.var", "row_id", "col_id", "v.value")
+
+
+def fine_points(spark: SparkSession, sf_dir: str, meta: RasterMeta = FINE_RASTER) -> DataFrame:
+    """Points ``(key, latitude, longitude)`` from ``orders``, in and around the window of ``fine_cells``."""
+    row0, col0, n = FINE_WINDOW
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    row = ((k * 31 + c) % (n + 20) + (row0 - 10)).cast("double") + F.lit(0.25)
+    col = ((c * 7 + k) % (n + 20) + (col0 - 10)).cast("double") + F.lit(0.5)
+    return o.select(
+        k.alias("key"), (F.lit(meta.top) - row * F.lit(meta.res)).alias("latitude"), (F.lit(meta.left) + col * F.lit(meta.res)).alias("longitude")
+    )
+
+
+def request_pages(spark: SparkSession, sf_dir: str, size: int = 20, series: int = 7) -> DataFrame:
+    """Pages ``(series, offset, total, page)`` of several paged fetches of the coordinate requests.
+
+    Some pages are missing, some failed (null), some are short.
+    """
+    req = coordinate_requests(spark, sf_dir).withColumn("series", F.col("pos") % series)
+    place = F.floor(F.col("pos") / series).cast("long")
+    req = req.withColumn("index", F.floor(place / size).cast("long"))
+    record = F.struct("pos", "latitude", "longitude")
+    per_page = req.groupBy("series", "index").agg(F.array_sort(F.collect_list(record)).alias("all"))  # a page size of rows
+    totals = req.groupBy("series").agg(F.count(F.lit(1)).alias("total"))
+    code = F.col("series") * 31 + F.col("index") * 7
+    short = F.when(code % 23 == 17, F.slice("all", 1, F.greatest(F.size("all") - 3, F.lit(0)))).otherwise(F.col("all"))
+    pages = per_page.filter((F.col("series") * 13 + F.col("index")) % 29 != 5).join(totals, "series")
+    page = F.when(code % 37 != 11, F.struct(short.alias("results")))
+    return pages.select("series", (F.col("index") * size).alias("offset"), "total", page.alias("page"))
+
+
+def coordinate_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies ``(arrival, latitude, longitude, elevation, bio1)`` to coordinates, several for the same ones, with gaps."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return o.select(
+        k.alias("arrival"),
+        ((c * 7919) % 180 - 90).cast("double").alias("latitude"),
+        F.when(k % 43 == 0, F.lit(None).cast("double")).otherwise(((c * 31) % 36 * 10 - 180).cast("double")).alias("longitude"),
+        F.when(k % 3 != 0, ((k * 37) % 3000).cast("double")).alias("elevation"),
+        F.when(k % 5 != 0, ((k * 11) % 400).cast("double")).alias("bio1"),
+    )
+
+
+def reply_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid rows ``(idx, latitude, longitude)`` of whole degrees from ``customer``, with rows that repeat."""
+    c = read_table(spark, sf_dir, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    return c.select(k.alias("idx"), ((k * 7919) % 180 - 90).cast("double").alias("latitude"), ((k * 17) % 36 * 10 - 180).cast("double").alias("longitude"))
+
+
 def elevation_replies(spark: SparkSession, sf_dir: str, size: int = 50) -> tuple[DataFrame, DataFrame]:
     """Requests ``(batch, pos, latitude, longitude)`` and the service's replies ``(batch, response)`` as JSON text.
 

@@ -11,7 +11,7 @@ from nichelab import oracles
 from nichelab import queries as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ML = {"gbt_train_score", "cv_grid", "feature_importance", "rf_baseline", "training_summary", "model_risk_summary"}
+ML = {"gbt_train_score", "cv_grid", "feature_importance", "rf_baseline", "training_summary", "model_risk_summary", "second_order_train_score"}
 SQL = oracles.oracle_sql()
 
 
