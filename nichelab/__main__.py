@@ -134,21 +134,29 @@ def cmd_risk_map(args) -> None:
     rm.scored.cache()
     out = risk_map.outputs(rm)
     sinks.write_geojson_lines(out["cells"], os.path.join(args.out, "cells_geojson"))
+    sinks.write_feature_collections(out["cells"], os.path.join(args.out, "cells_documents"))
     summary = out["summary"].first().asDict()
     rm.scored.unpersist()
     print(json.dumps(summary, default=str))
 
 
 def cmd_store_raster(args) -> None:
-    """Pivot a long cell table once; the other commands then take it with --wide-raster."""
-    from nichelab.operators import raster
+    """Pivot a long cell table, or a folder of raster files, once; the other commands then take it with --wide-raster.
+    With --tile, packed tiles are stored instead (for ``extract_environment``)."""
+    from nichelab.operators import raster, tiles
     from nichelab.schemas import CLIMATE_VARIABLES
-    from nichelab.sources import readers, sinks
+    from nichelab.sources import rasterfile, readers, sinks
 
     spark = _session()
-    cells = readers.read_raster_cells(spark, args.raster)
+    if args.raster_files:
+        cells, meta = rasterfile.read_raster_files(spark, args.raster_files), rasterfile.raster_files_meta(args.raster_files)
+    else:
+        cells, meta = readers.read_raster_cells(spark, args.raster), _meta(spark, args.raster_meta)
     raster.require_layers(cells, CLIMATE_VARIABLES)
-    sinks.write_wide_cells(raster.widen_cells(cells, _meta(spark, args.raster_meta)), args.out)
+    if args.tile:
+        tiles.pack_layers(cells, tile=args.tile).write.mode("overwrite").parquet(args.out)
+    else:
+        sinks.write_wide_cells(raster.widen_cells(cells, meta), args.out)
     print(json.dumps({"written": args.out}))
 
 
@@ -196,8 +204,11 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--month", type=int, default=1)
     r.set_defaults(fn=cmd_risk_map)
     w = sub.add_parser("store-raster", help="pivot a long cell table once into a stored wide table")
-    w.add_argument("--raster", required=True)
-    w.add_argument("--raster-meta", required=True)
+    kind = w.add_mutually_exclusive_group(required=True)
+    kind.add_argument("--raster", help="long climate cells (parquet, partitioned by var); needs --raster-meta")
+    kind.add_argument("--raster-files", help="folder of TIFF layers")
+    w.add_argument("--raster-meta")
+    w.add_argument("--tile", type=int, default=0, help="store packed tiles of so many rows and columns")
     w.add_argument("--out", required=True)
     w.set_defaults(fn=cmd_store_raster)
     args = p.parse_args(argv)

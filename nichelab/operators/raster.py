@@ -11,6 +11,8 @@ a job while the plan is built, so both work on streams.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -275,8 +277,26 @@ def layer_names(variables: list[int]) -> list[str]:
     return [f"bio{v}" for v in variables]
 
 
+def known_layers(cells: DataFrame) -> set[int] | None:
+    """The layers of a cell table as far as they are known without reading it: from its source (``layers``), or
+    from the folders of a table that is stored by layer."""
+    named = getattr(cells, "layers", None)
+    if named is not None:
+        return set(named)
+    folders = [re.search(r"/var=(\d+)/", f) for f in cells.inputFiles()]
+    return {int(m[1]) for m in folders} if folders and all(folders) else None
+
+
 def require_layers(cells: DataFrame, expected: list[str] = ALL_LAYERS) -> None:
-    """Fail early when a layer is missing (instead of silently empty output); at most one row per layer is read back."""
-    missing = [r["layer"] for r in missing_layers(cells, expected).collect()]
+    """Fail early when a layer is missing (instead of silently empty output).
+
+    No job runs where the layers are known; only a table that is neither read from raster files nor
+    stored by layer is scanned, and at most one row per layer is read back.
+    """
+    known = known_layers(cells)
+    if known is None:
+        missing = [r["layer"] for r in missing_layers(cells, expected).collect()]
+    else:
+        missing = [name for name in expected if int(name[3:]) not in known]
     if missing:
         raise FileNotFoundError(f"raster layers missing: {', '.join(sorted(missing))}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nichelab.functions.formats import batch_id, location_list, normalize_variable
 from nichelab.functions.temporal import iso_utc_now
-from nichelab.operators import filters, raster
+from nichelab.operators import filters, raster, tiles
 from nichelab.schemas import CLIMATE_VARIABLES, DEFAULT_ELEVATION_DATASET, ELEVATION_BATCH_SIZE
 from nichelab.sources.tables import RasterMeta
 
@@ -22,16 +22,22 @@ def extract_environment(
     provenance: bool = False,
     elev_meta: RasterMeta | None = None,
     wide: DataFrame | None = None,
+    packed: DataFrame | None = None,
+    tile: int = tiles.TILE,
 ) -> DataFrame:
     """Per request point: one column per requested variable (named as
     requested; unusable names give a null column), elevation, coordinate
-    ``error`` and ``elevation_status``; the request order key ``pos`` is kept."""
+    ``error`` and ``elevation_status``; the request order key ``pos`` is kept.
+    ``wide`` is a stored wide cell table, ``packed`` a tile table (``tiles.pack_layers``), for fine rasters."""
     pts = filters.validate_coordinates(requests, strict)
     normalized = [normalize_variable(v) for v in variables]
     numbers = sorted({int(n[3:]) for n in normalized if n is not None})
-    if numbers and wide is None:
+    if numbers and wide is None and packed is None:
         raster.require_layers(cells, raster.layer_names(numbers))
-    env = raster.sample_wide(pts, cells, meta, numbers, wide=wide) if numbers else pts
+    if numbers and packed is not None:
+        env = tiles.sample_tiles(pts, packed, meta, numbers, tile)
+    else:
+        env = raster.sample_wide(pts, cells, meta, numbers, wide=wide) if numbers else pts
     env = raster.lookup_elevation(env, elev, elev_meta or meta).withColumnRenamed("status", "elevation_status")
     value_cols = []
     for raw, norm in zip(variables, normalized):

@@ -231,15 +231,18 @@ class RasterFiles(DataSource):
 
 def read_raster_files(spark: SparkSession, path: str, variables: list[int] | None = None) -> DataFrame:
     """The cells of a folder of raster files, of some layers or all; a layer that is named and has no file is an error."""
+    files = layer_files(path, set(variables) if variables is not None else None)
     if variables is not None:
-        missing = set(variables) - set(layer_files(path, set(variables)))
+        missing = set(variables) - set(files)
         if missing:
             raise FileNotFoundError(f"raster layers missing: {', '.join(f'bio{v}' for v in sorted(missing))}")
     spark.dataSource.register(RasterFiles)
     reader = spark.read.format(NAME).option("pushdown", spark.conf.get(PUSHDOWN, "false"))
     if variables is not None:
         reader = reader.option("layers", ",".join(map(str, variables)))
-    return reader.load(path)
+    cells = reader.load(path)
+    cells.layers = set(files)  # known without a scan
+    return cells
 
 
 def raster_files_meta(path: str, variables: list[int] | None = None) -> RasterMeta:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,10 +54,47 @@ def geojson_feature_lines(cells: DataFrame) -> DataFrame:
 
 
 def write_geojson_lines(cells: DataFrame, path: str) -> None:
-    """Feature-per-line GeoJSON (a single FeatureCollection file only suits small grids)."""
+    """Feature-per-line GeoJSON; ``write_feature_collections`` writes documents that other tools open."""
     geojson_feature_lines(cells).write.mode("overwrite").text(path)
 
 
+def _document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of one FeatureCollection from a task's features; no features, no document."""
+    held = None
+
+    def line(values: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
+
+    for batch in batches:
+        values = batch.column(0).to_pylist()
+        if not values:
+            continue
+        out = ['{"type": "FeatureCollection", "features": ['] if held is None else [held + ","]
+        out += [v + "," for v in values[:-1]]
+        held = values[-1]
+        yield line(out)
+    if held is not None:
+        yield line([held, "]}"])
+
+
+def write_feature_collections(cells: DataFrame, path: str) -> None:
+    """A folder of GeoJSON documents: every part is one valid FeatureCollection.
+
+    A task writes its header, its features and its footer as lines of text, through the
+    text writer's commit: parts of failed or repeated tasks never show, and nothing does
+    before the job is done.  No task sees another's features, so any number of cells can
+    be written; for a single document coalesce the cells first.
+    """
+    lines = geojson_feature_lines(cells).mapInArrow(_document, "value string")
+    lines.write.mode("overwrite").text(path)
+
+
+def run_identity(model_name: str, row: dict, threshold: float | None, top_features: str | None, details: str | None) -> str:
+    """The id of a model run: a hash of everything its ledger row says but the time."""
+    said = [model_name, threshold, top_features, details, sorted((k, repr(v)) for k, v in row.items())]
+    return hashlib.sha256(json.dumps(said).encode()).hexdigest()[:32]
+
+
 def append_model_run(
     metrics: DataFrame,
     path: str,
@@ -59,10 +102,22 @@ def append_model_run(
     threshold: float | None = None,
     top_features: str | None = None,
     details: str | None = None,
-) -> None:
-    """Append a dated metrics row to the model-run ledger (parquet, append mode),
-    with the strongest features and the model's settings as text."""
-    row = metrics.select(
+    run_id: str | None = None,
+) -> str:
+    """Append a dated metrics row to the model-run ledger (parquet), with the strongest features and the model's
+    settings as text, unless the ledger has the run already; returns the run's id.
+
+    ``run_id`` names the run (a retried job passes the same one); without it the run is known by what its row says.  The
+    row is one file, which the writer's commit makes visible whole or not at all.  ``metrics`` is one row.
+    """
+    spark = metrics.sparkSession
+    values = metrics.first().asDict()
+    run_id = run_id or run_identity(model_name, values, threshold, top_features, details)
+    if read_ledger(spark, path, F.col("run_id") == run_id):
+        return run_id
+    metrics = spark.createDataFrame([tuple(values[c] for c in metrics.columns)], metrics.schema)
+    row = metrics.coalesce(1).select(
+        F.lit(run_id).alias("run_id"),
         F.current_timestamp().alias("run_ts"),
         F.lit(model_name).alias("model"),
         F.lit(threshold).cast("double").alias("threshold"),
@@ -71,6 +126,16 @@ def append_model_run(
         *[F.col(c) for c in metrics.columns if c not in ("model", "threshold")],
     )
     row.write.mode("append").parquet(path)
+    return run_id
+
+
+def read_ledger(spark: SparkSession, path: str, where: Column) -> bool:
+    """Whether a ledger has a row for which ``where`` holds; one that is not there, or from before runs had ids, has none."""
+    try:
+        ledger = spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException:
+        return False
+    return "run_id" in ledger.columns and not ledger.filter(where).isEmpty()
 
 
 def ledger_text(ledger: DataFrame) -> DataFrame:
