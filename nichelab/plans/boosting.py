@@ -61,7 +61,7 @@ class Params:
     seed: int = SEED
 
 
-# fixed values: the wide grid of all eight parameters (1,296 * 3 settings, in this order)
+# fixed values: the wide grid of all eight parameters (1,944 settings, in this order)
 WIDE_GRID = {
     "max_depth": [3, 5, 7],
     "learning_rate": [0.01, 0.1, 0.2],
