@@ -14,12 +14,16 @@ the hashes of all runs of ``m`` words stand in for the fingerprints.
 
 Scale: one pass over the documents with no shuffle of texts.  The benchmark's
 fingerprints are looked up as a constant set up to ``SET_LIMIT``; a larger
-benchmark is joined by fingerprint and the documents found are read again.
+benchmark is joined by fingerprint, with one row per run of places that share
+one, and the documents found are read again for the words at those places: work
+is linear in the texts on both ways, however many hits a text has.
 
 Edge cases: a null or empty text has no words and no hits; an item without words
 has no window; a null item_id counts for hits but is not listed; rows that
 repeat a doc_id and text get equal answers, items that repeat an id count once;
-empty tables give no hits or an empty result.
+empty tables give no hits or an empty result.  Only the id and the text are read:
+further columns, whatever their names, change nothing.  Texts of any length are
+one row and taken whole.  A word under several windows counts once.
 """
 
 from __future__ import annotations
@@ -75,6 +79,16 @@ def item_windows(items: DataFrame, span: int, item_id: str = "item_id", text: st
     return stage(reduce(DataFrame.unionByName, parts).filter(F.col("window").isNotNull()).distinct(), "item-windows")
 
 
+def with_runs(prints: DataFrame, sizes: list[int]) -> DataFrame:
+    """Adds for each window size m the column ``r{m}``: structs (m, print, a, z) of the places a to z - 1 that share a fingerprint in a row."""
+    for m in sizes:
+        f, b = f"f{m}", f"b{m}"
+        first = F.transform(f, lambda x, i: F.when((i == 0) | (x != F.get(F.col(f), i - 1)), i))  # noqa: B023
+        run = lambda a, j: F.struct(F.lit(m).alias("m"), F.get(F.col(f), a).alias("print"), a.alias("a"), F.coalesce(F.get(F.col(b), j + 1), F.size(f)).alias("z"))  # noqa: B023, E731
+        prints = prints.withColumn(b, F.array_compact(first)).withColumn(f"r{m}", F.transform(b, run))
+    return prints
+
+
 def hit_windows(sizes: list[int], hit) -> Column:
     """Structs (m, p, window) of the windows whose fingerprint passes ``hit(m, print)``."""
     found = []
@@ -102,13 +116,15 @@ def candidates(docs: DataFrame, windows: DataFrame, span: int, set_limit: int, d
         known = {m: [r["print"] for r in few if r["m"] == m] for m in sizes}
         hits = hit_windows(sizes, lambda m, x: x.isin(known[m]))
         return stage(prints.select("doc_id", "tag", n, hits.alias("hits")), "hits")
-    own = F.array_distinct(F.concat(*[F.transform(f"f{m}", lambda x: F.struct(F.lit(m).alias("m"), x.alias("print"))) for m in sizes]))  # noqa: B023
-    rows = prints.select("doc_id", "tag", F.explode_outer(own).alias("f")).select("doc_id", "tag", "f.m", "f.print")
-    per_doc = rows.join(distinct, ["m", "print"]).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("m", "print")).alias("prints"))
-    p, d = prints.alias("p"), stage(per_doc, "candidates").alias("d")
-    same = F.col("p.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("p.tag") == F.col("d.tag"))
-    both = p.join(d, same, "left").select("p.*", F.coalesce("d.prints", F.array()).alias("prints"))
-    hits = hit_windows(sizes, lambda m, x: F.array_contains("prints", F.struct(F.lit(m).alias("m"), x.alias("print"))))
+    runs = F.explode_outer(F.concat(*[F.col(f"r{m}") for m in sizes])).alias("r")
+    rows = with_runs(prints, sizes).select("doc_id", "tag", runs).select("doc_id", "tag", "r.*")
+    # staged, so that the join sees a plain table and a fingerprint that very many texts have is split
+    known = stage(distinct, "prints")
+    per_doc = rows.join(known, ["m", "print"]).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("m", "a", "z")).alias("runs"))
+    b, d = base.alias("b"), stage(per_doc, "candidates").alias("d")
+    both = b.join(d, _same("b", "d"), "left").select("b.*", F.coalesce("d.runs", F.array()).alias("runs"))
+    window = lambda r, p: F.struct(r["m"].alias("m"), p.alias("p"), F.array_join(F.slice(F.col("words"), p + 1, r["m"]), " ").alias("window"))
+    hits = F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["a"], r["z"] - 1), lambda p: window(r, p))))
     return stage(both.select("doc_id", "tag", n, hits.alias("hits")), "hits")
 
 

@@ -37,6 +37,20 @@ def test_decontamination_empty(spark, docs_frame, odd_rows):
     assert decontaminate.decontaminate(docs_frame([]), items_frame(spark, odd_rows)).count() == 0
 
 
+@pytest.mark.parametrize("set_limit", [decontaminate.SET_LIMIT, 0])
+def test_decontamination_of_long_texts(spark, docs_frame, set_limit):
+    """Texts made of benchmark text, with stretches of one word: every place is a hit on both ways."""
+    rng = random.Random(6)
+    items = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(400))) for i in range(10)]
+    items += [(20, "again " * 30), (21, "w1 w2")]
+    long = " ".join(t for _, t in items * 4)
+    rows = [(1, long), (1, long), (2, long + " own words " + long), (3, "again " * 5000), (4, "own " * 3000), (None, items[0][1])]
+    frame = spark.createDataFrame(items, ITEMS)
+    out = decontaminate.decontaminate(docs_frame(rows), frame, set_limit=set_limit).select("doc_id", "n_words", "n_hit", "items").collect()
+    want = brute.decontaminate(rows, items)
+    same([(r[0], r[1], r[2], ",".join(r[3])) for r in out], [(r[0], r[1], r[2], ",".join(r[3])) for r in want])
+
+
 def test_winnowing_keeps_every_span(spark, docs_frame):
     """A span of exactly ten words is found wherever it stands."""
     span = " ".join(f"w{i}" for i in range(10))
