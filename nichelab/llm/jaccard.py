@@ -387,3 +387,30 @@ def link_classes(data: DataFrame, member: DataFrame) -> DataFrame:
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, md5(array_to_string(w[i : i + 4], ' ')) AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+-- equal sets are one class; pairs are sought between the classes' first rows
+c AS (SELECT min(r) OVER (PARTITION BY k) AS c, r FROM (SELECT r, md5(string_agg(g, '' ORDER BY g)) AS k FROM s GROUP BY r)),
+o AS (SELECT g, count(*) AS f FROM s JOIN c USING (r) WHERE c.c = c.r GROUP BY g),
+-- a linked set shares three quarters of its shingles: one of the rarest quarter and one more is shared
+p AS (
+  SELECT r, g, n FROM (SELECT r, g, n, row_number() OVER (PARTITION BY r ORDER BY f, g) AS place FROM s JOIN c USING (r) JOIN n USING (r) JOIN o USING (g) WHERE c.c = c.r)
+  WHERE place <= n - (3 * n + 3) // 4 + 1),
+x AS (SELECT DISTINCT a.r AS a, b.r AS b FROM p a JOIN p b ON a.g = b.g AND a.r < b.r AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
+y AS (SELECT a, b, count(*) AS same FROM x JOIN s u ON u.r = a JOIN s v ON v.r = b AND v.g = u.g GROUP BY a, b),
+l AS (SELECT a, b FROM y JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * same >= 75 * (p.n + q.n - same)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+walk AS (SELECT c AS v, c AS u FROM c UNION SELECT walk.v, e.b FROM walk JOIN e ON e.a = walk.u),
+m AS (SELECT v AS c, min(doc_id) AS least FROM walk JOIN c ON c.c = walk.u JOIN d USING (r) GROUP BY v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.least, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r) LEFT JOIN m ON m.c = c.c
+"""

@@ -23,7 +23,9 @@ REGISTRY = {
 #: Only queries that SQL can express over whole tables.
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,
+    "op2_substring_dedup": substring.ORACLE,
     "op3_exact_dedup": exact.ORACLE,
+    "op7_jaccard_join": jaccard.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op13_fill_in_middle": fim.ORACLE,
 }

@@ -290,3 +290,22 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (
+  SELECT r, doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE doc_id IS NOT NULL AND len(w) >= 13)),
+f AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY g) AS least FROM g) WHERE least < doc_id),
+h AS (SELECT r, list(DISTINCT p) AS gone FROM (SELECT r, unnest(range(i, i + 13)) AS p FROM f) GROUP BY r),
+e AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d WHERE r IN (SELECT r FROM h)),
+k AS (
+  SELECT e.r, string_agg(x, ' ' ORDER BY e.p) AS kept
+  FROM e ANTI JOIN (SELECT r, unnest(gone) AS p FROM h) q ON e.r = q.r AND e.p = q.p GROUP BY e.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN h USING (r) LEFT JOIN k USING (r)
+"""
