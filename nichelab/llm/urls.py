@@ -9,11 +9,15 @@ the fit alone) and judge all the others.
 Features: lengths, depth, digit ratio, character entropy, counts of parameters,
 labels, hyphens and digits runs, and suffix statistics: the smoothed share of
 blocked URLs among all labelled URLs with the same top-level label, the same
-last two labels, and the same file suffix.
+last two labels, and the same file suffix.  In the fit a URL's own label is left
+out of its statistics, as it is absent from those of the URLs to be judged.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and
 fits no rule.  Without labelled URLs the method allows everything; with one
-kind of label only, it gives that kind.  Repeated rows are judged alike.
+kind of label only, it gives that kind.  Repeated rows are judged alike; rules
+of equal length that fit and differ resolve to block.  Only ``keep`` and the URL
+are read: further columns, whatever their names, change nothing.  URLs of any
+length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -102,10 +106,17 @@ def lexical(parsed: DataFrame, url: str = "url") -> DataFrame:
     return parsed.withColumns(cols)
 
 
-def suffix_statistics(labelled: DataFrame, overall: float) -> dict[str, DataFrame]:
-    """For each suffix kind the smoothed share of blocked URLs, from all labelled rows (``blocked`` is 0 or 1)."""
-    rate = (F.sum("blocked") + F.lit(PRIOR * overall)) / (F.count(F.lit(1)) + F.lit(PRIOR))
-    return {k: labelled.groupBy(k).agg(rate.alias(f"{k}_rate")) for k in SUFFIXES}
+def suffix_statistics(labelled: DataFrame) -> dict[str, DataFrame]:
+    """For each suffix kind the number of labelled rows and of blocked ones, from all labelled rows (``blocked`` is 0 or 1)."""
+    return {k: labelled.groupBy(k).agg(F.sum("blocked").alias(f"{k}_blocked"), F.count(F.lit(1)).alias(f"{k}_rows")) for k in SUFFIXES}
+
+
+def with_rates(df: DataFrame, stats: dict[str, DataFrame], overall: float, own: Column | None = None) -> DataFrame:
+    """Adds the smoothed share of blocked URLs per suffix kind; a row whose label is ``own`` is itself left out of it."""
+    df = reduce(lambda d, k: d.join(stats[k], k, "left"), SUFFIXES, df)
+    less, one = (F.lit(0.0), F.lit(0.0)) if own is None else (own, F.lit(1.0))
+    rate = lambda k: (F.col(f"{k}_blocked") - less + PRIOR * overall) / (F.col(f"{k}_rows") - one + PRIOR)
+    return df.withColumns({f"{k}_rate": F.coalesce(rate(k), F.lit(overall)) for k in SUFFIXES})
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", keep: tuple = ("page_id",), fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -119,18 +130,13 @@ def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", keep: tuple
         only = "block" if n and blocked else "allow"
         return rows.select(*out, F.coalesce("ruled", F.lit(only)).alias("verdict"), F.when(F.col("ruled").isNull(), F.lit(float(only == "block"))).alias("score"))
     overall = blocked / n
-    stats = {k: stage(v, f"suffix-{k}") for k, v in suffix_statistics(labelled, overall).items()}
-
-    def with_rates(df: DataFrame) -> DataFrame:
-        df = reduce(lambda d, k: d.join(stats[k], k, "left"), SUFFIXES, df)
-        return df.fillna(overall, [f"{k}_rate" for k in SUFFIXES])
-
+    stats = {k: stage(v, f"suffix-{k}") for k, v in suffix_statistics(labelled).items()}
     assemble = VectorAssembler(inputCols=[*LEXICAL, *(f"{k}_rate" for k in SUFFIXES)], outputCol="features")
     order = F.xxhash64("url")
     sample = labelled.select("blocked", *LEXICAL, *SUFFIXES, order.alias("order")).orderBy("order", *LEXICAL).limit(fit_rows)
-    fit = stage(assemble.transform(with_rates(sample)).select("features", F.col("blocked").alias("label")).coalesce(4), "url-fit")
+    fit = stage(assemble.transform(with_rates(sample, stats, overall, F.col("blocked"))).select("features", F.col("blocked").alias("label")).coalesce(4), "url-fit")
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, minInstancesPerNode=5, seed=7).fit(fit)
-    scored = model.transform(assemble.transform(with_rates(rows)))
+    scored = model.transform(assemble.transform(with_rates(rows, stats, overall)))
     score = vector_to_array("probability")[1]
     method = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     ruled = F.col("ruled").isNotNull()

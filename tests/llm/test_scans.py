@@ -6,6 +6,7 @@ import string
 import brute
 import pytest
 from llm_helpers import docs_frame, odd_rows, same  # noqa: F401
+from pyspark.sql import functions as F
 
 from nichelab.llm import license, secrets, urls
 
@@ -169,6 +170,19 @@ def test_url_method(spark):
     assert right >= 0.95 * len(free)
 
 
+def test_url_statistics_leave_the_row_out(spark):
+    """With its own label left out, a suffix that one labelled URL has alone says nothing about it."""
+    rows = spark.createDataFrame([("a", "a.org", "", 0.0), ("b", "b.com", "", 1.0), ("a", "c.org", "", 1.0)], "top string, domain string, file string, blocked double")
+    stats, overall = urls.suffix_statistics(rows), 2 / 3
+    fit = {r["domain"]: r for r in urls.with_rates(rows, stats, overall, F.col("blocked")).collect()}
+    assert all(abs(r["domain_rate"] - overall) < 1e-12 for r in fit.values())
+    assert abs(fit["a.org"]["top_rate"] - (1 + urls.PRIOR * overall) / (1 + urls.PRIOR)) < 1e-12
+    new = spark.createDataFrame([("a", "c.org", "new")], "top string, domain string, file string")
+    got = urls.with_rates(new, stats, overall).first()
+    want = [(1 + urls.PRIOR * overall) / (2 + urls.PRIOR), (1 + urls.PRIOR * overall) / (1 + urls.PRIOR), overall]
+    assert [got["top_rate"], got["domain_rate"], got["file_rate"]] == pytest.approx(want)
+
+
 def test_url_without_labels(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(empty).count() == 0
