@@ -16,7 +16,8 @@ Edge cases: null and empty texts have the statistics of an empty text; without
 labels, or with labels of one kind only, every score is the share of label 1
 (0.5 without labels); a doc_id labelled more than once takes the mean of its
 labels, a tie counts as 1; a null doc_id cannot be labelled; repeated rows are
-scored alike.
+scored alike; texts of any length are read whole; an empty table gives an empty
+result; columns but the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -158,7 +159,7 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     limit = hash_limit(known, "doc_id", fit_rows)
     chosen = known.filter(F.xxhash64("doc_id") <= F.lit(limit))
     part = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(5)) == 0
-    rows = stage(chosen.join(stats, "doc_id").select("y", part.alias("calibrate"), "stats"), "quality-fit")
+    rows = stage(chosen.join(stats, "doc_id").select("y", part.alias("calibrate"), "stats", F.xxhash64("doc_id").alias("deal")), "quality-fit")
     n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if ones in (0, n):
         return Model(*[None] * 7, constant=float(ones / n) if n else 0.5)
@@ -179,7 +180,9 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             moment += z.T @ batch.column(0).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()]), pa.array([moment.tobytes()])], ["gram", "moment"])
 
-    parts = rows.filter(~F.col("calibrate")).select("y", "stats").repartition(FIT_PARTS).mapInArrow(sums, "gram binary, moment binary").collect()
+    # dealt and ordered by a hash of the id, so that the sums add in one order however the rows arrive
+    dealt = rows.filter(~F.col("calibrate")).repartition(FIT_PARTS, "deal").sortWithinPartitions("deal", "stats")
+    parts = dealt.select("y", "stats").mapInArrow(sums, "gram binary, moment binary").collect()
     gram = sum(np.frombuffer(p["gram"]).reshape(WIDTH + 1, WIDTH + 1) for p in parts)
     moment = sum(np.frombuffer(p["moment"]) for p in parts)
     base.weights = np.linalg.solve(gram + RIDGE * np.eye(WIDTH + 1), moment)
