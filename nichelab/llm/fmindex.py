@@ -65,7 +65,11 @@ def prefix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class ShardIndex:
-    """Index over ``text`` (symbols from 1 up, 0 between sequences) with a value per position, of which searches return the least."""
+    """Index over ``text`` (symbols from 1 up, 0 between sequences) with a value per position, of which searches return the least.
+
+    Kept are the wavelet bits, a bit per suffix that marks where the next
+    ``depth``-word prefix begins, and one least value for each such prefix.
+    """
 
     def __init__(self, text: np.ndarray, n_symbols: int, values: np.ndarray, depth: int):
         rank = prefix_ranks(text, depth)
@@ -74,9 +78,14 @@ class ShardIndex:
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))[:-1]])
         self.n = len(text)
         ranked = rank[order]
-        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        self.group = ranked
-        self.least = np.minimum.reduceat(values[order], starts)
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        self.starts = BitVector(new)
+        self.least = np.minimum.reduceat(values[order], np.flatnonzero(new))
+
+    def nbytes(self) -> int:
+        """Size of what a search reads."""
+        bits = [self.starts, *(ones for _, ones, _ in self.wavelet.levels)]
+        return sum(b.words.nbytes + b.before.nbytes for b in bits) + self.least.nbytes + self.smaller.nbytes + self.wavelet.origin.nbytes
 
     def search(self, text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics capped at ``depth`` of the patterns that begin at ``at``, and the least value where all of it matches.
@@ -96,5 +105,5 @@ class ShardIndex:
             live = live[low[live] < high[live]]
             matched[live] += 1
         value = np.full(n, np.iinfo(np.int64).max)
-        value[live] = self.least[self.group[low[live]]]
+        value[live] = self.least[self.starts.rank(low[live] + 1) - 1]
         return matched, value

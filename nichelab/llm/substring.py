@@ -23,7 +23,9 @@ fits a task whatever the texts share.  Texts travel compressed.
 
 Edge cases: null and empty texts have no words; a null doc_id neither loses words
 nor takes them from others; rows that share a doc_id do not affect one another;
-fewer than ``SPAN`` words make no window; an empty table gives an empty result.
+fewer than ``SPAN`` words make no window; of rows that tie for the smallest
+doc_id each keeps its words; texts of any length are read whole, a row at a time;
+an empty table gives an empty result; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
