@@ -20,7 +20,9 @@ less that in the background, the model of all training text together.
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and no gain; with
 no training rows every text is ``und``; rows with a null lang do not train; a tie goes
 to the language first by code point; repeated rows count as often as they stand
-and are scored alike.
+and are scored alike; very long texts are read whole, slice by slice; an empty
+table gives an empty result; ``keep`` may hold columns of any names but the result's,
+others are not read.
 """
 
 from __future__ import annotations
@@ -219,7 +221,7 @@ def score_texts(texts: list[str | None], model: Model) -> list[tuple[str, float,
 def predict_blocks(docs: DataFrame, model: BlockedModel, keep: list[str], text: str) -> DataFrame:
     """As ``predict``, one block of languages at a time."""
     spark = docs.sparkSession
-    rows = stage(docs.select(*keep, F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = stage(docs.select(F.struct(*keep).alias("kept"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")), "rows")
     found = None
     for block in model.blocks():
         shared = spark.sparkContext.broadcast((block.languages, block.weights, block.order))
@@ -238,18 +240,18 @@ def predict_blocks(docs: DataFrame, model: BlockedModel, keep: list[str], text:
                     pa.array(np.exp(own - top[:, None]).sum(axis=1), pa.float64()),
                     pa.array(top / SHARPNESS - means[:, -1], pa.float64()),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["_row", "lang", "best", "total", "gain"])
+                yield pa.RecordBatch.from_arrays(cols, ["row", "lang", "best", "total", "gain"])
 
-        part = stage(rows.select("_row", "_text").mapInArrow(score, "_row long, lang string, best double, total double, gain double"), "scores")
+        part = stage(rows.select("row", "text").mapInArrow(score, "row long, lang string, best double, total double, gain double"), "scores")
         shared.unpersist()
         found = part if found is None else found.unionByName(part)
     # the best of all blocks, a tie (up to rounding) to the language first by code point; the blocks' sums are taken to its scale
     top = F.min(F.struct(F.round(-F.col("best"), 9).alias("minus"), "lang", "gain"))
-    per_row = found.groupBy("_row").agg(top.alias("top"), F.collect_list(F.struct("best", "total")).alias("parts"))  # one per block
+    per_row = found.groupBy("row").agg(top.alias("top"), F.collect_list(F.struct("best", "total")).alias("parts"))  # one per block
     total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["total"] * F.exp(p["best"] + F.col("top.minus")))
-    judged = per_row.select("_row", F.col("top.lang").alias("_lang"), (F.lit(1.0) / total).alias("_score"), F.col("top.gain").alias("_gain"))
-    return rows.join(judged, "_row", "left").select(
-        *keep, F.coalesce("_lang", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("_score", F.lit(0.0)).alias("score"), F.col("_gain").alias("gain")
+    judged = per_row.select("row", "top", (F.lit(1.0) / total).alias("share"))
+    return rows.join(judged, "row", "left").select(
+        "kept.*", F.coalesce("top.lang", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("share", F.lit(0.0)).alias("score"), F.col("top.gain").alias("gain")
     )
 
 
