@@ -15,7 +15,9 @@ named on their own (negative names) and looked up by a bounded broadcast.
 Edge cases: a null text counts as the empty text, which is one empty block; all
 empty texts are equal.  Rows that repeat a doc_id and text are equal rows and
 get equal answers; a null doc_id is below every other (``keep_id`` is null only
-for a group of nothing but null ids).  An empty table gives an empty result.
+for a group of nothing but null ids); rows that tie for the largest doc_id all
+stay.  Texts of any length are cut into blocks whole.  An empty table gives an
+empty result; columns but the id and the text are not read.
 """
 
 from __future__ import annotations

@@ -35,8 +35,9 @@ components go on, with more leaders in each round, until none is left.
 
 Edge cases: a text without words has an empty set and no links; fewer than
 ``WIDTH`` words are one shingle; rows that share a doc_id count as linked; a null
-doc_id gets its count, a null component and no links; empty tables give an
-empty result.
+doc_id gets its count, a null component and no links; texts of any length are one
+set; empty tables give an empty result; columns but the id and the text are not
+read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ automaton and must begin and end at words.
 
 Edge cases: a null text is empty; texts without words have no spans and score 0;
 a doc_id is passed through as it is, rows are independent, so repeated rows get
-equal answers; an empty table gives an empty result.
+equal answers; of notices that overlap the one with the fewest edits holds,
+then the longest;
+texts of any length are searched whole; an empty table gives an empty result;
+columns but the id and the text are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ cannot take is reshared among the others by weight until none is above.
 
 Edge cases: a null text has size 0 and takes 0 words; a null source is a source
 of its own, the last in order; a null doc_id is ordered as an empty id; rows
-that repeat a doc_id are separate rows; an empty table gives an empty result.
+that repeat a doc_id are separate rows; rows that tie in the order go by size and a hash of the text;
+texts of any length are counted whole; an empty table gives an empty result;
+columns but doc_id, source and text are not read.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ in the text, splitting at the marks and summing the lengths, which is linear in
 the text; a NUL in a text counts as one character that no pattern contains.
 
 Edge cases: a null text is empty and has no spans; rows that repeat a doc_id
-and text get equal answers; a null doc_id is kept; an empty table gives an empty
-result (and no model is needed).
+and text get equal answers; spans that begin together are listed by kind; a null
+doc_id is kept; texts of any length are scanned whole; an empty table gives an
+empty result (and no model is needed); columns but doc_id and text are not read.
 """
 
 from __future__ import annotations

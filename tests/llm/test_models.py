@@ -51,7 +51,10 @@ def test_language_blocks(spark, docs_frame, monkeypatch):
     monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
     model = langid.train(docs_frame(rows))
     assert model.languages == one.languages and len(list(model.blocks())) == 4
-    got = [tuple(r)[:3] for r in langid.predict(docs, model, ["doc_id"]).collect()]
+    clashing = [F.lit("clash").alias(c) for c in ("row", "top", "kept", "_row", "_text")]
+    got = langid.predict(docs.select("*", *clashing), model, ["doc_id", "row", "top", "kept", "_row", "_text"]).collect()
+    assert {tuple(r)[1:6] for r in got} == {("clash",) * 5}
+    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in got]
     assert {r[1] for r in got if r[0] == 102} == {"l8"}
     assert langid.predict(docs_frame([]), model, ["doc_id"]).count() == 0
     same([(d, lang, round(s, 6)) for d, lang, s in got], [(d, lang, round(s, 6)) for d, lang, s in want])
@@ -132,6 +135,19 @@ def test_quality_odd_rows(spark, docs_frame, odd_rows):
     assert quality.with_statistics(docs_frame([])).count() == 0
 
 
+def test_quality_does_not_depend_on_how_rows_arrive(spark, docs_frame, odd_rows):
+    rows = [r for r in odd_rows if r[0] is not None]
+    labels = spark.createDataFrame([(i, i % 3 % 2, 0) for i in range(130)], "doc_id long, quality int, toxic int")
+
+    def scores(docs):
+        stats = quality.with_statistics(docs)
+        return sorted((r["doc_id"], r["score"]) for r in quality.score(stats, quality.fit(stats, labels)).collect())
+
+    # moments are averages over the rows, whose last digits may differ
+    left, right = scores(docs_frame(rows)), scores(docs_frame(rows[::-1]).repartition(5))
+    assert [(d, round(s, 6)) for d, s in left] == [(d, round(s, 6)) for d, s in right]
+
+
 def test_isotonic():
     x, y = quality.pool_adjacent(np.arange(6.0), np.array([0.1, 0.3, 0.2, 0.5, 0.9, 0.7]), np.ones(6))
     assert list(np.round(y, 3)) == [0.1, 0.25, 0.5, 0.8] and list(x) == [0, 1.5, 3, 4.5]
