@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,18 +174,34 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     base = Model(centre, scale, project, phase, None, None, None)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, moment = np.zeros((WIDTH + 1, WIDTH + 1)), np.zeros(WIDTH + 1)
+        """A partition's sums, a row per line of the equations: the line from its diagonal on, and the moment."""
+        gram, moment, n_rows = np.zeros((WIDTH + 1, WIDTH + 1)), np.zeros(WIDTH + 1), 0
         for batch in batches:
             z = base.features(_matrix(batch.column(1)))
             gram += z.T @ z
             moment += z.T @ batch.column(0).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()]), pa.array([moment.tobytes()])], ["gram", "moment"])
+            n_rows += batch.num_rows
+        if n_rows:
+            lines = [np.append(gram[i, i:], moment[i]) for i in range(WIDTH + 1)]
+            part = np.full(WIDTH + 1, TaskContext.get().partitionId(), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(WIDTH + 1, dtype=np.int32)), pa.array(part), pa.array(lines)], ["line", "part", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for line, sums_ in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                totals[line] = totals.get(line, 0.0) + sums_.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(list(totals.values()), pa.list_(pa.float64()))], ["line", "sums"])
 
     # dealt and ordered by a hash of the id, so that the sums add in one order however the rows arrive
     dealt = rows.filter(~F.col("calibrate")).repartition(FIT_PARTS, "deal").sortWithinPartitions("deal", "stats")
-    parts = dealt.select("y", "stats").mapInArrow(sums, "gram binary, moment binary").collect()
-    gram = sum(np.frombuffer(p["gram"]).reshape(WIDTH + 1, WIDTH + 1) for p in parts)
-    moment = sum(np.frombuffer(p["moment"]) for p in parts)
+    parts = dealt.select("y", "stats").mapInArrow(sums, "line int, part int, sums array<double>")
+    added = parts.repartition(FIT_PARTS, "line").sortWithinPartitions("line", "part").select("line", "sums").mapInArrow(add, "line int, sums array<double>")
+    # one matrix comes to the driver, however many partitions there are
+    gram, moment = np.zeros((WIDTH + 1, WIDTH + 1)), np.zeros(WIDTH + 1)
+    for line, values in added.collect():
+        gram[line, line:] = gram[line:, line] = values[:-1]
+        moment[line] = values[-1]
     base.weights = np.linalg.solve(gram + RIDGE * np.eye(WIDTH + 1), moment)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
