@@ -3,9 +3,11 @@
 Sharding by content: the window of ``SPAN`` words at each place is represented
 by the smallest hash of its runs of ``GRAM`` words.  Equal windows have equal
 representatives, so windows can only match within a representative.  Those that
-one document alone has are done with.  Of the others, consecutive windows with
-one representative make a segment of text; equal segments are counted once (with
-their smallest doc_id), and segments go to shards by representative.
+one document alone has are done with; a task first compares the documents it has
+at hand, so that a representative in a third of all documents is not one task's.
+Of the others, consecutive windows with one representative make a segment of text;
+equal segments are counted once (with their smallest doc_id), and segments go to
+shards by representative.
 
 Each shard builds an FM-index over its segments (``fmindex``: BWT in a wavelet
 matrix) and streams the segments' windows against it by backward search; the
@@ -41,13 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nichelab.llm.arrays import IS_SPACE, Chunk, chunks, gram_hashes, spans, word_hashes
+from nichelab.llm.arrays import IS_SPACE, Chunk, chunks, gram_hashes, mix64, spans, word_hashes
 from nichelab.llm.common import stage, table
 from nichelab.llm.fmindex import ShardIndex
 
 SPAN, GRAM = 13, 5
 SHARD_SEGMENTS = 120_000
 HOT_SHARE = 10
+#: Representatives that a task compares before they are dealt.
+PRINTS = 1 << 20
 #: Windows searched at a time.
 QUERIES = 1 << 18
 ROWS = "doc_id long, tag long, n_words long, sha string, packed binary, print long, seg_id long, start int, seg binary"
@@ -69,18 +73,44 @@ def window_prints(chunk: Chunk, span: int, gram: int) -> tuple[np.ndarray, np.nd
 
 
 def _print_rows(span: int, gram: int):
+    """The representatives of each document's windows.
+
+    Of the documents that a task has at hand with one representative, those between
+    the smallest and the largest doc_id surely share it.  They get a salt, so that
+    only two of them are compared with other tasks' documents.
+    """
+
+    def settled(prints: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((docs, prints))
+        prints, docs = prints[order], docs[order]
+        new = np.ones(len(prints), bool)
+        new[1:] = (prints[1:] != prints[:-1]) | (docs[1:] != docs[:-1])
+        prints, docs = prints[new], docs[new]
+        first, last = np.ones(len(prints), bool), np.ones(len(prints), bool)
+        first[1:] = last[:-1] = prints[1:] != prints[:-1]
+        spread = (mix64(docs.view(np.uint64)) >> np.uint64(34)).astype(np.int32) + 1
+        salt = np.where(first | last, 0, spread).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(docs), pa.array(salt)], ["print", "doc_id", "salt"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for c in chunks(batch.column(1)):
                 prints, _, row = window_prints(c, span, gram)
                 if not len(prints):
                     continue
-                order = np.lexsort((prints, row))
-                prints, row = prints[order], row[order]
+                # neighbouring windows mostly share a representative
                 new = np.ones(len(prints), bool)
                 new[1:] = (prints[1:] != prints[:-1]) | (row[1:] != row[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(prints[new].view(np.int64)), pa.array(ids[c.first + row[new]])], ["print", "doc_id"])
+                held.append((prints[new], ids[c.first + row[new]]))
+                size += int(new.sum())
+                if size >= PRINTS:
+                    yield settled(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+        if held:
+            yield settled(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
@@ -249,12 +279,12 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tup
     (doc_id, tag, runs: per segment the first words of its runs, then their ends)."""
     spark = docs.sparkSession
     data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    by_print = W.partitionBy("print")
-    prints = data.filter("doc_id IS NOT NULL").mapInArrow(_print_rows(span, gram), "print long, doc_id long")
+    by_print = W.partitionBy("print", "salt")
+    prints = data.filter("doc_id IS NOT NULL").mapInArrow(_print_rows(span, gram), "print long, doc_id long, salt int")
     shared = (
-        prints.repartition("print")
-        .select("print", "doc_id", F.min("doc_id").over(by_print).alias("a"), F.max("doc_id").over(by_print).alias("z"))
-        .filter("a < z")
+        prints.repartition("print", "salt")
+        .select("print", "salt", "doc_id", F.min("doc_id").over(by_print).alias("a"), F.max("doc_id").over(by_print).alias("z"))
+        .filter("salt <> 0 OR a < z")
     )
     per_doc = shared.groupBy("doc_id").agg(F.collect_set("print").alias("prints"))  # at most a document's own windows
     packed = data.mapInArrow(_pack, "doc_id long, tag long, packed binary")

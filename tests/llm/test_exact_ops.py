@@ -1,9 +1,11 @@
 """Operators with exact results against plain Python versions, on odd tables."""
 
+import collections
 import hashlib
 import random
 
 import brute
+import pyarrow as pa
 import pytest
 from llm_helpers import docs_frame, odd_rows, same  # noqa: F401
 
@@ -97,6 +99,26 @@ def test_substring_common_passage(docs_frame, monkeypatch):
     same(substring.substring_dedup(docs_frame(rows)).collect(), brute.substring(rows))
 
 
+def test_substring_common_representative_is_spread():
+    """Of a task's documents with one representative two go to its task, whatever their number; none is lost."""
+    passage = " ".join(f"common{i}" for i in range(30))
+    ids = [*range(500), 7, 499]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([f"own{i} {passage} end{i}" for i in ids])], ["doc_id", "text"])
+    rows = [r for b in substring._print_rows(13, 5)(iter([batch])) for r in b.to_pylist()]
+    together = collections.Counter(r["print"] for r in rows if not r["salt"])
+    everywhere = collections.Counter(r["print"] for r in rows)
+    assert max(everywhere.values()) == 500 and max(together.values()) == 2
+    assert len({(r["print"], r["doc_id"]) for r in rows}) == len(rows)
+    lone = [r for r in rows if everywhere[r["print"]] == 1]
+    assert lone and not any(r["salt"] for r in lone)
+
+
+@pytest.mark.parametrize("prints", [1, 40])
+def test_substring_few_prints_at_a_time(docs_frame, odd_rows, monkeypatch, prints):
+    monkeypatch.setattr(substring, "PRINTS", prints)
+    same(substring.substring_dedup(docs_frame(odd_rows)).collect(), brute.substring(odd_rows))
+
+
 @pytest.mark.parametrize(("block", "hot_rows"), [(4096, 1000), (7, 1000), (16, 3)])
 def test_exact(docs_frame, odd_rows, block, hot_rows):
     rows = [r for r in odd_rows if len(r[1] or "") < 20_000] if block < 100 else odd_rows
