@@ -509,3 +509,59 @@ def damage(rows: DataFrame) -> DataFrame:
 def op12_conversation_repair(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair(damage(rows), lost="lost")
+
+
+# Damage by a bitwise crc32, then a plain forward search: after each row the cheapest edits that end in each state
+# (0 nothing yet, 1 after s, 2 after u, 3 after a), with at most two insertions before a row.
+ORACLE = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS name
+  FROM conversations),
+d AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, name), lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0],
+              lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS draw FROM c),
+k AS (
+  SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE draw WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM d),
+r AS (
+  SELECT *, row_number() OVER w AS i, left(role, 1) AS initial, lag(left(role, 1)) OVER w AS before,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+         right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM r),
+ins AS (
+  SELECT * FROM (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+    (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'), (2, 3, 5, 'I', chr(10) || 'assistant:'), (3, 2, 5, 'I', chr(10) || 'user:'),
+    (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+    (2, 2, 10, 'II', chr(10) || 'assistant:' || chr(10) || 'user:'), (3, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')) t(a, z, cost, edits, lines)),
+follow AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) t(a, letter, z)),
+step AS (
+  SELECT f.conv_id, f.i, s.a, s.z, s.cost + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS cost, s.edit,
+         chr(10) || CASE WHEN s.edit = 'K' THEN role WHEN s.z = 2 THEN 'user' ELSE 'assistant' END || ':' || text AS line
+  FROM f JOIN (SELECT a, z, letter, 0 AS cost, 'K' AS edit FROM follow UNION ALL SELECT a, z, NULL, 1, 'R' FROM follow WHERE letter <> 's') s
+    ON s.edit = 'R' OR s.letter = f.initial
+  WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT conv_id, i, a, a, 2, 'D', '' FROM f, (VALUES (0), (1), (2), (3)) t(a)),
+best AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, {'cost': 0, 'audit': '', 'lines': ''} AS p FROM (SELECT DISTINCT conv_id FROM f)
+  UNION ALL
+  SELECT b.conv_id, s.i, s.z, min({'cost': b.p.cost + n.cost + s.cost, 'audit': b.p.audit || n.edits || s.edit, 'lines': b.p.lines || n.lines || s.line})
+  FROM best b JOIN ins n ON n.a = b.state JOIN step s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.i = b.i + 1 AND s.a = n.z
+  GROUP BY b.conv_id, s.i, s.z),
+t AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id),
+e AS (
+  SELECT t.conv_id, min({'cost': b.p.cost + n.cost, 'audit': b.p.audit || n.edits, 'lines': b.p.lines || n.lines}) AS p
+  FROM t JOIN best b ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND b.i = t.n JOIN ins n ON n.a = b.state AND n.z IN (0, 3) GROUP BY t.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.p.cost, 0)::BIGINT AS cost,
+       coalesce(e.p.audit, '') AS audit, sha256(coalesce(substr(e.p.lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

@@ -27,5 +27,6 @@ ORACLES = {
     "op3_exact_dedup": exact.ORACLE,
     "op7_jaccard_join": jaccard.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op12_conversation_repair": conversations.ORACLE,
     "op13_fill_in_middle": fim.ORACLE,
 }

@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from llm_helpers import same
 from pyspark.sql import functions as F
@@ -124,6 +125,17 @@ def test_random_conversations(spark, most):
     same(rows_of(C.repair(C.damage(docs), lost="lost", most_rows=most)), plain(rows))
 
 
+def test_sql_on_random_conversations():
+    rows = random_rows(random.Random(8), 80, 14)
+    rows += [(None, None, "user", "No turn."), (None, 3, None, None), (500, None, None, None), (601, -5, "assistant", "Below."), (601, 5, "assistant", "Below.")]
+    rows += [(700 + k, k, "user", "Hm.") for k in range(60)]  # some of them lose their only row
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    found = con.execute(f"SELECT {', '.join(ORDER)} FROM ({C.ORACLE})").fetchall()
+    same(found, plain(rows))
+
+
 def long_rows(rng, conv, kind):
     rows = [(conv, 0, "system", "Be good.")]
     for turn in range(1, 300):
