@@ -52,7 +52,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nichelab.llm.arrays import IS_SPACE, LOWER, Chunk, chunks, gram_hashes, mix64, spans, word_hashes
-from nichelab.llm.common import stage, table
+from nichelab.llm.common import discard, stage, table
 from nichelab.llm.components import components
 
 WIDTH = 5
@@ -353,17 +353,21 @@ def link_classes(data: DataFrame, member: DataFrame) -> DataFrame:
 
     # first the leader with which a set shares most signatures
     leader = index.groupBy("sig").agg(F.min_by(F.struct(*columns), "node").alias("l"), F.max("node").alias("z")).filter("l.node <> z").select("l.*")
+    # a table, not an aggregate above its exchange: then adaptive execution splits the rows of a frequent signature
+    leader = stage(leader, "leader")
     met = index.alias("i").join(leader.alias("l"), (F.col("i.sig") == F.col("l.sig")) & (F.col("i.node") != F.col("l.node")) & may_meet("i", "l"))
     shared = met.groupBy(F.col("l.node").alias("a"), F.col("i.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
     tested = stage(best, "tested")
+    discard(leader)
     comps = stage(components(links.unionAll(verify(tested, texts))), "components")
 
     leaders = LEADERS
     while True:
         known = index.join(comps, "node", "left").select(*columns, F.coalesce("comp", "node").alias("comp"))
-        mixed = known.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).filter("a <> z").select("sig")
+        mixed = stage(known.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).filter("a <> z").select("sig"), "mixed")
         index = stage(known.join(mixed, "sig", "left_semi"), "index")
+        discard(mixed)
         if index.isEmpty():
             return comps
         top = index.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy("node"))).filter(F.col("rank") <= leaders)
