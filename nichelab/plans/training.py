@@ -201,7 +201,10 @@ def tune_gbt(
     ``settings`` are parameter settings of the boosted trees (default: one per
     depth).  The split and the folds come from hashes of the key, so they are
     fixed whatever the partitioning.  Every (setting, fold) fit is submitted from
-    a thread pool -- concurrent Spark jobs -- on one persisted input.
+    a thread pool -- concurrent Spark jobs -- on one persisted input.  Fits that
+    run side by side share the cores: each reads the input in as many partitions
+    as fill its share.  A fit is hundreds of short jobs, and every task of each
+    sends some kilobytes to the driver; only the last fit has all cores to itself.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -209,8 +212,11 @@ def tune_gbt(
     grid = settings or depth_grid(depths)
     evaluator = BinaryClassificationEvaluator(labelCol="presence", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
     marks = {"fold": sampling.fold_id("key", folds, label="presence"), "split": sampling.split_label("key")}
+    workers = parallelism or min(len(grid) * folds, 8)
     with learner_input(features(train).withColumns(marks)) as data:
         searched = data.filter(F.col("split") == "train") if search_on_split else data
+        # merges partitions of the persisted rows, none of them moves through a shuffle; 1 stays 1
+        searched = searched.coalesce(partition_count(data.count(), -(-data.sparkSession.sparkContext.defaultParallelism // workers)))
 
         def pipeline(setting: dict) -> Pipeline:
             pipe, gbt = gbt_pipeline(max_iter=max_iter)
@@ -223,7 +229,7 @@ def tune_gbt(
             return float(evaluator.evaluate(model.transform(searched.filter(F.col("fold") == k))))
 
         tasks = [(i, k) for i in range(len(grid)) for k in range(folds)]
-        with ThreadPoolExecutor(max_workers=parallelism or min(len(tasks), 8)) as pool:
+        with ThreadPoolExecutor(max_workers=workers) as pool:
             results = list(pool.map(fold_auc, tasks))
         means = [sum(results[i * folds : (i + 1) * folds]) / folds for i in range(len(grid))]
         model = pipeline(grid[max(range(len(grid)), key=lambda i: means[i])]).fit(data)

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from conftest import SF001
-from nichelab.operators import filters, raster
+from nichelab.operators import filters, raster, sampling
 from nichelab.plans import environment, ml_ready, training
 from nichelab.schemas import ML_READY_COLUMNS
 from nichelab.sources import readers, sinks, tables
@@ -147,6 +147,24 @@ def test_training_learns_and_reports(spark):
     res.scored.unpersist()
 
 
+def test_fits_side_by_side_share_the_cores(spark, monkeypatch):
+    """Six fits at a time on four cores: each reads the rows in one partition, the last fit in four; no row is left out."""
+    seen, fit = [], training.Pipeline.fit
+
+    def recorded(self, df):
+        seen.append((df.rdd.getNumPartitions(), df.count()))
+        return fit(self, df)
+
+    monkeypatch.setattr(training, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(training.Pipeline, "fit", recorded)
+    toy = _toy(spark)
+    tuned = training.tune_gbt(toy, max_iter=2)
+    n_train = toy.filter(sampling.split_label("key") == "train").count()
+    assert len(seen) == 7 and [n for n, _ in seen] == [1] * 6 + [4]
+    assert sum(n for _, n in seen[:6]) == 2 * 2 * n_train and seen[6][1] == 400
+    assert min(tuned.avgMetrics) > 0.85
+
+
 def test_partition_count_has_no_step():
     counts = [training.partition_count(n, 8) for n in (1, 20_000, 20_001, 90_000, 838_860, 838_861, 10**8)]
     assert counts == [1, 1, 2, 5, 8, 8, 120]
